@@ -257,6 +257,49 @@ def scripts_stages(d) -> list[list[tuple[str, str]]]:
     return [base, shape, out]
 
 
+def specs_stages(d) -> list[list[tuple[str, str]]]:
+    """API descriptions from ``customer``: OpenAPI as JSON or YAML, and GraphQL schemas."""
+    nl = "chr(10)"
+    key = "CAST(c AS STRING)"
+    openapi = (
+        f"'{{\"openapi\":\"3.0.' || CAST(c % 3 AS STRING) || '\",\"paths\":{{\"/c/' || {key} || '\":{{\"parameters\":[{{\"name\":\"tenant\",\"in\":\"header\"}}],"
+        f"\"get\":{{\"parameters\":[{{\"name\":\"q\",\"in\":\"query\"}},{{\"name\":\"id\",\"in\":\"path\"}}]}},\"post\":{{\"x\":1}},\"summary\":\"s\"}},\"v2/list' || CAST(n AS STRING) || '\":{{\"delete\":{{}}}}}}}}'"
+    )
+    swagger = (
+        f"'{{\"swagger\":\"2.0\",\"basePath\":\"/base' || CAST(n AS STRING) || '\",\"paths\":{{\"/s/' || {key} || '\":{{\"put\":{{\"parameters\":[{{\"name\":\"body\",\"in\":\"body\"}},{{\"name\":\"sid\",\"in\":\"cookie\"}}]}}}}}}}}'"
+    )
+    yaml = (
+        f"'openapi: 3.1.0' || {nl} || 'paths:' || {nl} || '  /y/' || {key} || ':' || {nl} || '    get:' || {nl} || '      parameters:' || {nl}"
+        f" || '        - name: page' || {nl} || '          in: query' || {nl}"
+    )
+    graphql = (
+        f"'{{\"data\":{{\"__schema\":{{\"types\":[{{\"kind\":\"OBJECT\",\"name\":\"Query\",\"fields\":[{{\"name\":\"user' || {key} || '\",\"args\":[{{\"name\":\"id\"}},{{\"name\":\"first\"}}]}},{{\"name\":\"me\",\"args\":[]}}]}},"
+        f"{{\"kind\":\"OBJECT\",\"name\":\"__Type\",\"fields\":[{{\"name\":\"kind\"}}]}},{{\"kind\":\"ENUM\",\"name\":\"E\"}}]}}}}}}'"
+    )
+    base = [("c", "c_custkey"), ("n", "c_nationkey")]
+    kind = [(c, c) for c in ("c", "n")] + [
+        ("kind", "CASE WHEN c % 4 = 0 THEN 'graphql' WHEN c % 4 = 1 THEN 'openapi' WHEN c % 4 = 2 THEN 'swagger' ELSE 'yaml' END"),
+        ("host", "'spec' || CAST(n AS STRING) || '.shop.example'"),
+    ]
+    out = [
+        ("seq", "c * 8 + 5"),
+        ("observed_at", "CAST('2024-04-01 00:00:00' AS TIMESTAMP)"),
+        ("source", "'sitemap'"),
+        ("method", "CASE WHEN kind = 'graphql' THEN 'POST' ELSE 'GET' END"),
+        ("url", "'https://' || host || CASE WHEN kind = 'graphql' THEN '/graphql' ELSE '/docs/' || kind || CAST(c AS STRING) END"),
+        ("host", "host"),
+        ("path", "CASE WHEN kind = 'graphql' THEN '/graphql' ELSE '/docs/' || kind || CAST(c AS STRING) END"),
+        ("req_headers", d.arr(d.hdr("'Host'", "host"))),
+        ("params", d.arr(d.null_par)),
+        ("req_body", "''"),
+        ("status", "CAST(200 AS INT)"),
+        ("resp_headers", d.arr(d.hdr("'Content-Type'", "CASE WHEN kind = 'yaml' THEN 'application/yaml' ELSE 'application/json' END"))),
+        ("content_type", "CASE WHEN kind = 'yaml' THEN 'application/yaml' ELSE 'application/json' END"),
+        ("resp_body", f"CASE kind WHEN 'graphql' THEN {graphql} WHEN 'openapi' THEN {openapi} WHEN 'swagger' THEN {swagger} ELSE {yaml} END"),
+    ]
+    return [base, kind, out]
+
+
 def replays_stages(d) -> list[list[tuple[str, str]]]:
     """Stored replays from ``events``: cells of (target, identity), several runs each."""
     base = [
@@ -291,6 +334,7 @@ STAGES = {
     "pages": ("pages", pages_stages),
     "documents": ("documents", documents_stages),
     "scripts": ("events", scripts_stages),
+    "specs": ("customer", specs_stages),
     "replays": ("events", replays_stages),
 }
 
