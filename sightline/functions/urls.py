@@ -68,16 +68,20 @@ def base_authority(url: Column) -> Column:
 
 
 def route_path(link: Column) -> Column:
-    """Path of a link found in code: no scheme, host, query or fragment; one leading slash."""
+    """Path of a link found in code: no scheme, host, query or fragment; one leading slash.
+
+    A chain of replacements without branches, so that the plan holds the link once.
+    """
     p = F.trim(nz(link))
-    p = F.regexp_replace(p, r"^(?:[^/]*?://|//)[^/]*", "")
-    absolute = F.trim(nz(link)).rlike(r"^(?:[^/]*?://|//)")
-    p = F.when(absolute & ~p.startswith("/"), F.lit("/")).otherwise(p)
-    p = F.regexp_replace(p, r"[?#].*$", "")
-    p = F.when(p.startswith("./"), F.substr(p, F.lit(2))).otherwise(p)
-    p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
-    p = F.regexp_replace(p, r"(?<=.)/+$", "")
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    for regex, by in (
+        (r"(?s)\A(?:.*?://|//)[^/]*", ""),
+        (r"(?s)[?#].*\z", ""),
+        (r"\A\./", "/"),
+        (r"\A(?!/)", "/"),
+        (r"(?<=.)/+\z", ""),
+    ):
+        p = F.regexp_replace(p, regex, by)
+    return p
 
 
 def path_only(path: Column) -> Column:
