@@ -53,14 +53,6 @@ def host_risk(eps: DataFrame, findings: DataFrame) -> DataFrame:
     return out.withColumn("score", _score()).orderBy(F.desc("score"), F.desc("endpoints"), "host")
 
 
-def _with_zeros(df: DataFrame, column: str, values) -> DataFrame:
-    """Counts per value of a fixed list, zeros kept."""
-    spark = df.sparkSession
-    dim = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{column} string, pos int")
-    n = df.groupBy(column).agg(F.count("*").alias("n"))
-    return F.broadcast(dim).join(n, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"), "pos").orderBy("pos").drop("pos")
-
-
 def findings_by_severity(findings: DataFrame) -> DataFrame:
     n = findings.groupBy("severity").agg(F.count("*").alias("n"))
     return _dim(findings, "severity", SEVERITIES).join(n, "severity", "left").select(
