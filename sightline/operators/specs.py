@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions import urls
 from sightline.functions.text import nz
@@ -29,7 +30,7 @@ def _kind(prepared: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def yaml_to_json(texts: pd.Series) -> pd.Series:
     """YAML description to JSON; NULL where it is not YAML.  Only spec-like rows get here."""
     import json

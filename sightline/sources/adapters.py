@@ -276,9 +276,10 @@ def specs_stages(d) -> list[list[tuple[str, str]]]:
         f"'{{\"data\":{{\"__schema\":{{\"types\":[{{\"kind\":\"OBJECT\",\"name\":\"Query\",\"fields\":[{{\"name\":\"user' || {key} || '\",\"args\":[{{\"name\":\"id\"}},{{\"name\":\"first\"}}]}},{{\"name\":\"me\",\"args\":[]}}]}},"
         f"{{\"kind\":\"OBJECT\",\"name\":\"__Type\",\"fields\":[{{\"name\":\"kind\"}}]}},{{\"kind\":\"ENUM\",\"name\":\"E\"}}]}}}}}}'"
     )
+    smap = f"'{{\"version\":3,\"sources\":[\"src/a' || {key} || '.ts\",\"src/b.ts\",\"c.ts\",\"d.ts\"],\"mappings\":\"AAAA\"}}'"
     base = [("c", "c_custkey"), ("n", "c_nationkey")]
     kind = [(c, c) for c in ("c", "n")] + [
-        ("kind", "CASE WHEN c % 4 = 0 THEN 'graphql' WHEN c % 4 = 1 THEN 'openapi' WHEN c % 4 = 2 THEN 'swagger' ELSE 'yaml' END"),
+        ("kind", "CASE WHEN c % 5 = 0 THEN 'graphql' WHEN c % 5 = 1 THEN 'openapi' WHEN c % 5 = 2 THEN 'swagger' WHEN c % 5 = 3 THEN 'yaml' ELSE 'map' END"),
         ("host", "'spec' || CAST(n AS STRING) || '.shop.example'"),
     ]
     out = [
@@ -286,7 +287,7 @@ def specs_stages(d) -> list[list[tuple[str, str]]]:
         ("observed_at", "CAST('2024-04-01 00:00:00' AS TIMESTAMP)"),
         ("source", "'sitemap'"),
         ("method", "CASE WHEN kind = 'graphql' THEN 'POST' ELSE 'GET' END"),
-        ("url", "'https://' || host || CASE WHEN kind = 'graphql' THEN '/graphql' ELSE '/docs/' || kind || CAST(c AS STRING) END"),
+        ("url", "'https://' || host || CASE WHEN kind = 'graphql' THEN '/graphql' WHEN kind = 'map' THEN '/static/app' || CAST(c AS STRING) || '.js.map' ELSE '/docs/' || kind || CAST(c AS STRING) END"),
         ("host", "host"),
         ("path", "CASE WHEN kind = 'graphql' THEN '/graphql' ELSE '/docs/' || kind || CAST(c AS STRING) END"),
         ("req_headers", d.arr(d.hdr("'Host'", "host"))),
@@ -295,7 +296,7 @@ def specs_stages(d) -> list[list[tuple[str, str]]]:
         ("status", "CAST(200 AS INT)"),
         ("resp_headers", d.arr(d.hdr("'Content-Type'", "CASE WHEN kind = 'yaml' THEN 'application/yaml' ELSE 'application/json' END"))),
         ("content_type", "CASE WHEN kind = 'yaml' THEN 'application/yaml' ELSE 'application/json' END"),
-        ("resp_body", f"CASE kind WHEN 'graphql' THEN {graphql} WHEN 'openapi' THEN {openapi} WHEN 'swagger' THEN {swagger} ELSE {yaml} END"),
+        ("resp_body", f"CASE kind WHEN 'graphql' THEN {graphql} WHEN 'openapi' THEN {openapi} WHEN 'swagger' THEN {swagger} WHEN 'map' THEN {smap} ELSE {yaml} END"),
     ]
     return [base, kind, out]
 

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline import schemas
 from sightline.functions.text import nz
@@ -66,7 +67,7 @@ def load_rules(spark: SparkSession, text: str) -> tuple[list[Rule], list[str]]:
 # --- bodies ------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflate(body: pd.Series, encoding: pd.Series) -> pd.Series:
     """gzip and deflate; anything that does not inflate is returned as it is."""
     import gzip
