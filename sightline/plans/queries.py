@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.config import Settings
 from sightline.functions import checks, classify, headers, text, urls
 from sightline.operators import (
     detect, diff, filters, js, json_fields, jwt, marts, params, replay, rollup, search, sessions, specs,
@@ -32,12 +31,23 @@ def ex(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
     return adapters.capture(spark, sf, *(parts or NET))
 
 
-def prep(spark, sf, *parts) -> DataFrame:
+@lru_cache(maxsize=64)
+def _prep(spark, app, sf, parts) -> DataFrame:
     return detect.prepare(ex(spark, sf, *parts))
 
 
-def inv(spark, sf, *parts, settings: Settings = Settings()) -> Inventory:
-    return Inventory(ex(spark, sf, *parts), settings)
+@lru_cache(maxsize=64)
+def _inv(spark, app, sf, parts) -> Inventory:
+    return Inventory(ex(spark, sf, *parts))
+
+
+def prep(spark, sf, *parts) -> DataFrame:
+    """The analysed plan is kept between queries; no data is."""
+    return _prep(spark, spark.sparkContext.applicationId, sf, parts)
+
+
+def inv(spark, sf, *parts) -> Inventory:
+    return _inv(spark, spark.sparkContext.applicationId, sf, parts)
 
 
 def joined(c, sep="|"):
