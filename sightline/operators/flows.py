@@ -157,7 +157,7 @@ def flow_seen(flows: DataFrame, eps: DataFrame) -> DataFrame:
     partial = f.where(~F.forall(full, lambda x: x))
     hit_exact = exact.join(em.select("verb", "mask", "k").distinct(), ["verb", "mask", "k"], "left_semi").select("method", "path")
     hit_partial = partial.join(em.select("verb", "mask", "k", "route"), ["verb", "mask", "k"]).where(
-        F.col("route").rlike(F.col("pattern"))
+        F.rlike("route", "pattern")
     ).select("method", "path").distinct()
     hits = hit_exact.unionByName(hit_partial).distinct().withColumn("_s", F.lit(True))
     return flows.join(hits, ["method", "path"], "left").withColumn("seen", F.coalesce("_s", F.lit(False))).drop("_s")
