@@ -159,7 +159,8 @@ def bounded(cls: str, core: str) -> str:
 
 RRN = f"SELECT seq, {s(pk.RRN_TYPE)} AS type, 'HIGH' AS severity, mm AS raw_match, url AS location FROM (SELECT seq, url, unnest({bounded('0-9', '[0-9]{6}-?[1-4][0-9]{6}')}) AS mm FROM pe WHERE has_resp) WHERE {rrn(DIGITS)}"
 PHONE = f"SELECT seq, {s(pk.PHONE_TYPE)} AS type, 'LOW' AS severity, unnest({bounded('0-9', '01[016789]-?[0-9]{3,4}-?[0-9]{4}')}) AS raw_match, url AS location FROM pe WHERE has_resp"
-CARD_MATCHES = "list_slice(regexp_extract_all(regexp_replace(body, '([^0-9. -])', '\\1\\1', 'g'), '(?:^|[^0-9.])((?:[0-9][ -]?){13,19})(?:[^0-9.]|$)', 1), 1, 25)"
+# Every other character is doubled, so that two numbers one space apart can share it as a boundary.
+CARD_MATCHES = "list_transform(list_slice(regexp_extract_all(regexp_replace(body, '([^0-9])', '\\1\\1', 'g'), '(?:^|[^0-9.])((?:[0-9](?:  |--)?){12,18}[0-9])(?:[^0-9.]|$)', 1), 1, 25), lambda x: replace(replace(x, '  ', ' '), '--', '-'))"
 CARD = f"SELECT seq, {s(pk.CARD_TYPE)} AS type, 'HIGH' AS severity, trim(mm) AS raw_match, url AS location FROM (SELECT seq, url, unnest({CARD_MATCHES}) AS mm FROM pe WHERE has_resp) WHERE {card(DIGITS)}"
 
 # --- headers ---
