@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sightline.llm import minhash
+from sightline.llm import decontaminate, minhash, privacy, quality
 
 QUERIES = {
+    "op1_pii": privacy.op1_pii,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
 }
 
