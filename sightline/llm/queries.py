@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, minhash, privacy, quality
+from sightline.llm import decontaminate, minhash, packing, privacy, quality
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
 }
