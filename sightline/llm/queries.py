@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, minhash, packing, privacy, quality
+from sightline.llm import chat, decontaminate, minhash, packing, privacy, quality, sharding
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_sharding": sharding.op4_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_chat_formatting": chat.OP10_SQL,
+}
