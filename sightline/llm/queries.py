@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sightline.llm import chat, decontaminate, minhash, packing, privacy, quality, sharding
+from sightline.llm import chat, decontaminate, minhash, packing, privacy, quality, sharding, warc
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
+    "op2_warc": warc.op2_warc,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
