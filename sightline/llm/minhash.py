@@ -7,8 +7,8 @@ are sent to bin ``i - BINS``, so every bin is filled after ``2 * BINS`` rounds a
 latest, and rounds end when all are. Bands of bins make buckets. Each bucket sends a
 *star* of candidates (member, smallest member), never all its pairs; stars are
 verified on the full sets. Where a bucket still holds several components afterwards,
-its members outside the largest one meet the rest in blocks, best estimates first,
-until no unverified pair of two components is left that the sketch holds possible.
+its members outside the largest one meet the rest in blocks, and every pair that the
+sketches hold possible is verified on the full sets unless it is connected already.
 
 Defined results: null text and text without words: no shingle, linked with nothing.
 Fewer words than the width: the whole sequence is the one shingle. Equal sets are one
@@ -33,10 +33,10 @@ BINS, BAND = 128, 4
 BANDS = BINS // BAND
 #: Estimates below this can't belong to a similarity of 0.75 (four standard deviations).
 POSSIBLE = 0.6
-#: Rows of a bucket, or texts of a star, that one task holds at a time.
-BLOCK = 1024
-#: Partners per member and foreign component in the first round of the second tier; eight times as many in each further one.
-FIRST_PARTNERS = 4
+#: Texts of a star, or of one side of a bucket, that one task holds at a time.
+BLOCK = 512
+#: Hubs tried first for what stands outside the largest component of a bucket, where that has at least WIDE members in it.
+BRIDGES, WIDE = 4, 32
 
 _SALT = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -132,64 +132,73 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block", "member").mapInArrow(_check_stars, "a long, b long")
 
 
-def _cross(partners: int):
-    """Of each bucket block: pairs of two components that the sketches hold possible, the best few per member and component."""
+def _bridges(own: DataFrame, seed: int) -> DataFrame:
+    """For members outside the largest component of a wide bucket: a few members of that component,
+    chosen by hashes, as hubs to try first. A short cut only: what it misses, ``_missing_links`` finds."""
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(seed + k)).alias("h"), "node")).alias(f"p{k}") for k in range(BRIDGES)]
+    tally = own.groupBy("band", "comp").agg(F.count("*").alias("n"), *picks)
+    main = tally.groupBy("band").agg(F.max(F.struct("n", "comp", *[f"p{k}" for k in range(BRIDGES)])).alias("m"), F.count("*").alias("comps")).where((F.col("comps") > 1) & (F.col("m.n") >= WIDE))
+    found = own.join(main, "band").where(F.col("comp") != F.col("m.comp"))
+    return found.select("node", F.explode(F.array(*[F.col(f"m.p{k}.node") for k in range(BRIDGES)])).alias("hub")).distinct()
 
-    def pick(rows: list[tuple]) -> tuple[list, list]:
-        left = [r for r in rows if r[0] == 0]
-        right = [r for r in rows if r[0] == 1]
-        if not left or not right:
-            return [], []
-        right_sketch = np.stack([np.frombuffer(r[3], np.uint16) for r in right])
-        right_comp = np.array([r[2] for r in right])
+
+def _check_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (band, block, side): the minor members of a block are held, all others
+    of the bucket's block pass by. A pair is tested in the first band that it shares, and only
+    while nothing found here connects its components."""
+    at, left, sketches = None, [], None
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    for batch in batches:
         a, b = [], []
-        for _, node, comp, values in left:
-            score = (right_sketch == np.frombuffer(values, np.uint16)).mean(axis=1)
-            found = np.flatnonzero((score >= POSSIBLE) & (right_comp != comp))
-            found = found[np.lexsort((-score[found], right_comp[found]))]
-            _, start, n = np.unique(right_comp[found], return_index=True, return_counts=True)
-            place = np.arange(len(found)) - np.repeat(start, n)
-            for k in found[place < partners]:
-                other = right[k][1]
-                a.append(max(node, other)), b.append(min(node, other))
-        return a, b
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        for batch in batches:
-            a, b = [], []
-            for key, block, side, node, comp, values in zip(*(batch.column(c).to_pylist() for c in ("band", "block", "side", "node", "comp", "sketch")), strict=True):
-                if at != (key, block):
-                    x, y = pick(rows)
-                    a += x
-                    b += y
-                    at, rows = (key, block), []
-                rows.append((side, node, comp, values))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "hub"])
-        a, b = pick(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "hub"])
-
-    return run
-
-
-def _mixed_buckets(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, partners: int) -> DataFrame:
-    """Unverified pairs of two components in one bucket. Members outside the bucket's largest
-    component (minor) meet all members, both cut in blocks."""
-    own = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("band", "node", "comp")
-    # the bucket's component with most members: count per (band, comp), then the largest per band
+        for band, no, block, side, node, comp, values, text in zip(*(batch.column(c).to_pylist() for c in ("band", "no", "block", "side", "node", "comp", "sketch", "text")), strict=True):
+            if at != (band, block):
+                at, left, sketches, up = (band, block), [], None, {}
+            if side == 0:
+                left.append((node, comp, values, shingle_set(text)))
+                continue
+            if not left:
+                continue
+            if sketches is None:
+                sketches = np.stack([np.frombuffer(x[2], np.uint16) for x in left])
+            values = np.frombuffer(values, np.uint16)
+            score = (sketches == values).sum(axis=1)
+            bands = sketches.view(np.uint64) == values.view(np.uint64)
+            close = np.flatnonzero((score >= POSSIBLE * BINS) & (bands.argmax(axis=1) == no))
+            own = None
+            for k in close[np.argsort(-score[close], kind="stable")]:
+                other, its, _, items = left[k]
+                if root(its) == root(comp):
+                    continue
+                own = shingle_set(text) if own is None else own
+                if _alike(own, items):
+                    up[root(its)] = root(comp)
+                    a.append(node), b.append(other)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _missing_links(own: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of every bucket that still holds several. The members outside
+    the bucket's largest component meet all members, both cut in blocks; full sets decide."""
     tally = own.groupBy("band", "comp").agg(F.count("*").alias("n"))
     per = tally.groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1")
-    rows = own.join(per, "band").join(nodes.select("node", "sketch"), "node")
-    rows = shared(rows.select("band", "node", "comp", "sketch", (F.col("comp") != F.col("main")).alias("minor"), F.ceil(F.col("size") / BLOCK).cast("long").alias("cuts")), "mh-mixed")
+    rows = own.join(per, "band").select("band", "no", "node", "comp", (F.col("comp") != F.col("main")).alias("minor"), F.ceil(F.col("size") / BLOCK).cast("long").alias("cuts"))
+    rows = shared(rows, "mh-mixed")
     place = F.pmod(F.xxhash64("node"), F.col("cuts"))
     every = F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)
-    left = rows.where("minor").select("band", F.lit(0).alias("side"), "node", "comp", "sketch", F.explode(F.transform(every, lambda k: place * F.col("cuts") + k)).alias("block"))
-    # blocks of the right side are needed only where the left side has members
-    used = rows.where("minor").select("band", "cuts", place.alias("i")).distinct()
-    right = rows.select("band", "node", "comp", "sketch", place.alias("j")).join(used, "band").select("band", F.lit(1).alias("side"), "node", "comp", "sketch", (F.col("i") * F.col("cuts") + F.col("j")).alias("block"))
-    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    pairs = left.unionByName(right).repartition(parts, "band", "block").sortWithinPartitions("band", "block").mapInArrow(_cross(partners), "node long, hub long").distinct()
-    return pairs.join(tried, ["node", "hub"], "left_anti")
+    left = rows.where("minor").select("band", "no", F.lit(0).alias("side"), "node", "comp", F.explode(F.transform(every, lambda k: place * F.col("cuts") + k)).alias("block"))
+    # the other side goes only where a block of minor members is
+    used = rows.where("minor").select("band", place.alias("i")).distinct()
+    right = rows.withColumn("j", place).join(used, "band").select("band", "no", F.lit(1).alias("side"), "node", "comp", (F.col("i") * F.col("cuts") + F.col("j")).alias("block"))
+    about = nodes.select("node", "sketch").join(texts, "node")
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    both = left.unionByName(right).join(about, "node").select("band", "no", "block", "side", "node", "comp", "sketch", "text")
+    return both.repartition(parts, "band", "block").sortWithinPartitions("band", "block", "side").mapInArrow(_check_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = shared(filled.groupBy("set_key").agg(F.min("node").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "mh-nodes")
     texts = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
 
-    band_rows = nodes.select("node", F.explode("bands").alias("band"))
+    band_rows = nodes.select("node", F.posexplode("bands").alias("no", "band"))
     stars = band_rows.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = shared(band_rows.join(stars, "band"), "mh-members")
     pairs = shared(members.where("node <> hub").select("node", "hub").distinct(), "mh-pairs")
@@ -209,16 +218,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = shared(verify(pairs, texts), "mh-links")
     labels = components(links)
 
-    larger = members.where("n > 2").select("band", "node")
-    partners = FIRST_PARTNERS
-    while True:
-        more = shared(_mixed_buckets(larger, nodes, labels, pairs, partners), "mh-more")
-        if more.isEmpty():
-            break
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(shared(verify(more, texts), "mh-links"))
-        labels = components(links)
-        partners *= 8
+    larger = members.where("n > 2").select("band", "no", "node")
+    labelled = lambda: larger.join(labels, "node", "left").select("band", "no", "node", F.coalesce("label", "node").alias("comp"))
+    for found in (lambda own: verify(_bridges(own, 1), texts), lambda own: _missing_links(own, nodes, texts)):
+        more = shared(found(shared(labelled(), "mh-own")), "mh-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
 
     # rows of one doc_id, or of one set, are one class: chain both to the component of their set
     of_set = nodes.select("set_key", "node").join(labels.withColumnRenamed("label", "comp"), "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
