@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm import chat, decontaminate, minhash, packing, privacy, quality, sharding, warc
+from sightline.llm import chat, decontaminate, extraction, minhash, packing, privacy, quality, sharding, warc
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_html_extraction": extraction.op7_html_extraction,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
