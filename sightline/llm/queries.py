@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from sightline.llm import chat, decontaminate, extraction, minhash, packing, privacy, quality, sharding, warc
+import corpus_pipeline
+from sightline.llm import chat, decontaminate, extraction, minhash, packing, privacy, quality, sharding, vectors, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pii": privacy.op1_pii,
     "op2_warc": warc.op2_warc,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_sharding": sharding.op4_sharding,
+    "op5_embedding_near_dedup": vectors.op5_embedding_near_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_html_extraction": extraction.op7_html_extraction,
     "op8_quality_classifier": quality.op8_quality_classifier,
@@ -17,6 +20,7 @@ QUERIES = {
 }
 
 SQL = {
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op2_warc": warc.OP2_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
