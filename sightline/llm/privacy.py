@@ -169,7 +169,8 @@ def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
     entities = near.groupBy("entity").agg(F.count_distinct("place").alias("c_e"))
     text = F.lower(F.coalesce(docs["text"].cast("string"), F.lit("")))
     terms = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
-    terms = terms.join(pairs.select("term").distinct(), "term", "left_semi")
+    # an inner join, since a semi join would be pushed below the count and meet every word of the corpus
+    terms = terms.join(pairs.select("term").distinct(), "term")
     total = docs.agg(F.count("*").alias("n"))
     known = pairs.join(entities, "entity").join(terms, "term").join(F.broadcast(total))  # total: one row
     shown = F.log(F.col("n") * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
