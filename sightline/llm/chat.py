@@ -143,12 +143,12 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-  SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '(<\||</?s>|<</?SYS>>|</?(start|end)_of_turn>)', '_\1', 'g'), '(\[/?INST\])', '_\1', 'g')) AS body FROM rows
+  SELECT *, length(regexp_replace(replace(role || chr(1) || text, '\', '\\'), '(<\||</?s>|<</?SYS>>|</?(start|end)_of_turn>|\[/?INST\])', '_\1', 'g')) - 1 AS escaped FROM rows
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(8 + length(role) + 8 + body + 8)::BIGINT AS formatted_chars
+  sum(8 + 8 + escaped + 8)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """

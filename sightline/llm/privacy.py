@@ -171,10 +171,10 @@ def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
     terms = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
     # an inner join, since a semi join would be pushed below the count and meet every word of the corpus
     terms = terms.join(pairs.select("term").distinct(), "term")
-    total = docs.agg(F.count("*").alias("n"))
-    known = pairs.join(entities, "entity").join(terms, "term").join(F.broadcast(total))  # total: one row
-    shown = F.log(F.col("n") * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    info = F.log(F.col("n") / F.col("c_e"))
+    total = float(docs.count())
+    known = pairs.join(entities, "entity").join(terms, "term")
+    shown = F.log(total * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    info = F.log(total / F.col("c_e"))
     return known.where((info > 0) & (shown >= DISCLOSURE * info)).select("entity", "term")
 
 
