@@ -37,6 +37,8 @@ POSSIBLE = 0.6
 BLOCK = 512
 #: Hubs tried first for what stands outside the largest component of a bucket, where that has at least WIDE members in it.
 BRIDGES, WIDE = 4, 32
+#: Bits of the table that is sent to the readers of texts.
+BITS = 1 << 24
 
 _SALT = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -201,6 +203,26 @@ def _missing_links(own: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
     return both.repartition(parts, "band", "block").sortWithinPartitions("band", "block", "side").mapInArrow(_check_block, "a long, b long")
 
 
+def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` (node, text) whose node is in ``wanted``. A bit table of fixed size drops most of the
+    others where they are read; where it is full the join alone decides."""
+    place = F.pmod(F.xxhash64("node", F.lit(9)), F.lit(BITS))
+    words = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits"))
+    table = np.zeros(BITS // 64, np.int64)
+    for r in words.collect():  # BITS / 64 rows at most
+        table[r["w"]] = r["bits"]
+    table = table.view(np.uint64)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy().astype(np.uint64)
+            found = table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(found.astype(bool))).select(["node", "text"])
+
+    near = rows.withColumn("place", place).mapInArrow(sieve, "node long, text string")
+    return near.join(wanted, "node", "left_semi")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
     sigs = shared(signatures(docs), "mh-signatures")
@@ -214,7 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = shared(members.where("node <> hub").select("node", "hub").distinct(), "mh-pairs")
     # a node's text is that of one of its rows; copies are dropped before anything is joined to it
     wanted = pairs.select("node").union(pairs.select("hub")).distinct()
-    texts = shared(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "mh-texts")
+    texts = shared(_only(texts, wanted).groupBy("node").agg(F.min("text").alias("text")), "mh-texts")
     links = shared(verify(pairs, texts), "mh-links")
     labels = components(links)
 
