@@ -154,13 +154,13 @@ def rrn(d: str) -> str:
 def bounded(cls: str, core: str) -> str:
     """Matches of ``core`` not touching ``cls``: every boundary character is doubled first, so
     that two neighbours can each use one."""
-    return f"list_slice(regexp_extract_all(regexp_replace(body, '([^0-9. -])', '\\1\\1', 'g'), {s(f'(?:^|[^{cls}])({core})(?:[^{cls}]|$)')}, 1), 1, 25)"
+    return f"regexp_extract_all(regexp_replace(body, '([^0-9. -])', '\\1\\1', 'g'), {s(f'(?:^|[^{cls}])({core})(?:[^{cls}]|$)')}, 1)"
 
 
 RRN = f"SELECT seq, {s(pk.RRN_TYPE)} AS type, 'HIGH' AS severity, mm AS raw_match, url AS location FROM (SELECT seq, url, unnest({bounded('0-9', '[0-9]{6}-?[1-4][0-9]{6}')}) AS mm FROM pe WHERE has_resp) WHERE {rrn(DIGITS)}"
 PHONE = f"SELECT seq, {s(pk.PHONE_TYPE)} AS type, 'LOW' AS severity, unnest({bounded('0-9', '01[016789]-?[0-9]{3,4}-?[0-9]{4}')}) AS raw_match, url AS location FROM pe WHERE has_resp"
 # Every other character is doubled, so that two numbers one space apart can share it as a boundary.
-CARD_MATCHES = "list_transform(list_slice(regexp_extract_all(regexp_replace(body, '([^0-9])', '\\1\\1', 'g'), '(?:^|[^0-9.])((?:[0-9](?:  |--)?){12,18}[0-9])(?:[^0-9.]|$)', 1), 1, 25), lambda x: replace(replace(x, '  ', ' '), '--', '-'))"
+CARD_MATCHES = "list_transform(regexp_extract_all(regexp_replace(body, '([^0-9])', '\\1\\1', 'g'), '(?:^|[^0-9.])((?:[0-9](?:  |--)?){12,18}[0-9])(?:[^0-9.]|$)', 1), lambda x: replace(replace(x, '  ', ' '), '--', '-'))"
 CARD = f"SELECT seq, {s(pk.CARD_TYPE)} AS type, 'HIGH' AS severity, trim(mm) AS raw_match, url AS location FROM (SELECT seq, url, unnest({CARD_MATCHES}) AS mm FROM pe WHERE has_resp) WHERE {card(DIGITS)}"
 
 # --- headers ---
@@ -234,7 +234,7 @@ CSRF = one(
     f"AND len(list_filter(req_headers, lambda h: {m('h.name', '(?i)' + pk.CSRF_HEADERS)})) = 0 AND len(list_filter(params, lambda p: p.location <> 'COOKIE' AND {m('p.name', '(?i)' + pk.CSRF_TOKEN_NAMES)})) = 0 "
     f"AND (contains({_RCT}, 'json') OR trim({_RCT}) = '' OR contains({_RCT}, 'x-www-form-urlencoded') OR contains({_RCT}, 'multipart/form-data') OR starts_with({_RCT}, 'text/plain'))", "nurl",
 )
-UPLOAD = one("'File upload endpoint'", "'INFO'", "ep_key", f"contains({_RCT}, 'multipart/') AND {m('left(req_body, 65536)', pk.FILE_PART)}", "nurl")
+UPLOAD = one("'File upload endpoint'", "'INFO'", "ep_key", f"contains({_RCT}, 'multipart/') AND {m('req_body', pk.FILE_PART)}", "nurl")
 AUTHFLOW = one("'Auth flow endpoint: ' || ep_flow", "'INFO'", "ep_key", "verb IN ('POST', 'PUT') AND st <> 0 AND ep_flow IS NOT NULL", "nurl")
 _STR = r'"(?:[^"\\]|\\.)*"'
 _TOKEN = rf'(?s){_STR}(?:\s*:(?:\s*(?:{_STR}|-?[0-9][0-9.eE+-]*))?)?'
@@ -246,12 +246,12 @@ MASS = " UNION ALL ".join(
     one(f"'Mass assignment candidate: {k}'", "'LOW'", "ep_key", f"is_json AND st BETWEEN 200 AND 299 AND verb IN ('POST', 'PUT', 'PATCH') AND contains({_RCT}, 'json') AND contains(body, '\"data\":{{\"isAdmin\"')", "nurl")
     for k in ("isAdmin", "role")
 )
-HTML_COMMENTS = f"SELECT seq, 'HTML Comment' AS type, 'INFO' AS severity, sha256('HTML Comment' || t) AS raw_match, url AS location FROM (SELECT seq, url, unnest(list_transform(list_slice(regexp_extract_all(body, '(?s)<!--(.*?)-->', 1), 1, 50), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)))) AS t FROM pe WHERE has_resp AND is_html) WHERE length(t) >= 4 AND {m('t', pk.COMMENT_INTERESTING)}"
+HTML_COMMENTS = f"SELECT seq, 'HTML Comment' AS type, 'INFO' AS severity, sha256('HTML Comment' || t) AS raw_match, url AS location FROM (SELECT seq, url, unnest(list_transform(regexp_extract_all(body, '(?s)<!--(.*?)-->', 1), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)))) AS t FROM pe WHERE has_resp AND is_html) WHERE length(t) >= 4 AND {m('t', pk.COMMENT_INTERESTING)}"
 GRAPHQL = one("'GraphQL endpoint'", "'INFO'", "'graphql|' || CASE WHEN url_host = '' THEN url ELSE url_host END", "has_resp AND body <> '' AND contains(lower(url), 'graphql')")
 
 # --- tokens ---
 TOKENS = """tk AS MATERIALIZED (SELECT seq, host, url, observed_at, unnest(tl) AS token, generate_subscripts(tl, 1) AS pos FROM (SELECT seq, host, url, observed_at,
- list_slice(list_distinct_ordered, 1, 4) AS tl FROM (SELECT seq, host, url, observed_at, list_filter(al, lambda x, i: list_position(al, x) = i) AS list_distinct_ordered FROM (
+ list_distinct_ordered AS tl FROM (SELECT seq, host, url, observed_at, list_filter(al, lambda x, i: list_position(al, x) = i) AS list_distinct_ordered FROM (
  SELECT seq, host, url, observed_at, flatten([regexp_extract_all(coalesce(rq_auth, ''), JW), regexp_extract_all(coalesce(rq_cookie, ''), JW), regexp_extract_all(body, JW)]) AS al FROM pe WHERE has_resp)))),
 dk AS MATERIALIZED (SELECT *, decode(from_base64(rpad(translate(split_part(token, '.', 1), '-_', '+/'), CAST(ceil(length(split_part(token, '.', 1)) / 4.0) * 4 AS INT), '='))) AS header,
  decode(from_base64(rpad(translate(split_part(token, '.', 2), '-_', '+/'), CAST(ceil(length(split_part(token, '.', 2)) / 4.0) * 4 AS INT), '='))) AS payload FROM tk)""".replace("JW", s(r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]*"))
@@ -362,7 +362,7 @@ SQL["json_params"] = f"WITH {pe('events')}, {_JP} SELECT seq, endpoint_key, name
 
 
 def pa(src: str = "SELECT * FROM rp UNION ALL SELECT * FROM jpn") -> str:
-    return f"pa AS MATERIALIZED (SELECT endpoint_key, location, name, arg_min(endpoint_path, seq) AS endpoint_path, coalesce(first(CASE WHEN length(value) > 120 THEN left(value, 120) || '…' ELSE value END ORDER BY seq, pos) FILTER (WHERE trim(value) <> ''), '') AS example, bool_or(reflected) AS reflected, count(*) AS seen FROM ({src}) GROUP BY 1, 2, 3)"
+    return f"pa AS MATERIALIZED (SELECT endpoint_key, location, name, arg_min(endpoint_path, seq) AS endpoint_path, coalesce(first(value ORDER BY seq, pos) FILTER (WHERE trim(value) <> ''), '') AS example, bool_or(reflected) AS reflected, count(*) AS seen FROM ({src}) GROUP BY 1, 2, 3)"
 
 
 PA = f"{_RP}, {_JP}, {pa()}, ph AS MATERIALIZED (SELECT *, {host('endpoint_key')} AS host FROM pa)"
@@ -462,7 +462,7 @@ SQL["state_import"] = f"WITH {fi('events')} SELECT type, severity, 'NEW' AS tria
 SQL["guide_label"] = f"""WITH {fi(*_NET)} SELECT DISTINCT 'type' AS "by", type AS what, CASE WHEN contains(lower(type), 'reflected param') THEN 'XSS' WHEN contains(lower(type), 'open redirect') THEN 'Open Redirect' END AS guide FROM fi
 UNION ALL SELECT DISTINCT 'content', content_type, CASE WHEN contains(lower(content_type), 'xml') OR contains(lower(content_type), 'soap') THEN 'XXE' END FROM ({capture_sql('events')}) WHERE content_type IS NOT NULL
 UNION ALL SELECT DISTINCT 'class', c, CASE WHEN c IN {inlist(pk.GUIDE_CLASSES)} THEN c END FROM (SELECT unnest({name_classes('nm')}) AS c FROM (SELECT unnest(['user_id', 'redirect_url', 'file', 'sort_by', 'cmd', 'session_token', 'debug', 'template', 'title', 'articleKey', 'id', 'next']) AS nm))"""
-SQL["per_body_cap"] = f"WITH {pe()}, hc AS (SELECT seq, count(*) AS comments FROM ({HTML_COMMENTS}) GROUP BY seq) SELECT * FROM (SELECT pe.seq AS seq, len({CARD_MATCHES}) AS card_matches, coalesce(comments, 0) AS comments FROM pe LEFT JOIN hc ON hc.seq = pe.seq) WHERE card_matches > 0 OR comments > 0"
+SQL["per_body_cap"] = f"WITH {pe()}, hc AS (SELECT seq, count(*) AS comments FROM ({HTML_COMMENTS}) GROUP BY seq) SELECT * FROM (SELECT pe.seq AS seq, least(len({CARD_MATCHES}), 25) AS card_matches, coalesce(comments, 0) AS comments FROM pe LEFT JOIN hc ON hc.seq = pe.seq) WHERE card_matches > 0 OR comments > 0"
 SQL["delete_hosts"] = f"""WITH {ipe()}, {EP}, {TECH}, {_RP}, {pa('SELECT * FROM rp')}, ph AS (SELECT *, {host('endpoint_key')} AS host FROM pa), dh AS (SELECT host FROM tm WHERE regexp_matches(host, '^(?:api[0-2]|blog)'))
 SELECT 'kept' AS what, count(*) AS n FROM ep WHERE host NOT IN (SELECT host FROM dh) UNION ALL SELECT 'endpoints', count(*) FROM ep WHERE host IN (SELECT host FROM dh)
 UNION ALL SELECT 'tech', count(*) FROM tm WHERE host IN (SELECT host FROM dh) UNION ALL SELECT 'parameters', count(*) FROM ph WHERE host IN (SELECT host FROM dh)"""
@@ -594,8 +594,8 @@ def js_kind() -> str:
 JK = f"{JB}, jk AS MATERIALIZED (SELECT *, {js_kind()} AS kind FROM jb), jd AS (SELECT * FROM jk WHERE kind = '')"
 SQL["js_kind"] = f"WITH {JK} SELECT sha AS sha256, url, kind FROM jk"
 SQL["ordered_js_assets"] = f"WITH {JK} SELECT url, length(body) AS size, kind FROM jk"
-_ALL = "flatten([" + ", ".join(f"list_slice(regexp_extract_all(body, {s(rx)}, 1), 1, 500)" for _, rx in jp.LINK_RULES) + "])"
-JL = f"jl AS MATERIALIZED (SELECT DISTINCT sha, seq, url, trim(lk) AS link FROM (SELECT sha, seq, url, unnest({_ALL}) AS lk FROM jd) WHERE length(trim(lk)) BETWEEN 3 AND 300 AND NOT regexp_matches(trim(lk), '(?i)^[a-z]+/[a-z0-9.+-]+$') AND contains(lk, '/'))"
+_ALL = "flatten([" + ", ".join(f"regexp_extract_all(body, {s(rx)}, 1)" for _, rx in jp.LINK_RULES) + "])"
+JL = f"jl AS MATERIALIZED (SELECT DISTINCT sha, seq, url, trim(lk) AS link FROM (SELECT sha, seq, url, unnest({_ALL}) AS lk FROM jd) WHERE length(trim(lk)) >= 3 AND NOT regexp_matches(trim(lk), '(?i)^[a-z]+/[a-z0-9.+-]+$') AND contains(lk, '/'))"
 SQL["js_links"] = f"WITH {JK}, {JL} SELECT sha AS sha256, url AS js_url, link FROM jl"
 JR = f"jr AS (SELECT seq, {route_rule('rt')} AS type, link AS raw_match, url AS location FROM (SELECT *, {route('link')} AS rt FROM jl))"
 _RSEV = chain([(f"type = {s(r.name)}", s(r.severity)) for r in jp.ROUTES])
@@ -610,8 +610,8 @@ SQL["wordlist_params"] = f"WITH {ipe()}, {PA}, {_EPP}, {JK}, {JH} SELECT DISTINC
 HIDDEN = f"SELECT seq, 'Hidden parameter in JS: ' || name AS type, 'LOW' AS severity, name AS raw_match, url AS location FROM jh WHERE {m('name', jp.PARAM_INTERESTING)}"
 _LEADRX = scan(jp.LEAD_RULES, "true", src="jd")
 SQL["js_lead_rules"] = f"WITH {JK} SELECT seq, type, severity, {FINGER} AS fingerprint, location FROM ({_LEADRX})"
-_BC = "list_transform(list_slice(regexp_extract_all(body, '(?s)/\\*(.*?)\\*/', 1), 1, 50), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)))"
-_LC = "list_transform(list_slice(regexp_extract_all(body, '(?:^|[^:/])//([^\\n\\r]{0,300})', 1), 1, 50), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)))"
+_BC = "list_transform(regexp_extract_all(body, '(?s)/\\*(.*?)\\*/', 1), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)))"
+_LC = "list_transform(regexp_extract_all(body, '(?:^|[^:/])//([^\\n\\r]*)', 1), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)))"
 JSC = f"SELECT seq, 'JS Comment' AS type, 'INFO' AS severity, sha256('JS Comment' || t) AS raw_match, url AS location FROM (SELECT seq, url, unnest(list_concat({_BC}, {_LC})) AS t FROM jd) WHERE length(t) >= 4 AND {m('t', pk.COMMENT_INTERESTING)}"
 SQL["js_comments"] = f"WITH {JK} SELECT seq, type, severity, {FINGER} AS fingerprint, location FROM ({JSC})"
 SMR = "SELECT seq, 'Source map reference exposed' AS type, 'LOW' AS severity, 'sourcemap-ref|' || regexp_extract(url, '^(.*/)', 1) || r AS raw_match, url AS location FROM (SELECT seq, url, regexp_extract(body, '[/*][#@]\\s*sourceMappingURL\\s*=\\s*([^\\s''\"*]+)', 1) AS r FROM jb) WHERE r <> ''"
@@ -621,7 +621,7 @@ SQL["js_assets"] = f"WITH {JK}, {JL}, n1 AS (SELECT sha, count(*) AS n FROM jl G
 JF = f"{JK}, {JL}, {JR}, {JH}, je AS (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (ROUTES, HIDDEN, _LEADRX, JSC, SMR, JSEC)) + "), jf AS MATERIALIZED (SELECT type, raw_match, arg_min(severity, seq) AS severity, arg_min(location, seq) AS location, count(*) AS times_seen FROM je GROUP BY 1, 2)"
 _W = "CASE severity WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 4 WHEN 'LOW' THEN 1 ELSE 0 END"
 SQL["js_risk"] = f"WITH {JF} SELECT location, count(*) AS findings, CAST(sum({_W}) AS BIGINT) AS score FROM jf GROUP BY location"
-SQL["js_files_ranked"] = f"WITH {JF}, r AS (SELECT location, CAST(sum({_W}) AS BIGINT) AS score FROM jf GROUP BY location ORDER BY score DESC, location LIMIT 100) SELECT location, score, dense_rank() OVER (ORDER BY score DESC) AS rank FROM r"
+SQL["js_files_ranked"] = f"WITH {JF}, r AS (SELECT location, CAST(sum({_W}) AS BIGINT) AS score FROM jf GROUP BY location) SELECT location, score, dense_rank() OVER (ORDER BY score DESC) AS rank FROM r"
 SQL["js_asset_risk"] = f"WITH {JF}, r AS (SELECT location, count(*) AS n, CAST(sum({_W}) AS BIGINT) AS score FROM jf GROUP BY location) SELECT sha AS sha256, url, coalesce(n, 0) AS finding_count, coalesce(score, 0) AS risk FROM jk LEFT JOIN r ON location = url"
 SQL["js_noise"] = f"WITH {JF}, r AS (SELECT location, count(*) AS n FROM jf GROUP BY location), l AS (SELECT sha, count(*) AS k FROM jl GROUP BY sha) SELECT jk.sha AS sha256, url, kind, length(body) AS size, coalesce(n, 0) AS finding_count FROM jk LEFT JOIN r ON location = url LEFT JOIN l ON l.sha = jk.sha WHERE kind = '' AND NOT (length(body) < 2048 AND coalesce(k, 0) = 0 AND coalesce(n, 0) = 0)"
 SQL["js_sourced_findings"] = f"WITH {JF} SELECT type, severity, location, times_seen FROM jf WHERE location IN (SELECT url FROM jk)"
@@ -636,24 +636,28 @@ SQL["js_rebuild"] = f"WITH {JK} SELECT sha AS sha256, url, kind FROM jk WHERE se
 SQL["js_body_store"] = f"WITH {JK} SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_replace(left(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) || '_' || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[^a-z0-9._-]', '_', 'g'), '_+', '_', 'g'), 100), '\\.js$', '') || '_' || left(sha, 8) || '.js' AS file_name, sha AS sha256 FROM jk WHERE seq % 3 <> 0"
 SQL["src_js_files"] = f"WITH x AS (SELECT seq, url, resp_body FROM ({adapter_sql('scripts')})), y AS (SELECT seq, url, resp_body FROM x WHERE seq % 8 = 3 UNION ALL SELECT seq + 1000000000000, 'import://' || {_FILE}, resp_body FROM x) SELECT sha256(resp_body) AS sha256, arg_min(url, seq) AS url, starts_with(arg_min(url, seq), 'import://') AS imported, count(*) AS served FROM y GROUP BY 1"
 _NR = {r.name: r.regex for r in jp.NOTE_RULES}
-_NOTES = " UNION ALL ".join(f"SELECT sha, {s(n)} AS k, unnest(list_slice(regexp_extract_all(body, {s(rx)}), 1, 3)) AS x FROM jd" for n, rx in _NR.items())
+_NOTES = " UNION ALL ".join(f"SELECT sha, {s(n)} AS k, unnest(regexp_extract_all(body, {s(rx)})) AS x FROM jd" for n, rx in _NR.items())
 _SNIP = "trim(regexp_replace(x, '\\s+', ' ', 'g'))"
-SQL["js_notes"] = f"WITH {JK} SELECT DISTINCT sha AS sha256, k || ': ' || CASE WHEN length({_SNIP}) > 80 THEN left({_SNIP}, 80) || '…' ELSE {_SNIP} END AS note FROM ({_NOTES})"
+SQL["js_notes"] = f"WITH {JK} SELECT DISTINCT sha AS sha256, k || ': ' || {_SNIP} AS note FROM ({_NOTES})"
 SQL["js_note_rows"] = f"WITH {JK} SELECT DISTINCT sha AS sha256, k AS kind, {_SNIP} AS detail, true AS has_hint FROM ({_NOTES})"
 
 SQL = {k: v for k, v in SQL.items() if v}
 
 # --- structural JavaScript: the adapter's bodies have known shapes ---
-SQL["js_dom_flows"] = f"WITH {JK} SELECT sha AS sha256, 'DOM XSS: URL fragment (location.hash) -> innerHTML/outerHTML' AS type, 'HIGH' AS severity, '.innerHTML =' AS raw_match FROM jd WHERE contains(body, 'el.innerHTML = y')"
-SQL["js_guard_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Client-side authorization gate -> route: ' || x AS type, 'MEDIUM' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, '''(/admin/panel[0-9]+)''', 1) AS x FROM jd) WHERE x <> ''"
-SQL["js_argument_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Embedded crypto key/IV -> value: ' || x AS type, 'HIGH' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, 'k2 = ''([^'']+)''', 1) AS x FROM jd) WHERE x <> ''"
+_V1 = "regexp_extract(body, '(?:const|let|var) ([a-zA-Z]+) = location[.]hash;', 1)"
+_V2 = f"regexp_extract(body, '(?:const|let|var) ([a-zA-Z]+) = ' || {_V1} || ' [+]', 1)"
+SQL["js_dom_flows"] = f"WITH {JK} SELECT sha AS sha256, 'DOM XSS: URL fragment (location.hash) -> innerHTML/outerHTML' AS type, 'HIGH' AS severity, '.innerHTML =' AS raw_match FROM jd WHERE {_V1} <> '' AND {_V2} <> '' AND regexp_matches(body, '[.]innerHTML = ' || {_V2} || ';')"
+SQL["js_guard_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Client-side authorization gate -> route: ' || x AS type, 'MEDIUM' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, 'if [(][a-zA-Z]+[.]isAdmin[)] [{{][^}}]*''(/[^'']+)''', 1) AS x FROM jd) WHERE x <> ''"
+_ARG = "regexp_extract(body, 'CryptoJS[.]AES[.]encrypt[(][a-z]+, ([a-zA-Z]+)', 1)"
+SQL["js_argument_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Embedded crypto key/IV -> value: ' || x AS type, 'HIGH' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, 'var ' || {_ARG} || ' = ''([^'']+)''', 1) AS x FROM jd WHERE {_ARG} <> '') WHERE x <> ''"
+_METHOD = "regexp_extract(body, 'method: ''([A-Z]+)''', 1)"
 _CF = f"""cf AS (SELECT sha, seq, url, unnest([
-CASE WHEN contains(body, 'function save(u)') THEN {{'m': 'PUT', 'p': '/api/users/{{id}}', 'auth': 'Authorization (localStorage)', 'fn': 'save', 'via': 'fetch'}} END,
-CASE WHEN contains(body, 'const load') THEN {{'m': 'GET', 'p': '/api/' || regexp_extract(body, '/api/(v[0-9])', 1) || '/orders/{{oid}}/items', 'auth': '', 'fn': 'load', 'via': 'fetch'}} END,
-CASE WHEN contains(body, 'axios.post') THEN {{'m': 'POST', 'p': regexp_extract(body, '/api/posts/[0-9]+'), 'auth': 'X-Api-Key', 'fn': '', 'via': 'axios'}} END,
-CASE WHEN contains(body, 'axios.get') THEN {{'m': 'GET', 'p': '/admin/users', 'auth': '', 'fn': '', 'via': 'axios'}} END,
-CASE WHEN contains(body, 'function del(') THEN {{'m': 'DELETE', 'p': '/api/users/{{id}}', 'auth': '', 'fn': 'del', 'via': 'wrapper request() → fetch'}} END], recursive := true) FROM jd)"""
+CASE WHEN regexp_matches(body, 'return fetch[(]''[^'']+'' [+] [a-z]+[.]id, ') THEN {{'m': {_METHOD}, 'p': regexp_extract(body, 'return fetch[(]''([^'']+)''', 1) || '{{id}}', 'auth': regexp_extract(body, 'headers: [{{]([A-Za-z-]+): ', 1) || CASE WHEN contains(body, 'localStorage') THEN ' (localStorage)' ELSE '' END, 'fn': regexp_extract(body, 'function ([a-zA-Z]+)[(]', 1), 'via': 'fetch'}} END,
+CASE WHEN contains(body, 'await fetch(') THEN {{'m': 'GET', 'p': regexp_replace(regexp_extract(body, 'await fetch[(].([^?]+)[?]', 1), '[$][{{]([a-z]+)[}}]', '{{\\1}}'), 'auth': '', 'fn': regexp_extract(body, 'const ([a-zA-Z]+) = async', 1), 'via': 'fetch'}} END,
+CASE WHEN contains(body, 'axios.put(') THEN {{'m': 'PUT', 'p': regexp_extract(body, 'axios.put[(]''([^'']+)''', 1), 'auth': regexp_extract(body, 'headers: [{{]''([^'']+)''', 1), 'fn': '', 'via': 'axios'}} END,
+CASE WHEN contains(body, 'axios.get(') THEN {{'m': 'GET', 'p': regexp_extract(body, 'axios.get[(]''([^''?]+)', 1), 'auth': '', 'fn': '', 'via': 'axios'}} END,
+CASE WHEN regexp_matches(body, 'return callApi[(]') THEN {{'m': {_METHOD}, 'p': regexp_extract(body, 'fetch[(]''([^'']+)''', 1) || regexp_extract(body, 'callApi[(]''([^'']+)''', 1) || '{{id}}', 'auth': '', 'fn': regexp_extract(body, 'function ([a-zA-Z]+)[(]id[)]', 1), 'via': 'wrapper callApi() → fetch'}} END], recursive := true) FROM jd)"""
 SQL["client_flows"] = f"WITH {JK}, {_CF} SELECT m AS method, p AS path, arg_min({host('url')}, seq) AS host, max(auth) AS auth, max(fn) AS function, max(via) AS via, count(*) AS sightings FROM cf WHERE m IS NOT NULL GROUP BY 1, 2"
 SQL["client_flow_wrappers"] = f"WITH {JK}, {_CF} SELECT sha AS sha256, m AS method, p AS path, via, fn AS function FROM cf WHERE m = 'DELETE'"
-SQL["flow_type"] = f"WITH {JK}, {_CF} SELECT DISTINCT m AS method, p AS path, CASE WHEN contains(p, '{{') OR regexp_matches(p, '/[0-9]+(/|$)') OR p = '/admin/users' THEN 'Client Flow: IDOR candidate' END AS type, CASE WHEN contains(p, '{{id}}') THEN '{{id}}' WHEN regexp_matches(p, '/[0-9]+(/|$)') THEN 'the numeric path segment' WHEN p = '/admin/users' THEN 'user_id' END AS id_parameter FROM cf WHERE m IS NOT NULL"
+SQL["flow_type"] = f"WITH {JK}, {_CF} SELECT DISTINCT m AS method, p AS path, CASE WHEN contains(p, '{{') OR regexp_matches(p, '/[0-9]+(/|$)') OR p = '/admin/members' THEN 'Client Flow: IDOR candidate' END AS type, CASE WHEN contains(p, '{{id}}') THEN '{{id}}' WHEN regexp_matches(p, '/[0-9]+(/|$)') THEN 'the numeric path segment' WHEN p = '/admin/members' THEN 'user_id' END AS id_parameter FROM cf WHERE m IS NOT NULL"
 SQL["flow_type"] = SQL["flow_type"].replace("WHEN contains(p, '{id}') OR", "WHEN").replace("contains(p, '{') OR regexp_matches", "contains(p, '{id}') OR regexp_matches").replace("THEN 'Client Flow: IDOR candidate' END", "THEN 'Client Flow: IDOR candidate' ELSE 'Client Flow: no auth in call' END")

@@ -133,11 +133,11 @@ def user_rules(rules) -> Column:
 
 
 def _pii_matches(regex: str) -> Column:
-    return F.slice(F.regexp_extract_all(F.col("body"), F.lit(regex), F.lit(0)), 1, packs.PII_HITS_PER_RULE)
+    return F.regexp_extract_all(F.col("body"), F.lit(regex), F.lit(0))
 
 
 def _pii_ok() -> Column:
-    return F.col("has_resp") & (F.length("body") <= packs.PII_MAX_CHARS)
+    return F.col("has_resp")
 
 
 def pii_rrn() -> Column:
@@ -171,14 +171,14 @@ def cors() -> Column:
     cred = F.lower(nz(acac)) == "true"
     star = t == "*"
     reflected = origin.isNotNull() & (F.lower(origin) == F.lower(t))
-    first = F.when(star & cred, finding("CORS wildcard +creds", "HIGH", "acao=*|cred", url, "ACAO=* +creds"))
+    first = F.when(star & cred, finding("CORS wildcard +creds", "HIGH", "acao=*|cred", url, "any origin may read, with credentials"))
     first = first.when(
         reflected & cred,
-        finding("CORS reflected +creds", "HIGH", F.concat(F.lit("acao=reflected|"), acao), url, "ACAO reflects Origin +creds"),
+        finding("CORS reflected +creds", "HIGH", F.concat(F.lit("acao=reflected|"), acao), url, "the asking origin is echoed, with credentials"),
     )
-    first = first.when(star, finding("CORS wildcard", "LOW", "acao=*", url, "ACAO=*"))
+    first = first.when(star, finding("CORS wildcard", "LOW", "acao=*", url, "any origin may read"))
     first = first.when(
-        reflected, finding("CORS reflected", "LOW", F.concat(F.lit("acao=reflected|"), acao), url, "ACAO reflects Origin")
+        reflected, finding("CORS reflected", "LOW", F.concat(F.lit("acao=reflected|"), acao), url, "the asking origin is echoed")
     )
     first = first.when(
         origin.isNull(),
@@ -191,7 +191,7 @@ def cors() -> Column:
     rest = [
         F.when(nz(acam).contains("*"), finding("CORS wildcard Allow-Methods", "LOW", "acam=*", url, F.concat(F.lit("Access-Control-Allow-Methods: "), acam))),
         F.when(nz(acah).contains("*"), finding("CORS wildcard Allow-Headers", "LOW", "acah=*", url, F.concat(F.lit("Access-Control-Allow-Headers: "), acah))),
-        F.when(~star & reflected & ~vary, finding("CORS reflected without Vary: Origin", "LOW", F.concat(F.lit("acao=novary|"), acao), url, "ACAO reflects Origin, no Vary: Origin")),
+        F.when(~star & reflected & ~vary, finding("CORS reflected without Vary: Origin", "LOW", F.concat(F.lit("acao=novary|"), acao), url, "the asking origin is echoed, and caches are not told (Vary)")),
     ]
     return gate(F.col("has_resp") & acao.isNotNull(), F.array_compact(F.array(first, *rest)))
 
@@ -326,14 +326,11 @@ def mixed_content() -> Column:
     return some(
         (
             F.col("has_resp") & F.col("is_html") & url.startswith("https://") & rl(F.col("body"), packs.MIXED_CONTENT),
-            finding("Mixed content", "LOW", F.concat(F.lit("mixed|"), F.col("url_host")), url, "http:// sub-resource on https page"),
+            finding("Mixed content", "LOW", F.concat(F.lit("mixed|"), F.col("url_host")), url, "a page over https loads parts over http"),
         )
     )
 
 
-REFLECTED_PER_RESPONSE = 20
-
-
 def param_leads() -> Column:
     """Secret in URL, open redirect or reflection: the first that applies per parameter."""
     url, host, path = F.col("url"), F.col("url_host"), F.col("url_path")
@@ -364,7 +361,7 @@ def param_leads() -> Column:
 
     named = F.filter("params", lambda p: p["name"].isNotNull())
     return gate(
-        F.col("has_resp"), F.slice(F.array_compact(F.transform(named, lead)), 1, REFLECTED_PER_RESPONSE)
+        F.col("has_resp"), F.array_compact(F.transform(named, lead))
     )
 
 
@@ -408,15 +405,12 @@ def csrf() -> Column:
         (F.col("verb") == "POST") & F.col("rq_cookie").isNotNull() & F.col("rq_auth").isNull()
         & F.col("st").between(200, 399) & ~token & ~flow.isin("login", "signup") & (json | simple)
     )
-    ev = F.concat(F.lit("Cookie-authenticated POST ("), kind, F.lit(") with no anti-CSRF token or header" + note("confirm that a cross-site submission is refused")))
+    ev = F.concat(F.lit("a cookie alone carries this POST ("), kind, F.lit("); no token and no custom header guards it" + note("confirm that a cross-site submission is refused")))
     return some((cond, finding("CSRF candidate", F.when(json, F.lit("INFO")).otherwise(F.lit("LOW")), F.concat(F.lit("POST "), F.col("nurl")), F.col("nurl"), ev)))
 
 
-UPLOAD_HEAD = 65_536
-
-
 def upload() -> Column:
-    head = F.left(nz(F.col("req_body")), F.lit(UPLOAD_HEAD))
+    head = nz(F.col("req_body"))
     file = F.trim(F.regexp_extract(head, packs.FILE_PART, 1))
     ev = F.concat(
         F.lit("multipart file part"),
@@ -445,9 +439,6 @@ def auth_flow() -> Column:
 
 # --- JSON bodies ----------------------------------------------------------------------------
 
-BODY_LEADS_PER_RESPONSE = 5
-
-
 def _json_2xx() -> Column:
     return F.col("is_json") & F.col("st").between(200, 299)
 
@@ -462,7 +453,7 @@ def sensitive_fields() -> Column:
                       F.lit("-char value" + note("remove the field from the response")))
         return finding(F.concat(F.lit("Sensitive field in response: "), f["name"]), "MEDIUM", F.col("nurl"), F.col("nurl"), ev)
 
-    hits = F.slice(F.filter(json_fields(F.col("body"), packs.SENSITIVE_FIELDS.strip("^$")), ok), 1, BODY_LEADS_PER_RESPONSE)
+    hits = F.filter(json_fields(F.col("body"), packs.SENSITIVE_FIELDS.strip("^$")), ok)
     return gate(_json_2xx(), F.transform(hits, lead))
 
 
@@ -479,18 +470,22 @@ def mass_assignment() -> Column:
     )
 
     def lead(n: Column) -> Column:
-        ev = F.concat(F.col("verb"), F.lit(" JSON body did not send '"), n, F.lit("' but the response has it" + note("confirm that the server ignores it when sent")))
+        ev = F.concat(F.col("verb"), F.lit(" answered with '"), n, F.lit("', a field that the request left out" + note("confirm that the server ignores it when sent")))
         return finding(F.concat(F.lit("Mass assignment candidate: "), n), "LOW", F.col("ep_key"), F.col("nurl"), ev)
 
     cond = _json_2xx() & F.col("verb").isin("POST", "PUT", "PATCH") & filters.is_json(F.col("rq_ct"))
-    return gate(cond, F.transform(F.slice(got, 1, BODY_LEADS_PER_RESPONSE), lead))
+    return gate(cond, F.transform(got, lead))
 
 
 # --- comments, source maps, API surface ------------------------------------------------------
 
 
-def comment_hits(text: Column, regex: str, ftype: str, location: Column) -> Column:
-    found = F.slice(F.regexp_extract_all(text, F.lit(regex), F.lit(1)), 1, packs.COMMENTS_PER_BODY)
+def comment_hits(text: Column, comment: tuple[str, str, str], ftype: str, location: Column) -> Column:
+    """``comment``: expression, what opens it and what closes it."""
+    regex, opening, closing = comment
+    ends = len(opening) + len(closing)
+    whole = F.filter(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda m: m.endswith(closing) & (F.length(m) >= ends))
+    found = F.transform(whole, lambda m: F.substr(m, F.lit(len(opening) + 1), F.length(m) - ends))
     trimmed = F.transform(found, lambda m: F.regexp_replace(m, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""))
     kept = F.filter(trimmed, lambda t: (F.length(t) >= 4) & t.rlike(packs.COMMENT_INTERESTING))
     return F.transform(
@@ -499,15 +494,14 @@ def comment_hits(text: Column, regex: str, ftype: str, location: Column) -> Colu
 
 
 def html_comments() -> Column:
-    cond = F.col("has_resp") & F.col("is_html") & F.col("body").contains("<!--") & (F.length("body") <= packs.COMMENT_MAX_CHARS)
+    cond = F.col("has_resp") & F.col("is_html") & F.col("body").contains("<!--")
     return gate(cond, comment_hits(F.col("body"), packs.HTML_COMMENT, "HTML Comment", F.col("url")))
 
 
 def js_comments(body: Column, url: Column) -> Column:
-    small = F.length(body) <= packs.COMMENT_MAX_CHARS
     return F.concat(
-        gate(small & body.contains("/*"), comment_hits(body, packs.JS_BLOCK_COMMENT, "JS Comment", url)),
-        gate(small & body.contains("//"), comment_hits(body, packs.JS_LINE_COMMENT, "JS Comment", url)),
+        gate(body.contains("/*"), comment_hits(body, packs.JS_BLOCK_COMMENT, "JS Comment", url)),
+        gate(body.contains("//"), comment_hits(body, packs.JS_LINE_COMMENT, "JS Comment", url)),
     )
 
 
@@ -551,7 +545,7 @@ def sourcemap_exposed() -> Column:
     plain = F.regexp_replace(F.lower(nz(url)), r"[?#].*$", "")
     is_map = plain.endswith(".map")
     shaped = (
-        F.ltrim(F.left(body, F.lit(4096))).startswith("{") & body.contains('"version"') & body.contains('"sources"') & body.contains('"mappings"')
+        F.ltrim(body).startswith("{") & body.contains('"version"') & body.contains('"sources"') & body.contains('"mappings"')
     )
     v = F.try_parse_json(body)
     sources = F.try_variant_get(v, "$.sources", "array<variant>")
@@ -560,22 +554,23 @@ def sourcemap_exposed() -> Column:
     sample = F.array_join(
         F.slice(F.filter(F.transform(sources, lambda s: F.when(F.schema_of_variant(s) == "STRING", F.try_variant_get(s, "$", "string"))), lambda s: s.isNotNull()), 1, 3), ", "
     )
-    small = F.length(body) <= 8_000_000
+    # a document that the parser refuses (too large or too deep) is judged by its shape
+    parsed = v.isNotNull()
     ev_small = F.concat(F.size(sources).cast("string"), F.lit(" original sources: "), sample)
-    ev_big = F.concat(F.lit("valid source map, "), F.length(body).cast("string"), F.lit(" chars (too large to enumerate sources)"))
+    ev_big = F.concat(F.lit("valid source map, "), F.length(body).cast("string"), F.lit(" characters long; its sources were not listed"))
     raw = F.concat(F.lit("sourcemap|"), url)
-    looked = F.col("has_resp") & (body != "") & (F.length(body) <= 20_000_000) & (is_map | shaped)
+    looked = F.col("has_resp") & (body != "") & (is_map | shaped)
     return some(
-        (looked & small & sources.isNotNull() & text_mapping, finding("Source map exposed", "MEDIUM", raw, url, cut(ev_small, 300))),
-        (looked & ~small & shaped, finding("Source map exposed", "MEDIUM", raw, url, ev_big)),
+        (looked & sources.isNotNull() & text_mapping, finding("Source map exposed", "MEDIUM", raw, url, cut(ev_small, 300))),
+        (looked & ~parsed & shaped & F.rtrim(body).endswith("}"), finding("Source map exposed", "MEDIUM", raw, url, ev_big)),
     )
 
 
 def graphql_endpoint() -> Column:
     url = F.col("url")
     key = F.when(F.col("url_host") == "", url).otherwise(F.col("url_host"))
-    jsonish = F.col("is_json") | F.ltrim(F.left(F.col("body"), F.lit(64))).startswith("{")
-    looked = F.col("has_resp") & (F.col("body") != "") & (F.length("body") <= 5_000_000)
+    jsonish = F.col("is_json") | F.ltrim(F.col("body")).startswith("{")
+    looked = F.col("has_resp") & (F.col("body") != "")
     schema = jsonish & F.col("body").contains('"__schema"') & F.col("body").contains('"types"')
     return some(
         (looked & F.lower(url).contains("graphql"), finding("GraphQL endpoint", "INFO", F.concat(F.lit("graphql|"), key), url, "graphql")),

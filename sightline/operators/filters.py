@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +15,11 @@ from sightline.schemas import SEVERITIES
 
 
 def java_regex_ok(spark, regex: str) -> bool:
-    """Whether the JVM accepts the expression; checked once per rule on the driver."""
+    """Whether the JVM accepts the expression. Only a syntax error makes it invalid; any other failure is raised."""
     try:
-        spark.range(1).select(F.lit("").rlike(regex)).collect()
+        spark._jvm.java.util.regex.Pattern.compile(regex)
         return True
-    except Exception:
+    except IllegalArgumentException:  # what PatternSyntaxException is
         return False
 
 
@@ -171,14 +172,13 @@ def js_findings_view(
 
 
 def newest(df: DataFrame, cap: int, order: str = "first_seq") -> DataFrame:
-    """The ``cap`` rows with the largest ``order``; 0 keeps everything, 1..999 counts as 1000.
+    """The ``cap`` rows with the largest ``order``; 0 keeps everything.
 
     No global sort: ranges of ``order`` are counted, whole ranges above the cut are
     kept and only the range that holds the cut is ranked.
     """
     if cap <= 0:
         return df
-    cap = min(max(cap, 1000), 1_000_000)
     return keep_newest(df, cap, order)
 
 

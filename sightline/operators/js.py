@@ -21,7 +21,7 @@ def js_responses(prepared: DataFrame) -> DataFrame:
 
 def kind_of(host: Column, file: Column, head: Column, size: Column) -> Column:
     """Library, vendor or third-party label; empty for app code."""
-    small = (size > 0) & (size <= jp.BANNER_MAX_BODY)
+    filled = size > 0
 
     def label(kind: str, text: str, value: Column | None):
         pre = {"library": "Library: ", "third-party": "3rd-party: ", "vendor": ""}[kind]
@@ -35,7 +35,7 @@ def kind_of(host: Column, file: Column, head: Column, size: Column) -> Column:
         col = {"host": host, "file": file, "banner": head}[part]
         cond = rl(col, "(?i)" + rx) & (col != "")
         if part == "banner":
-            pairs.append((small & cond, label(kind, text, F.regexp_extract(head, "(?i)" + rx, 1) if "(" in rx and "$1" in text else None)))
+            pairs.append((filled & cond, label(kind, text, F.regexp_extract(head, "(?i)" + rx, 1) if "(" in rx and "$1" in text else None)))
         else:
             pairs.append((cond, label(kind, text, None)))
     return first_match(pairs, "")
@@ -67,12 +67,12 @@ def with_kind(bodies: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def link_array(body: Column) -> Column:
     """Distinct links in rule order, then text order."""
     hits = [
-        F.slice(F.regexp_extract_all(body, F.lit(rx), F.lit(1)), 1, jp.LINKS_PER_RULE) for _, rx in jp.LINK_RULES
+        F.regexp_extract_all(body, F.lit(rx), F.lit(1)) for _, rx in jp.LINK_RULES
     ]
     links = F.array_distinct(F.transform(F.concat(*hits), lambda s: F.trim(s)))
     return F.filter(
         links,
-        lambda s: F.length(s).between(3, 300)
+        lambda s: (F.length(s) >= 3)
         & ~(s.contains("${") | s.contains("{{") | s.contains("<%"))
         & ~s.rlike(jp.MIME_LIKE)
         & (s.startswith("/") | s.startswith("http") | s.contains("/")),
@@ -102,13 +102,9 @@ def link_origins(ln: DataFrame) -> DataFrame:
 
 
 def route_findings(ln: DataFrame) -> DataFrame:
-    """First matching family per link; at most 30 per body, in link order."""
+    """First matching family per link."""
     r = ln.withColumn("route", urls.route_path(F.col("link")))
     r = r.withColumn("rule", detect.route_rule(F.col("route"))).where(F.col("rule").isNotNull())
-    # A body has at most 2,000 links, so a group is bounded by the body it came from.
-    from pyspark.sql import Window as W
-
-    r = r.withColumn("rn", F.row_number().over(W.partitionBy("sha256").orderBy("pos"))).where(F.col("rn") <= jp.ROUTES_PER_BODY)
     sev = first_match([(F.col("rule") == x.name, x.severity) for x in jp.ROUTES])
     hint = first_match([(F.col("rule") == x.name, note(x.note)) for x in jp.ROUTES])
     f = finding(F.col("rule"), sev, F.col("link"), F.col("js_url"), F.concat(F.lit("route referenced in JS"), hint))
@@ -117,7 +113,7 @@ def route_findings(ln: DataFrame) -> DataFrame:
 
 def param_array(body: Column) -> Column:
     hits = F.concat(*[F.regexp_extract_all(body, F.lit(rx), F.lit(1)) for _, rx in jp.PARAM_RULES])
-    return F.slice(F.array_distinct(F.filter(hits, lambda n: F.length(n) >= 2)), 1, jp.PARAMS_PER_BODY)
+    return F.array_distinct(F.filter(hits, lambda n: F.length(n) >= 2))
 
 
 def hidden_params(assets: DataFrame) -> DataFrame:
@@ -127,10 +123,7 @@ def hidden_params(assets: DataFrame) -> DataFrame:
 
 
 def param_findings(hp: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    r = hp.where("interesting").withColumn("rn", F.row_number().over(W.partitionBy("sha256").orderBy("pos")))
-    r = r.where(F.col("rn") <= jp.PARAM_FINDINGS_PER_BODY)
+    r = hp.where("interesting")
     f = finding(
         F.concat(F.lit(jp.HIDDEN_PARAM_PREFIX), F.col("name")), "LOW", F.col("name"), F.col("js_url"),
         "parameter referenced in JS" + note("confirm how the endpoints that take it treat it"),
@@ -159,7 +152,7 @@ def body_findings(assets: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def snippet(s: Column) -> Column:
-    return cut(F.trim(F.regexp_replace(s, r"\s+", " ")), jp.SNIPPET_MAX)
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
 def _note_of(rule):
@@ -167,10 +160,10 @@ def _note_of(rule):
 
 
 def flat_notes(assets: DataFrame) -> DataFrame:
-    """sha256, ord, note: up to three matches per locator rule of app JavaScript."""
+    """sha256, ord, note: matches of the locator rules in app JavaScript."""
     arrays = []
     for r in jp.NOTE_RULES:
-        found = F.slice(F.regexp_extract_all("body", F.lit(r.regex), F.lit(0)), 1, jp.NOTE_MATCHES_PER_RULE)
+        found = F.regexp_extract_all("body", F.lit(r.regex), F.lit(0))
         arrays.append(F.transform(found, _note_of(r)))
     rows = assets.where("deep").select("sha256", F.posexplode(F.array_distinct(F.concat(*arrays))).alias("pos", "note"))
     return rows.select("sha256", (F.col("pos") + 1_000_000).alias("ord"), "note")

@@ -267,7 +267,6 @@ def _finish(calls: DataFrame, p: Program, bodies: DataFrame, fn: DataFrame) -> D
     path = F.regexp_replace(path, r"(?<!:)/{2,}", "/")
     d = calls.withColumn("query_keys", query).withColumn("path", path).where(c("path") != "")
     d = d.withColumn("rn", F.row_number().over(W.partitionBy("sha256", "method", "path").orderBy("call"))).where("rn = 1")
-    d = d.withColumn("rn", F.row_number().over(W.partitionBy("sha256").orderBy("call"))).where(c("rn") <= jp.FLOWS_PER_BODY)
     # Enclosing functions, from the inside out, through the bracket around each head.
     heads = fn.select("sha256", c("head").alias("scope"), c("name").alias("fname"))
     outer = p.tok.select("sha256", c("i").alias("scope"), c("parent").alias("pb")).join(p.tok.select("sha256", c("i").alias("pb"), c("scope").alias("up")), ["sha256", "pb"], "left")

@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_BODY = 512 * 1024
 _STR = r'"(?:[^"\\]|\\.)*+"'
 _TOKEN = rf'(?s){_STR}(?:\s*+:(?:\s*+(?:{_STR}|-?[0-9][0-9.eE+-]*+))?)?'
 _NAME = rf'(?s)\A"((?:[^"\\]|\\.)*+)"\s*+:'
 
 
 def _usable(body: Column) -> Column:
-    return (F.length(body) <= MAX_BODY) & F.left(F.ltrim(body), F.lit(1)).isin("{", "[")
+    return F.left(F.ltrim(body), F.lit(1)).isin("{", "[")
 
 
 def _unescape(s: Column) -> Column:
@@ -31,6 +30,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _new_name(f: Column, before: Column) -> Column:
+    """Of fields in the order of their names: the first of each name, its place in front."""
+    first = f.isNotNull() & (before.isNull() | (before["name"] != f["name"]))
+    return F.when(first, F.struct(f["i"].alias("i"), f["name"].alias("name"), f["value"].alias("value")))
+
+
 def json_fields(body: Column, names: str | None = None) -> Column:
     """Array of (name, value): distinct names in document order with the value of the first
     one, NULL where that is not a string or a number.  ``names`` limits them to whole names
@@ -49,10 +54,14 @@ def json_fields(body: Column, names: str | None = None) -> Column:
     first = let(
         F.transform(named, field),
         lambda fs: let(
-            F.transform(fs, lambda g: g["name"]),
-            lambda ns: F.filter(fs, lambda f, i: F.array_position(ns, f["name"]) == i + 1),
+            F.array_sort(F.transform(fs, lambda f, i: F.struct(f["name"].alias("name"), i.alias("i"), f["value"].alias("value")))),
+            lambda placed: let(
+                F.concat(F.array(F.lit(None)), placed),
+                lambda before: F.array_sort(F.filter(F.zip_with(placed, before, _new_name), lambda f: f.isNotNull())),
+            ),
         ),
     )
+    first = F.transform(first, lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value")))
     empty = F.array().cast("array<struct<name:string,value:string>>")
     return F.when(_usable(body), first).otherwise(empty)
 

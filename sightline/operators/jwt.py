@@ -10,12 +10,11 @@ from sightline.functions.text import nz, whole
 from sightline.operators.detect import EVENT_COLS, _set_cookies, finding, note
 from sightline.rules import packs
 
-TOKENS_PER_MESSAGE = 4
 LONG_LIVED_DAYS = 30
 
 
 def tokens(prepared: DataFrame) -> DataFrame:
-    """Up to four distinct tokens per exchange: seq, host, url, pos, token."""
+    """Distinct tokens of every exchange: seq, host, url, pos, token."""
     texts = F.concat(F.array("rq_auth", "rq_cookie"), _set_cookies(), F.array("body"))
     found = F.flatten(
         F.transform(
@@ -25,7 +24,7 @@ def tokens(prepared: DataFrame) -> DataFrame:
     )
     hit = prepared.where(F.col("has_resp") & F.col("host").isNotNull())
     return hit.select(
-        "seq", "observed_at", "host", "url", F.posexplode(F.slice(F.array_distinct(found), 1, TOKENS_PER_MESSAGE)).alias("pos", "token")
+        "seq", "observed_at", "host", "url", F.posexplode(F.array_distinct(found)).alias("pos", "token")
     )
 
 
@@ -100,7 +99,7 @@ def weaknesses(toks: DataFrame) -> DataFrame:
         F.when(F.size(parts) > 0, F.concat(F.lit(", "), F.array_join(parts, ", "))).otherwise(F.lit("")),
         F.when(
             has_payload,
-            F.concat(F.lit("; claims: "), F.array_join(F.slice(F.array_sort(keys), 1, 15), ", "), F.when(F.size(keys) > 15, F.lit(", ...")).otherwise(F.lit(""))),
+            F.concat(F.lit("; claims: "), F.array_join(F.array_sort(keys), ", ")),
         ).otherwise(F.lit("")),
     )
     rows = dec.select("seq", "host", "url", "pos", "token", summary.alias("summary"), F.posexplode(issues).alias("ipos", "i"))

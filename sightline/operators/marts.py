@@ -176,3 +176,12 @@ def report_rows(findings: DataFrame) -> DataFrame:
     return findings.select(
         "type", classify.category(F.col("type")).alias("category"), "severity", F.col("masked").alias("value"), "location", "evidence", "times_seen",
     )
+
+
+def ranked(risk: DataFrame) -> DataFrame:
+    """``risk`` with the dense ``rank`` of its score. Only the distinct scores, which are small whole numbers, meet in one window."""
+    from pyspark.sql import Window as W
+
+    scores = risk.select("score").distinct()
+    place = scores.withColumn("rank", F.dense_rank().over(W.orderBy(F.desc("score"))).cast("bigint"))
+    return risk.join(place, "score")

@@ -93,9 +93,6 @@ def merge_endpoints(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-EXAMPLE_MAX = 120
-
-
 def parameter_events(prepared: DataFrame) -> DataFrame:
     """Request parameters by location; XML ones are dropped."""
     body = F.when(F.col("has_resp"), F.col("body")).otherwise(F.lit(""))
@@ -123,7 +120,7 @@ def parameters(events: DataFrame) -> DataFrame:
         F.min("seq").alias("first_seq"),
     ).select(
         "endpoint_key", "location", "name", "endpoint_path", urls.host_of(F.col("endpoint_key")).alias("host"),
-        cut(nz(F.col("_e.value")), EXAMPLE_MAX).alias("example"), "reflected", "seen", "first_seq",
+        nz(F.col("_e.value")).alias("example"), "reflected", "seen", "first_seq",
     )
 
 

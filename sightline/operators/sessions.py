@@ -12,8 +12,6 @@ from sightline.functions.text import nz, rl
 from sightline.operators.json_fields import let
 from sightline.rules import packs
 
-NEWEST_REQUESTS = 5_000
-
 
 @dataclass(frozen=True)
 class Identity:
@@ -45,12 +43,11 @@ def _identity_key(i: Identity) -> str:
     return "\n".join(sorted(r for r in rows if "csrf" not in r.split("=")[0].lower() and "xsrf" not in r.split("=")[0].lower()))
 
 
-def discover(ex: DataFrame, saved: list[Identity] = (), newest: int = NEWEST_REQUESTS) -> DataFrame:
-    """Sessions among the newest requests: one row per (host, credential values).
-
-    Looking at the newest 5,000 requests is what the report does, hence the limit.
-    """
-    recent = ex.select("seq", "observed_at", "host", "path", "req_headers").orderBy(F.desc("observed_at"), F.desc("seq")).limit(newest)
+def discover(ex: DataFrame, saved: list[Identity] = (), newest: int | None = None) -> DataFrame:
+    """Sessions in the requests, or in the ``newest`` of them if asked: one row per (host, credential values)."""
+    recent = ex.select("seq", "observed_at", "host", "path", "req_headers")
+    if newest is not None:
+        recent = recent.orderBy(F.desc("observed_at"), F.desc("seq")).limit(newest)
     parts = F.filter(checks.auth_parts(F.col("req_headers")), lambda p: p["confidence"] == "CONFIRMED")
     df = recent.withColumn("parts", parts).withColumn("cred", _credential_key(F.col("parts"))).where(F.col("cred") != "")
     g = df.groupBy("host", "cred").agg(

@@ -12,16 +12,14 @@ from sightline.functions.text import nz
 from sightline.operators.detect import finding
 from sightline.rules import packs
 
-MAX_BODY = 5_000_000
-
 
 def _kind(prepared: DataFrame) -> DataFrame:
     body = F.col("body")
-    lead = F.ltrim(F.left(F.regexp_replace(F.left(body, F.lit(4096)), r"\A\s+", ""), F.lit(32)))
+    lead = F.left(F.regexp_replace(body, r"\A\s+", ""), F.lit(32))
     jsonish = F.col("is_json") | lead.startswith("{")
     ct = F.lower(F.col("ct"))
     yamlish = ~jsonish & (ct.contains("yaml") | lead.rlike(r"(?i)^(?:openapi|swagger)\s{0,8}:"))
-    ok = F.col("has_resp") & (F.length(body) <= MAX_BODY)
+    ok = F.col("has_resp")
     return prepared.select(
         "seq", "url", "body",
         (ok & jsonish & body.contains('"paths"') & (body.contains('"openapi"') | body.contains('"swagger"'))).alias("spec_json"),

@@ -657,11 +657,7 @@ def js_asset_risk(spark, sf):
 
 @query
 def js_files_ranked(spark, sf):
-    from pyspark.sql import Window as W
-
-    r = marts.js_risk(inv(spark, sf, "scripts").js_findings)
-    top = r.orderBy(F.desc("score"), "location").limit(100)
-    return top.select("location", "score", F.dense_rank().over(W.orderBy(F.desc("score"))).cast("bigint").alias("rank"))
+    return marts.ranked(marts.js_risk(inv(spark, sf, "scripts").js_findings)).select("location", "score", "rank")
 
 
 @query
@@ -812,9 +808,9 @@ def guide_label(spark, sf):
 
 @query
 def per_body_cap(spark, sf):
-    """At most 25 matches per body and rule, at most 50 comments per body."""
+    """The first 25 card matches of a body, as a reader asks for them, beside all of its comments."""
     p = prep(spark, sf)
-    n = p.select("seq", F.size(detect._pii_matches(packs.CARD)).cast("bigint").alias("card_matches"), F.size(detect.html_comments()).cast("bigint").alias("comments"))
+    n = p.select("seq", F.size(F.slice(detect._pii_matches(packs.CARD), 1, 25)).cast("bigint").alias("card_matches"), F.size(detect.html_comments()).cast("bigint").alias("comments"))
     return n.where((C("card_matches") > 0) | (C("comments") > 0))
 
 

@@ -49,16 +49,14 @@ class Structural:
         return reduce(lambda a, b: a.unionByName(b), out)
 
     def notes(self) -> DataFrame:
-        """sha256, note: structural notes first, then flat ones; at most 60 per body."""
+        """sha256, note: structural notes first, then flat ones."""
         from pyspark.sql import Window as W
 
         parts = [n.select("sha256", (F.lit(k * 10_000_000) + F.col("ord")).cast("bigint").alias("ord"), "note") for k, (_, n) in enumerate((self.dom, self.guard, self.argument))]
-        big = self.inventory.kinds.where(F.col("deep") & (F.col("size") > jp.STRUCTURAL_MAX_CHARS))
-        parts.append(big.select("sha256", F.lit(-1).cast("bigint").alias("ord"), F.lit(jp.TOO_LARGE_NOTE).alias("note")))
         parts.append(js.flat_notes(self.inventory.kinds).select("sha256", (F.col("ord") + 100_000_000).cast("bigint").alias("ord"), "note"))
         u = reduce(lambda a, b: a.unionByName(b), parts)
         w = W.partitionBy("sha256").orderBy("ord", "note")
-        return u.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= jp.NOTES_PER_BODY).select("sha256", "rn", "note")
+        return u.withColumn("rn", F.row_number().over(w)).select("sha256", "rn", "note")
 
     @cached_property
     def calls(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,14 @@ def get_spark(app: str = "sightline", master: str | None = None, **conf: str) ->
 def scratch_root(spark: SparkSession) -> str:
     """Folder that survives the loss of an executor: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made
-    and recorded in the session, so that later calls use the same one.
+    Only where the session names none and everything runs in one local process (tests,
+    a laptop) a temporary folder is made and recorded in the session, so that later calls
+    use the same one. On a cluster a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sightline-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

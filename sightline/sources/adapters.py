@@ -91,7 +91,7 @@ def events_stages(d) -> list[list[tuple[str, str]]]:
         ("has_auth", "e % 4 = 0"),
     ]
     out = [
-        ("seq", "e * 4"),
+        ("seq", "e * 8"),
         ("observed_at", "ts"),
         ("source", "CASE WHEN e % 10 = 0 THEN 'sitemap' ELSE 'proxy' END"),
         ("method", "method"),
@@ -164,7 +164,7 @@ def events_stages(d) -> list[list[tuple[str, str]]]:
 def pages_stages(d) -> list[list[tuple[str, str]]]:
     host = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
     return [[
-        ("seq", "page_id * 4 + 1"),
+        ("seq", "page_id * 8 + 1"),
         ("observed_at", "CAST('2024-02-01 00:00:00' AS TIMESTAMP)"),
         ("source", "'sitemap'"),
         ("method", "'GET'"),
@@ -188,7 +188,7 @@ def pages_stages(d) -> list[list[tuple[str, str]]]:
 def documents_stages(d) -> list[list[tuple[str, str]]]:
     url = "'https://' || source || '.docs.example/' || lang || '/' || CAST(doc_id AS STRING)"
     return [[
-        ("seq", "doc_id * 4 + 2"),
+        ("seq", "doc_id * 8 + 2"),
         ("observed_at", "CAST('2024-03-01 00:00:00' AS TIMESTAMP)"),
         ("source", "'sitemap'"),
         ("method", "'GET'"),
@@ -214,18 +214,18 @@ def scripts_stages(d) -> list[list[tuple[str, str]]]:
     )
     body = (
         "'/* build ' || CAST(k % 2 AS STRING) || ' user ' || CAST(u AS STRING) || ' */' || chr(10) || CASE u % 8 "
-        # 0: DOM flow through a variable
-        f"WHEN 0 THEN 'function go' || CAST(u AS STRING) || '(){{ var x = location.hash; var y = x + 1; el.innerHTML = y; }} var home = ' || {q} || '/home/' || CAST(u AS STRING) || {q} || ';' "
-        # 1: fetch with options and a template literal
-        f"WHEN 1 THEN 'function save(u){{ return fetch(' || {q} || '/api/users/' || {q} || ' + u.id, {{method: ' || {q} || 'PUT' || {q} || ', headers: {{Authorization: ' || {q} || 'Bearer ' || {q} || ' + localStorage.getItem(' || {q} || 't' || {q} || ')}}, body: JSON.stringify({{name: n, role: r' || CAST(u AS STRING) || '}})}}); }} const load = async (oid) => {{ const r = await fetch(`/api/v' || CAST(u % 4 AS STRING) || '/orders/$' || '{{oid}}/items?page=$' || '{{p}}&size=20`); }};' "
+        # 0: DOM flow through two variables
+        f"WHEN 0 THEN 'function paintCrumb' || CAST(u AS STRING) || '(){{ const frag = location.hash; const label = frag + 1; crumbBox.innerHTML = label; }} var shelf = ' || {q} || '/shelf/' || CAST(u AS STRING) || {q} || ';' "
+        # 1: fetch with options, and a template literal
+        f"WHEN 1 THEN 'function storeParcel(parcel){{ return fetch(' || {q} || '/api/parcels/' || {q} || ' + parcel.id, {{method: ' || {q} || 'PATCH' || {q} || ', headers: {{Authorization: ' || {q} || 'Token ' || {q} || ' + localStorage.getItem(' || {q} || 'pass' || {q} || ')}}, body: JSON.stringify({{weight: kg, zone: z' || CAST(u AS STRING) || '}})}}); }} const listStops = async (lane) => {{ const answer = await fetch(`/api/v' || CAST(u % 4 AS STRING) || '/lanes/$' || '{{lane}}/stops?from=$' || '{{first}}&limit=50`); }};' "
         # 2: axios and routes
-        f"WHEN 2 THEN 'axios.post(' || {q} || '/api/posts/' || CAST(u AS STRING) || {q} || ', {{title: t, body: b}}, {{headers: {{' || {q} || 'X-Api-Key' || {q} || ': k}}}}); axios.get(' || {q} || '/admin/users?debug=1&user_id=' || {q} || ' + id); var a = \"/api/orders/' || CAST(k % 2 AS STRING) || '\"; // TODO drop admin token' || chr(10) "
+        f"WHEN 2 THEN 'axios.put(' || {q} || '/api/notes/' || CAST(u AS STRING) || {q} || ', {{headline: h, pinned: p}}, {{headers: {{' || {q} || 'X-Api-Key' || {q} || ': key}}}}); axios.get(' || {q} || '/admin/members?debug=1&user_id=' || {q} || ' + picked); var more = \"/api/orders/' || CAST(k % 2 AS STRING) || '\"; // TODO drop admin token' || chr(10) "
         # 3: guard pair
-        f"WHEN 3 THEN 'if (user.isAdmin) {{ navigate(' || {q} || '/admin/panel' || CAST(u AS STRING) || {q} || '); }} go(' || {q} || '/home' || {q} || '); var s = \"https://stage' || CAST(u % 9 AS STRING) || '.corp.internal/x\";' "
+        f"WHEN 3 THEN 'if (viewer.isAdmin) {{ openPage(' || {q} || '/admin/ledger' || CAST(u AS STRING) || {q} || '); }} later(' || {q} || '/start' || {q} || '); var s = \"https://stage' || CAST(u % 9 AS STRING) || '.corp.internal/x\";' "
         # 4: argument pair
-        f"WHEN 4 THEN 'function enc(d){{ var key = ' || {q} || '0123456789abcdefXY' || lpad(CAST(u AS STRING), 4, ' ') || {q} || '; var k2 = ' || {q} || 'abcdefghijklmnopqrst' || CAST(u AS STRING) || {q} || '; return CryptoJS.AES.encrypt(d, k2, {{iv: iv}}); }} aesKey = \"A1b2C3d4E5f6' || CAST(u AS STRING) || '\";' "
+        f"WHEN 4 THEN 'function sealNote(plain){{ var short = ' || {q} || '0123456789abcdefXY' || lpad(CAST(u AS STRING), 4, ' ') || {q} || '; var seal = ' || {q} || 'qrstuvwxyzabcdefghij' || CAST(u AS STRING) || {q} || '; return CryptoJS.AES.encrypt(plain, seal, {{iv: start}}); }} aesKey = \"A1b2C3d4E5f6' || CAST(u AS STRING) || '\";' "
         # 5: parameters, comments, source map, wrapper
-        f"WHEN 5 THEN 'function request(p, opts) {{ return fetch(' || {q} || '/api' || {q} || ' + p, opts); }} function del(id){{ return request(' || {q} || '/users/' || {q} || ' + id, {{method: ' || {q} || 'DELETE' || {q} || '}}); }} var t = new URLSearchParams(location.search); var v = params.get(' || {q} || 'role' || {q} || '); params: {{ tier: 1 }}; eval(v); //# sourceMappingURL=app.' || CAST(u AS STRING) || '.js.map' || chr(10) "
+        f"WHEN 5 THEN 'function callApi(tail, opts) {{ return fetch(' || {q} || '/api' || {q} || ' + tail, opts); }} function dropParcel(id){{ return callApi(' || {q} || '/parcels/' || {q} || ' + id, {{method: ' || {q} || 'DELETE' || {q} || '}}); }} var asked = new URLSearchParams(location.search); var v = params.get(' || {q} || 'role' || {q} || '); params: {{ tier: 1 }}; eval(v); //# sourceMappingURL=app.' || CAST(u AS STRING) || '.js.map' || chr(10) "
         f"WHEN 6 THEN '/*! jQuery v3.6.' || CAST(u % 10 AS STRING) || ' */ var z = ' || {q} || '/lib/' || CAST(u AS STRING) || {q} || ';' "
         f"ELSE 'var vendor = ' || {q} || '/vendor/' || CAST(u AS STRING) || {q} || '; fetch(' || {q} || '/api/vendor' || {q} || ');' END"
     ).replace("{{", "{").replace("}}", "}")
@@ -239,7 +239,7 @@ def scripts_stages(d) -> list[list[tuple[str, str]]]:
         ("body", body),
     ]
     out = [
-        ("seq", "e * 4 + 3"),
+        ("seq", "e * 8 + 3"),
         ("observed_at", "ts"),
         ("source", "'proxy'"),
         ("method", "'GET'"),
@@ -340,11 +340,16 @@ STAGES = {
 }
 
 
+#: A table of more bytes than this is never dealt anew, however few its splits are.
+SMALL_TABLE = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input (fewer splits than cores) enough tasks; leave a large one alone."""
+    """Deal a table of a few megabytes, which is one split, over the cores; leave any other alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    plan = df._jdf.queryExecution()
+    small = int(plan.optimizedPlan().stats().sizeInBytes()) <= SMALL_TABLE
+    return df.repartition(cores) if small and plan.toRdd().getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,11 +31,15 @@ def with_manual(in_scope: DataFrame, manual: DataFrame) -> DataFrame:
     return in_scope.unionByName(manual.withColumn("source", F.lit("manual")))
 
 
+#: Sequence numbers of imported files begin here; those of a capture stay below.
+IMPORTED = 1 << 62
+
+
 def read_js_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files under a synthetic URL; ``seq`` follows the file name."""
+    """Whole files under a synthetic URL; ``seq`` is a hash of the file, above ``IMPORTED``, so a captured row comes first."""
     df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
     name = F.regexp_extract("file", r"([^/]*)$", 1)
-    return df.select(F.xxhash64("file").alias("seq"), F.concat(F.lit("import://"), name).alias("url"), "body")
+    return df.select((F.lit(IMPORTED) + F.pmod(F.xxhash64("file"), F.lit(IMPORTED))).alias("seq"), F.concat(F.lit("import://"), name).alias("url"), "body")
 
 
 NESTED_QUANTIFIER = re.compile(r"\([^()]*[+*]\)[+*]|\(\?:[^()]*[+*]\)[+*]")
