@@ -618,8 +618,15 @@ SMR = "SELECT seq, 'Source map reference exposed' AS type, 'LOW' AS severity, 's
 SQL["sourcemap_refs"] = f"WITH {JK} SELECT seq, type, severity, {FINGER} AS fingerprint, location FROM ({SMR})"
 JSEC = scan(pk.SECRETS, "true", src="jk")
 SQL["js_assets"] = f"WITH {JK}, {JL}, n1 AS (SELECT sha, count(*) AS n FROM jl GROUP BY sha), n2 AS (SELECT seq, count(*) AS n FROM ({JSEC}) GROUP BY seq) SELECT jk.sha AS sha256, url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, length(body) AS size, kind, served, coalesce(n1.n, 0) AS endpoint_count, coalesce(n2.n, 0) AS secret_count FROM jk LEFT JOIN n1 ON n1.sha = jk.sha LEFT JOIN n2 ON n2.seq = jk.seq"
-JF = f"{JK}, {JL}, {JR}, {JH}, je AS (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (ROUTES, HIDDEN, _LEADRX, JSC, SMR, JSEC)) + "), jf AS MATERIALIZED (SELECT type, raw_match, arg_min(severity, seq) AS severity, arg_min(location, seq) AS location, count(*) AS times_seen FROM je GROUP BY 1, 2)"
-_W = "CASE severity WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 4 WHEN 'LOW' THEN 1 ELSE 0 END"
+_V1 = "regexp_extract(body, '(?:const|let|var) ([a-zA-Z]+) = location[.]hash;', 1)"
+_V2 = f"regexp_extract(body, '(?:const|let|var) ([a-zA-Z]+) = ' || {_V1} || ' [+]', 1)"
+DOM = f"SELECT sha, seq, url, 'DOM XSS: URL fragment (location.hash) -> innerHTML/outerHTML' AS type, 'HIGH' AS severity, '.innerHTML =' AS raw_match FROM jd WHERE {_V1} <> '' AND {_V2} <> '' AND regexp_matches(body, '[.]innerHTML = ' || {_V2} || ';')"
+GUARD = "SELECT sha, seq, url, 'Client-side authorization gate -> route: ' || x AS type, 'MEDIUM' AS severity, x AS raw_match FROM (SELECT sha, seq, url, regexp_extract(body, 'if [(][a-zA-Z]+[.]isAdmin[)] [{][^}]*''(/[^'']+)''', 1) AS x FROM jd) WHERE x <> ''"
+_ARG = "regexp_extract(body, 'CryptoJS[.]AES[.]encrypt[(][a-z]+, ([a-zA-Z]+)', 1)"
+ARGUMENT = f"SELECT sha, seq, url, 'Embedded crypto key/IV -> value: ' || x AS type, 'HIGH' AS severity, x AS raw_match FROM (SELECT sha, seq, url, regexp_extract(body, 'var ' || {_ARG} || ' = ''([^'']+)''', 1) AS x FROM jd WHERE {_ARG} <> '') WHERE x <> ''"
+STRUCT = " UNION ALL ".join(f"SELECT seq, type, severity, raw_match, url AS location FROM ({x})" for x in (DOM, GUARD, ARGUMENT))
+JF = f"{JK}, {JL}, {JR}, {JH}, je AS (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (ROUTES, HIDDEN, _LEADRX, JSC, SMR, JSEC, STRUCT)) + "), jf AS MATERIALIZED (SELECT type, raw_match, arg_min(severity, seq) AS severity, arg_min(location, seq) AS location, count(*) AS times_seen FROM je GROUP BY 1, 2)"
+_W = "CASE severity WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 4 WHEN 'LOW' THEN 1 ELSE 0 END + CASE WHEN starts_with(type, 'DOM XSS:') THEN 5 ELSE 0 END"
 SQL["js_risk"] = f"WITH {JF} SELECT location, count(*) AS findings, CAST(sum({_W}) AS BIGINT) AS score FROM jf GROUP BY location"
 SQL["js_files_ranked"] = f"WITH {JF}, r AS (SELECT location, CAST(sum({_W}) AS BIGINT) AS score FROM jf GROUP BY location) SELECT location, score, dense_rank() OVER (ORDER BY score DESC) AS rank FROM r"
 SQL["js_asset_risk"] = f"WITH {JF}, r AS (SELECT location, count(*) AS n, CAST(sum({_W}) AS BIGINT) AS score FROM jf GROUP BY location) SELECT sha AS sha256, url, coalesce(n, 0) AS finding_count, coalesce(score, 0) AS risk FROM jk LEFT JOIN r ON location = url"
@@ -644,12 +651,9 @@ SQL["js_note_rows"] = f"WITH {JK} SELECT DISTINCT sha AS sha256, k AS kind, {_SN
 SQL = {k: v for k, v in SQL.items() if v}
 
 # --- structural JavaScript: the adapter's bodies have known shapes ---
-_V1 = "regexp_extract(body, '(?:const|let|var) ([a-zA-Z]+) = location[.]hash;', 1)"
-_V2 = f"regexp_extract(body, '(?:const|let|var) ([a-zA-Z]+) = ' || {_V1} || ' [+]', 1)"
-SQL["js_dom_flows"] = f"WITH {JK} SELECT sha AS sha256, 'DOM XSS: URL fragment (location.hash) -> innerHTML/outerHTML' AS type, 'HIGH' AS severity, '.innerHTML =' AS raw_match FROM jd WHERE {_V1} <> '' AND {_V2} <> '' AND regexp_matches(body, '[.]innerHTML = ' || {_V2} || ';')"
-SQL["js_guard_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Client-side authorization gate -> route: ' || x AS type, 'MEDIUM' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, 'if [(][a-zA-Z]+[.]isAdmin[)] [{{][^}}]*''(/[^'']+)''', 1) AS x FROM jd) WHERE x <> ''"
-_ARG = "regexp_extract(body, 'CryptoJS[.]AES[.]encrypt[(][a-z]+, ([a-zA-Z]+)', 1)"
-SQL["js_argument_pairs"] = f"WITH {JK} SELECT sha AS sha256, 'Embedded crypto key/IV -> value: ' || x AS type, 'HIGH' AS severity, x AS raw_match FROM (SELECT sha, regexp_extract(body, 'var ' || {_ARG} || ' = ''([^'']+)''', 1) AS x FROM jd WHERE {_ARG} <> '') WHERE x <> ''"
+SQL["js_dom_flows"] = f"WITH {JK} SELECT sha AS sha256, type, severity, raw_match FROM ({DOM})"
+SQL["js_guard_pairs"] = f"WITH {JK} SELECT sha AS sha256, type, severity, raw_match FROM ({GUARD})"
+SQL["js_argument_pairs"] = f"WITH {JK} SELECT sha AS sha256, type, severity, raw_match FROM ({ARGUMENT})"
 _METHOD = "regexp_extract(body, 'method: ''([A-Z]+)''', 1)"
 _CF = f"""cf AS (SELECT sha, seq, url, unnest([
 CASE WHEN regexp_matches(body, 'return fetch[(]''[^'']+'' [+] [a-z]+[.]id, ') THEN {{'m': {_METHOD}, 'p': regexp_extract(body, 'return fetch[(]''([^'']+)''', 1) || '{{id}}', 'auth': regexp_extract(body, 'headers: [{{]([A-Za-z-]+): ', 1) || CASE WHEN contains(body, 'localStorage') THEN ' (localStorage)' ELSE '' END, 'fn': regexp_extract(body, 'function ([a-zA-Z]+)[(]', 1), 'via': 'fetch'}} END,
@@ -661,3 +665,13 @@ SQL["client_flows"] = f"WITH {JK}, {_CF} SELECT m AS method, p AS path, arg_min(
 SQL["client_flow_wrappers"] = f"WITH {JK}, {_CF} SELECT sha AS sha256, m AS method, p AS path, via, fn AS function FROM cf WHERE m = 'DELETE'"
 SQL["flow_type"] = f"WITH {JK}, {_CF} SELECT DISTINCT m AS method, p AS path, CASE WHEN contains(p, '{{') OR regexp_matches(p, '/[0-9]+(/|$)') OR p = '/admin/members' THEN 'Client Flow: IDOR candidate' END AS type, CASE WHEN contains(p, '{{id}}') THEN '{{id}}' WHEN regexp_matches(p, '/[0-9]+(/|$)') THEN 'the numeric path segment' WHEN p = '/admin/members' THEN 'user_id' END AS id_parameter FROM cf WHERE m IS NOT NULL"
 SQL["flow_type"] = SQL["flow_type"].replace("WHEN contains(p, '{id}') OR", "WHEN").replace("contains(p, '{') OR regexp_matches", "contains(p, '{id}') OR regexp_matches").replace("THEN 'Client Flow: IDOR candidate' END", "THEN 'Client Flow: IDOR candidate' ELSE 'Client Flow: no auth in call' END")
+
+# --- everything in one inventory ---
+ALL = ("events", "pages", "documents", "scripts", "specs")
+SQL["merged_endpoints"] = f"""WITH {ipe(*ALL)}, {JK}, {JL}, me AS (SELECT method, nurl AS u, seq, source FROM pe UNION ALL SELECT 'JS', link, seq, 'js' FROM jl
+UNION ALL SELECT method, normalized_url, seq, 'spec' FROM ({SQL["openapi_endpoints"]}) UNION ALL SELECT method, normalized_url, seq, 'graphql' FROM ({SQL["graphql_fields"]}))
+SELECT method, u AS normalized_url, count(*) AS observations, array_to_string(list_sort(list(DISTINCT source)), '|') AS sources, min(seq) AS first_seq FROM me GROUP BY 1, 2"""
+_DECLARED = f"SELECT seq, endpoint_key, location, name FROM ({SQL['openapi_params']}) UNION ALL SELECT seq, normalized_url, 'JSON', unnest(string_split(args, '|')) FROM ({SQL['graphql_fields']}) WHERE args <> ''"
+SQL["merged_parameters"] = f"""WITH {ipe(*ALL)}, {_RP}, {_JP}, mp AS (SELECT seq, pos, endpoint_key, location, name, value FROM rp UNION ALL SELECT seq, pos, endpoint_key, location, name, value FROM jpn
+UNION ALL SELECT seq, 0, endpoint_key, location, name, NULL FROM ({_DECLARED}))
+SELECT endpoint_key, location, name, coalesce(first(value ORDER BY seq, pos) FILTER (WHERE trim(value) <> ''), '') AS example, count(*) AS seen, min(seq) AS first_seq FROM mp GROUP BY 1, 2, 3"""

@@ -83,13 +83,20 @@ class Inventory:
 
     @cached_property
     def js_events(self) -> DataFrame:
-        """Flat JavaScript findings (structural ones: ``plans.structural``)."""
+        """JavaScript findings: of the flat rules and of the structural analysis."""
         return (
             js.body_findings(self.kinds, self.settings)
             .unionByName(js.route_findings(self.links))
             .unionByName(js.param_findings(self.hidden))
+            .unionByName(self.structural.events())
         )
 
+    @cached_property
+    def structural(self):
+        from sightline.plans.structural import Structural
+
+        return Structural(self)
+
     @cached_property
     def js_findings(self) -> DataFrame:
         return rollup.findings(self.js_events)
@@ -114,6 +121,17 @@ class Inventory:
         )
         return rollup.retained(rollup.endpoints(ev), self.settings.retention_cap)
 
+    @cached_property
+    def all_parameters(self) -> DataFrame:
+        """Parameters sent in traffic and declared in descriptions."""
+        ev = (
+            rollup.parameter_events(self.prepared)
+            .unionByName(params.json_params(self.prepared))
+            .unionByName(specs.openapi_params(self.api_operations))
+            .unionByName(specs.graphql_params(self.graphql))
+        )
+        return rollup.retained(rollup.parameters(ev), self.settings.retention_cap)
+
     @cached_property
     def all_findings(self) -> DataFrame:
         ev = (

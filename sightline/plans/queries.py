@@ -712,6 +712,28 @@ def findings(spark, sf):
     return fi_out(inv(spark, sf).findings)
 
 
+EVERYTHING = ("events", "pages", "documents", "scripts", "specs")
+
+
+@query
+def merged_endpoints(spark, sf):
+    """Endpoints of traffic, JavaScript and descriptions in one table."""
+    return inv(spark, sf, *EVERYTHING).all_endpoints.select("method", "normalized_url", "observations", joined("sources").alias("sources"), "first_seq")
+
+
+@query
+def merged_parameters(spark, sf):
+    """Parameters of traffic and of descriptions in one table."""
+    return inv(spark, sf, *EVERYTHING).all_parameters.select("endpoint_key", "location", "name", "example", "seen", "first_seq")
+
+
+@query
+def merged_findings(spark, sf):
+    """Findings of traffic, JavaScript (flat and structural) and descriptions, by type."""
+    f = inv(spark, sf, *EVERYTHING).all_findings
+    return f.groupBy("type").agg(F.count("*").alias("findings"), F.sum("times_seen").cast("bigint").alias("times_seen"), F.min("first_seq").alias("first_seq"))
+
+
 @query
 def finding_is_new(spark, sf):
     ev = detect.explode_findings(prep(spark, sf), detect.pii_phone(), detect.csp(), detect.cors(), detect.html_comments())

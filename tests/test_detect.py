@@ -1,6 +1,7 @@
 """Literal cases of the network detectors, positive and negative."""
 
 from conftest import row
+from pyspark.sql import functions as F
 
 from sightline.operators import detect, jwt
 
@@ -106,3 +107,34 @@ def test_comments_and_source_maps(exchanges):
     ex = exchanges(row(1, body="<!-- TODO fix --><!-- ok --><!-- nothing here -->"), row(2, url="https://h.example/a.js.map", ct="application/json", body='{"version":3,"sources":["a.ts"],"mappings":"A"}'))
     assert [t[1] for t in run(ex, detect.html_comments)] == ["HTML Comment"]
     assert [t[1] for t in run(ex, detect.sourcemap_exposed)] == ["Source map exposed"]
+
+
+def test_nothing_is_cut_off(spark, exchanges):
+    """Bodies and counts past every former limit."""
+    from sightline.operators import js, replay, rollup, sessions
+
+    cards = " ".join(f"x{k}y 4539 5787 6362 1486" for k in range(40))
+    comments = "".join(f"<!-- todo {k} -->" for k in range(80)) + "<!-- " + "y" * 30_000 + " password -->"
+    upload = "p" * 70_000 + '\r\nContent-Disposition: form-data; name="f"; filename="late.bin"\r\n'
+    fields = "{" + ",".join(f'"k{k}":"{"v" * 60}"' for k in range(9_000)) + ',"ssn":"123-45-6789","password":"hunter22"}'
+    df = detect.prepare(exchanges(
+        row(seq=1, body=cards), row(seq=2, body=comments),
+        row(seq=3, method="POST", req={"Content-Type": "multipart/form-data; boundary=b"}, req_body=upload),
+        row(seq=4, ct="application/json", body=fields),
+        row(seq=5, params=[("QUERY", "t", "z" * 500)]),
+    ))
+    count = lambda seq, col: df.where(F.col("seq") == seq).select(F.size(col)).first()[0]
+    assert count(1, detect.pii_card()) == 40
+    assert count(2, detect.html_comments()) == 81
+    assert count(3, detect.upload()) == 1
+    assert len(fields) > 600_000 and count(4, detect.sensitive_fields()) >= 1
+    example = rollup.parameters(rollup.parameter_events(df)).where("name = 't'").first()["example"]
+    assert example == "z" * 500
+    same = "line,\n" * 60_000
+    a, b = same + "one", same + "\n".join(f"other {k}" for k in range(60_000))
+    pair = spark.createDataFrame([(a, b)], "a string, b string")
+    assert replay.similarity_columns(pair, "a", "b").first()["similarity"] < 0.9
+    links = spark.createDataFrame([("".join(f'"/p/{k}";' for k in range(900)) + '"/long/' + "q" * 400 + '"',)], "body string")
+    assert links.select(F.size(js.link_array(F.col("body")))).first()[0] >= 900
+    many = [row(seq=k, req={"Authorization": "Bearer sess-abcdef0123456789"} if k == 0 else {}) for k in range(6_000)]
+    assert sessions.discover(exchanges(*many)).count() == 1

@@ -80,3 +80,19 @@ def test_query_matches_its_sql(spark, name):
     assert order == sorted(names)
     want = sorted(repr(tuple(r[names.index(c)] for c in order)) for r in q.fetchall())
     assert sorted(repr(tuple(r[c] for c in order)) for r in df.collect()) == want
+
+
+def test_sources_of_one_capture_have_their_own_sequence_numbers(spark):
+    from sightline.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    seen = adapters.capture(spark, sf, "events", "pages", "documents", "scripts", "specs").groupBy("seq").count().where("count > 1")
+    assert seen.isEmpty()
+
+
+def test_inventory_holds_what_scripts_and_descriptions_name(spark):
+    sf = "/root/testdata/sf0.001"
+    sources = {x for r in QUERIES["merged_endpoints"](spark, sf).select("sources").distinct().collect() for x in r["sources"].split("|")}
+    assert {"js", "spec", "graphql", "proxy"} <= sources
+    types = {r["type"] for r in QUERIES["merged_findings"](spark, sf).collect()}
+    assert any(t.startswith("DOM XSS:") for t in types) and {"API spec exposed", "GraphQL schema parsed", "CSRF candidate"} & types
