@@ -44,13 +44,12 @@ def kind_of(host: Column, file: Column, head: Column, size: Column) -> Column:
 def distinct_bodies(js: DataFrame) -> DataFrame:
     """One row per body hash: the first URL wins.
 
-    Two steps, so that no shuffle carries a body more than once per task that saw it: the
-    winner of each hash is found on (sha, seq, url) alone and bodies are joined to it on a
-    key that is unique.
+    Each body is hashed once, and one aggregate keeps a single copy of it per task and
+    hash before the shuffle, however often it was served.
     """
     rows = js.where(~blank(F.col("body"))).withColumn("sha256", F.sha2("body", 256))
-    first = rows.groupBy("sha256").agg(F.min("seq").alias("seq"), F.count("*").alias("served"))
-    return first.join(rows.select("sha256", "seq", "url", "body"), ["sha256", "seq"]).dropDuplicates(["sha256", "seq"])
+    one = rows.groupBy("sha256").agg(F.min(F.struct("seq", "url")).alias("m"), F.count("*").alias("served"), F.first("body").alias("body"))
+    return one.select("sha256", "m.seq", "served", "m.url", "body")
 
 
 def with_kind(bodies: DataFrame, settings: Settings = Settings()) -> DataFrame:

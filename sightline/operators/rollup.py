@@ -71,8 +71,12 @@ def auth_status(auth: Column, anon: Column) -> Column:
 
 def merge_endpoints(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rollup of two rollups: the same result as one rollup of all observations."""
-    u = a.unionByName(b)
-    return u.groupBy("method", "normalized_url").agg(
+    return merge_parts(a.unionByName(b))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Rollup of any number of rollups in one table."""
+    return parts.groupBy("method", "normalized_url").agg(
         F.min_by("host", "first_seq").alias("host"),
         F.min_by("path", "first_seq").alias("path"),
         F.sum("observations").alias("observations"),

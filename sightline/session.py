@@ -22,6 +22,8 @@ def get_spark(app: str = "sightline", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # state of a stream outgrows the heap: one row per script body ever seen
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)

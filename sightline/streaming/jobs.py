@@ -6,17 +6,21 @@ shared folder: nothing is collected by the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators import detect, filters, js, jwt, rollup
 from sightline.session import scratch_path
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain what is available into a parquet table and read that."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Drain what is available into a parquet table and read that.
+
+    ``path`` holds the table and the stream's checkpoint: a second run with the same one
+    goes on where the first ended. Without it a fresh folder is taken.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     q = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data")
         .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -25,104 +29,60 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def run_batches(stream: DataFrame, name: str, handle, mode: str = "append") -> str:
-    """Drain what is available through ``handle(batch, id, path)``; gives the folder."""
-    path = scratch_path(stream.sparkSession, name)
-    q = (
-        stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: handle(df, i, path))
-        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return path
-
+def run_parts(stream: DataFrame, name: str, part, path: str | None = None) -> DataFrame:
+    """Drain what is available; ``part(batch)`` of every micro-batch is one partition of a table.
 
-class VersionedTable:
-    """A table rewritten per batch as ``v=<batch id>``.
-
-    A batch that is run again after a failure reads the version before it and writes its
-    own version again, so it is applied once however often it runs.
+    A batch that runs again overwrites its own partition, so it counts once however often
+    it runs, and no batch rewrites what others wrote. The partitions are partial rollups:
+    whoever reads the table adds them up.
     """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, name)
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = []
-        for st in fs.listStatus(root):
-            n = st.getPath().getName()
-            if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                done.append(int(n[2:]))
-        return sorted(done)
-
-    def before(self, batch_id: int) -> DataFrame | None:
-        older = [v for v in self._versions() if v < batch_id]
-        return self.spark.read.parquet(f"{self.path}/v={older[-1]}") if older else None
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-
-    def latest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self._versions()[-1]}")
-
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
 
-def upsert_endpoints(stream: DataFrame, cap: int = 0) -> DataFrame:
-    """Endpoint rollup kept up to date batch by batch; with a cap the oldest are evicted."""
+    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/parts").drop("batch")
 
-    def handle(batch: DataFrame, batch_id: int, path: str) -> None:
-        table = VersionedTable(batch.sparkSession, f"{path}/endpoints")
-        part = rollup.endpoints(rollup.endpoint_events(detect.prepare(batch)))
-        old = table.before(batch_id)
-        merged = part if old is None else rollup.merge_endpoints(old, part)
-        table.write(filters.newest(merged, cap, "first_seq"), batch_id)
 
-    path = run_batches(stream, "stream-endpoints", handle)
-    return VersionedTable(stream.sparkSession, f"{path}/endpoints").latest()
+def upsert_endpoints(stream: DataFrame, cap: int = 0, path: str | None = None) -> DataFrame:
+    """Endpoint rollup kept up to date batch by batch; with a cap only the newest are read."""
+    parts = run_parts(stream, "stream-endpoints", lambda b: rollup.endpoints(rollup.endpoint_events(detect.prepare(b))), path)
+    return filters.newest(rollup.merge_parts(parts), cap, "first_seq")
 
 
-def finding_counts(stream: DataFrame) -> DataFrame:
-    """Running count per finding (update mode); the latest count of each key is kept."""
-    ev = detect.explode_findings(detect.prepare(stream), detect.pii_phone(), detect.pii_card(), detect.cors(), detect.csp())
-    counts = ev.groupBy("type", "raw_match").agg(F.count("*").alias("times_seen"), F.min("seq").alias("first_seq"))
+def finding_counts(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Running count per finding: counts of every batch, added up when read."""
 
-    def handle(batch: DataFrame, batch_id: int, path: str) -> None:
-        table = VersionedTable(batch.sparkSession, f"{path}/findings")
-        old = table.before(batch_id)
-        both = batch if old is None else old.unionByName(batch)
-        table.write(both.groupBy("type", "raw_match").agg(F.max("times_seen").alias("times_seen"), F.min("first_seq").alias("first_seq")), batch_id)
+    def part(batch: DataFrame) -> DataFrame:
+        ev = detect.explode_findings(detect.prepare(batch), detect.pii_phone(), detect.pii_card(), detect.cors(), detect.csp())
+        return ev.groupBy("type", "raw_match").agg(F.count("*").alias("times_seen"), F.min("seq").alias("first_seq"))
 
-    path = run_batches(counts, "stream-findings", handle, "update")
-    return VersionedTable(stream.sparkSession, f"{path}/findings").latest()
+    parts = run_parts(stream, "stream-findings", part, path)
+    return parts.groupBy("type", "raw_match").agg(F.sum("times_seen").alias("times_seen"), F.min("first_seq").alias("first_seq"))
 
 
-def new_js_bodies(stream: DataFrame) -> DataFrame:
+def new_js_bodies(stream: DataFrame, path: str | None = None) -> DataFrame:
     """First sighting of every JavaScript body; state holds one hash per body."""
     rows = js.js_responses(detect.prepare(stream)).withColumn("sha256", F.sha2("body", 256))
-    return run_to_table(rows.select("sha256", F.length("body").alias("size")).dropDuplicates(["sha256"]), "stream-js")
+    return run_to_table(rows.select("sha256", F.length("body").alias("size")).dropDuplicates(["sha256"]), "stream-js", path=path)
 
 
-def jwt_slots(stream: DataFrame) -> DataFrame:
+def jwt_slots(stream: DataFrame, path: str | None = None) -> DataFrame:
     """(host, algorithm) pairs as tokens show them, each emitted once."""
     dec = jwt.decoded(jwt.tokens(detect.prepare(stream))).where(F.col("header").isNotNull())
     from sightline.functions import checks
 
     rows = dec.select(F.lower("host").alias("host"), F.lower(checks.scalar(F.col("header"), "alg")).alias("alg"))
-    return run_to_table(rows.dropDuplicates(["host", "alg"]), "stream-jwt")
-
-
-def status_counters(stream: DataFrame) -> DataFrame:
-    """Running counters per host and status (complete mode)."""
-    counts = stream.where(F.col("status") > 0).groupBy("host", "status").agg(F.count("*").alias("n"))
+    return run_to_table(rows.dropDuplicates(["host", "alg"]), "stream-jwt", path=path)
 
-    def handle(batch: DataFrame, batch_id: int, path: str) -> None:
-        VersionedTable(batch.sparkSession, f"{path}/counters").write(batch, batch_id)
 
-    path = run_batches(counts, "stream-counters", handle, "complete")
-    return VersionedTable(stream.sparkSession, f"{path}/counters").latest()
+def status_counters(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Running counters per host and status."""
+    count = lambda b: b.where(F.col("status") > 0).groupBy("host", "status").agg(F.count("*").alias("n"))
+    return run_parts(stream, "stream-counters", count, path).groupBy("host", "status").agg(F.sum("n").alias("n"))
 
 
 def traffic_windows(ex: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
