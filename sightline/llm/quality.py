@@ -28,6 +28,8 @@ from sightline.llm.common import arrow_batches, shared, table
 
 #: Share of the diagonal in each class covariance, and a floor on its variances.
 SHRINKAGE, FLOOR = 0.02, 1e-4
+#: Words of usual text that every text is counted with, so that shares of short ones aren't extreme.
+BEFORE = 10
 #: Rows of each class that enter the fit at most; a larger class is thinned by a hash of the text.
 FIT_ROWS = 1_000_000
 
@@ -44,41 +46,46 @@ def statistics(text: str | None) -> np.ndarray:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
-    out = np.zeros(len(FEATURES))
-    if not n:
-        return out
+    tally = Counter(words)
     by = np.bincount(_CLASS, weights=np.bincount(np.frombuffer(raw, np.uint8), minlength=256), minlength=len(_GROUPS) + 1)
-    upper, lower, digit, stop, shout, mark, bar, line, _, wide = by
-    ink = max(1.0, by.sum() - line - by[8])
+    upper, lower, digit, stop, shout, mark, bar, line, blank, wide = by
+    ink, letters = by.sum() - line - blank, upper + lower + wide
     sizes = np.fromiter(map(len, words), np.int64, n)
-    tally = Counter(words)
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    ends = Counter(w[-1] for w in words)
-    marked = sum(v for k, v in ends.items() if _CLASS[k] in (4, 5, 6))
-    starts = Counter(w[0] for w in words)
-    share = lambda x: np.log(x + 0.01)
+    first, last = Counter(w[0] for w in words), Counter(w[-1] for w in words)
+    marked = sum(v for k, v in last.items() if _CLASS[k] in (4, 5, 6))
+    capital = sum(v for k, v in first.items() if _CLASS[k] == 0)
     per_line = np.fromiter((x.count(b" ") + 1 for x in lines), np.int64, len(lines))
-    out[:] = (
-        np.log1p(n),
-        np.log(sizes.mean()),
-        np.log1p(sizes.std()),
-        np.log1p(len(tally)) / np.log1p(n),
-        share(max(tally.values()) / n),
-        share((sizes <= 3).sum() / n),
-        share(upper / max(1.0, upper + lower + wide)),
-        share(digit / ink),
-        share(stop / ink),
-        share(shout / ink),
-        share(mark / ink),
-        share(bar / ink),
-        share(1 - len(set(lines)) / len(lines)),
-        share(len(lines) / n),
-        share(marked / n),
-        share(sum(v for k, v in starts.items() if _CLASS[k] == 0) / n),
-        np.log1p(len(set(zip(words, words[1:], strict=False)))) / np.log1p(n),
-        np.log1p(per_line.std()) - np.log1p(per_line.mean()),
+    pairs = len(set(zip(words, words[1:], strict=False)))
+
+    def share(count: float, of: float, usual: float, weight: float = BEFORE) -> float:
+        """Logarithm of a share, drawn to the usual one where there is little text to count in."""
+        return np.log((count + weight * usual) / (of + weight) + 0.01)
+
+    size = (sizes.sum() + 5.5 * BEFORE) / (n + BEFORE)
+    spread = np.sqrt((((sizes - size) ** 2).sum() + 9 * BEFORE) / (n + BEFORE))
+    return np.array(
+        [
+            np.log1p(n),
+            np.log(size),
+            np.log1p(spread),
+            np.log((len(tally) + BEFORE) / (n + BEFORE)),
+            share(max(tally.values(), default=0), n, 0.05),
+            share((sizes <= 3).sum(), n, 0.4),
+            share(upper, letters, 0.03, 6 * BEFORE),
+            share(digit, ink, 0, 6 * BEFORE),
+            share(stop, ink, 0.02, 6 * BEFORE),
+            share(shout, ink, 0, 6 * BEFORE),
+            share(mark, ink, 0, 6 * BEFORE),
+            share(bar, ink, 0, 6 * BEFORE),
+            share(len(lines) - len(set(lines)), len(lines), 0, 3),
+            share(len(lines), n, 0.02),
+            share(marked, n, 0),
+            share(capital, n, 0.08),
+            np.log((pairs + BEFORE) / (max(n - 1, 0) + BEFORE)),
+            np.log1p(per_line.std()) - np.log1p(per_line.mean()) if len(lines) else 0.0,
+        ]
     )
-    return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
