@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from sightline.config import Settings
 from sightline.operators import detect, filters, js, jwt, params, rollup, specs
+from sightline.session import persist_table
 
 
 class Inventory:
-    """Tables of one capture, each built on demand from the exchanges."""
+    """Tables of one capture, each built on demand from the exchanges.
+
+    Bodies are analysed once: what is observed in them (endpoints, parameters, finding
+    events, technologies) is written as narrow tables to the shared folder, and every
+    rollup and mart reads those.
+    """
 
     def __init__(self, exchanges: DataFrame, settings: Settings = Settings(), js_files: DataFrame | None = None):
         ex = filters.scope(exchanges, settings.scope_include, settings.scope_exclude)
@@ -25,9 +31,18 @@ class Inventory:
         return detect.prepare(self.exchanges)
 
     # --- network side ---
+    @cached_property
+    def endpoint_events(self) -> DataFrame:
+        return persist_table(rollup.endpoint_events(self.prepared), "seen-endpoints")
+
+    @cached_property
+    def parameter_events(self) -> DataFrame:
+        ev = rollup.parameter_events(self.prepared).unionByName(params.json_params(self.prepared))
+        return persist_table(ev, "seen-parameters")
+
     @cached_property
     def endpoints(self) -> DataFrame:
-        return rollup.retained(rollup.endpoints(rollup.endpoint_events(self.prepared)), self.settings.retention_cap)
+        return rollup.retained(rollup.endpoints(self.endpoint_events), self.settings.retention_cap)
 
     @cached_property
     def endpoint_params(self) -> DataFrame:
@@ -35,15 +50,14 @@ class Inventory:
 
     @cached_property
     def parameters(self) -> DataFrame:
-        ev = rollup.parameter_events(self.prepared).unionByName(params.json_params(self.prepared))
-        return rollup.retained(rollup.parameters(ev), self.settings.retention_cap)
+        return rollup.retained(rollup.parameters(self.parameter_events), self.settings.retention_cap)
 
     @cached_property
     def events(self) -> DataFrame:
         ev = detect.events(self.prepared, self.settings)
         if self.settings.run_passive_checks:
             ev = ev.unionByName(jwt.weaknesses(jwt.tokens(self.prepared)))
-        return ev
+        return persist_table(ev, "seen-findings")
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -71,7 +85,7 @@ class Inventory:
 
     @cached_property
     def assets(self) -> DataFrame:
-        return js.assets(self.bodies, self.settings)
+        return persist_table(js.assets(self.bodies, self.settings), "scripts")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -114,7 +128,7 @@ class Inventory:
     def all_endpoints(self) -> DataFrame:
         """Endpoints seen in traffic, named in JavaScript and declared in descriptions."""
         ev = (
-            rollup.endpoint_events(self.prepared)
+            self.endpoint_events
             .unionByName(js.link_endpoint_events(self.links))
             .unionByName(specs.openapi_endpoint_events(self.api_operations))
             .unionByName(specs.graphql_endpoint_events(self.graphql))
@@ -125,8 +139,7 @@ class Inventory:
     def all_parameters(self) -> DataFrame:
         """Parameters sent in traffic and declared in descriptions."""
         ev = (
-            rollup.parameter_events(self.prepared)
-            .unionByName(params.json_params(self.prepared))
+            self.parameter_events
             .unionByName(specs.openapi_params(self.api_operations))
             .unionByName(specs.graphql_params(self.graphql))
         )
