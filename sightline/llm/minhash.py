@@ -270,3 +270,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB: every pair of documents that shares a shingle, then what can be reached over the links.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (max(a.n) + max(b.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM s JOIN (SELECT doc_id, min(reach) AS c FROM r GROUP BY 1) m ON m.doc_id = s.doc_id
+"""

@@ -22,5 +22,7 @@ QUERIES = {
 SQL = {
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op2_warc": warc.OP2_SQL,
+    "op5_embedding_near_dedup": vectors.OP5_SQL,
+    "op9_minhash_near_dedup": minhash.OP9_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }

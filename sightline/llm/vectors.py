@@ -258,3 +258,14 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB: every pair of usable vectors, then what can be reached over the links.
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS reach FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT m.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.c AS component_id, m.vec_id = m.c AS kept
+FROM (SELECT vec_id, min(reach) AS c FROM r GROUP BY 1) m LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY 1) k ON k.a = m.vec_id
+"""
