@@ -30,18 +30,16 @@ def _kind(prepared: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def yaml_to_json(texts: pd.Series) -> pd.Series:
-    """YAML description to JSON; NULL where it is not YAML.  Only spec-like rows get here."""
+    """YAML description to JSON; NULL where it is not YAML.  Only spec-like rows get here.
+    A missing parser is an error of the job: descriptions would vanish without a word."""
     import json
 
-    try:
-        import yaml
-    except ImportError:
-        return pd.Series([None] * len(texts))
+    import yaml
 
     def one(t):
         try:
             return json.dumps(yaml.safe_load(t), default=str)
-        except Exception:
+        except (yaml.YAMLError, ValueError, TypeError, RecursionError):
             return None
 
     return texts.map(one)

@@ -71,14 +71,15 @@ def load_rules(spark: SparkSession, text: str) -> tuple[list[Rule], list[str]]:
 # --- bodies ------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.BinaryType())
-def inflate(body: pd.Series, encoding: pd.Series) -> pd.Series:
-    """gzip and deflate; anything that does not inflate is returned as it is."""
+@F.pandas_udf(T.StructType().add("raw", T.BinaryType()).add("error", T.StringType()))
+def inflate(body: pd.Series, encoding: pd.Series) -> pd.DataFrame:
+    """``raw`` and ``error`` of compressed bodies. What does not inflate is kept as it is with the
+    reason; without a decoder for its encoding a body has no text, only the reason."""
     import gzip
     import zlib
 
-    def one(b, enc):
-        try:
+    def inflated(b, enc):
+        if b is not None:
             if enc in ("gzip", "x-gzip"):
                 return gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b
             if enc == "deflate":
@@ -90,11 +91,17 @@ def inflate(body: pd.Series, encoding: pd.Series) -> pd.Series:
                 import brotli
 
                 return brotli.decompress(b)
-        except Exception:
-            return b
         return b
 
-    return pd.Series([one(b, e) for b, e in zip(body, encoding)])
+    def one(b, enc):
+        try:
+            return inflated(b, enc), None
+        except ImportError as e:
+            return None, f"{enc}: {e}"
+        except Exception as e:  # each decoder has errors of its own; the row names it
+            return b, f"{enc}: {e}"
+
+    return pd.DataFrame([one(b, e) for b, e in zip(body, encoding)], columns=["raw", "error"])
 
 
 # Charset names Spark decodes; everything else is read as UTF-8.
@@ -116,10 +123,11 @@ ENCODED = ["gzip", "x-gzip", "deflate", "br", "brotli"]
 
 
 def normalise_bodies(df: DataFrame, body: str = "raw_body", encoding: str = "content_encoding", content_type: str = "content_type") -> DataFrame:
-    """Adds ``text``.  Only rows with a compressed body pass through Python."""
+    """Adds ``text`` and ``body_error``.  Only rows with a compressed body pass through Python."""
     df = df.withColumn("_enc", F.lower(F.trim(nz(F.col(encoding)))))
     packed = F.col("_enc").isin(ENCODED)
-    plain = df.where(~packed).withColumn("_raw", F.col(body))
-    zipped = df.where(packed).withColumn("_raw", inflate(F.col(body), F.col("_enc")))
+    plain = df.where(~packed).withColumns({"_raw": F.col(body), "body_error": F.lit(None).cast("string")})
+    zipped = df.where(packed).withColumn("_z", inflate(F.col(body), F.col("_enc")))
+    zipped = zipped.withColumns({"_raw": F.col("_z.raw"), "body_error": F.col("_z.error")}).drop("_z")
     both = plain.unionByName(zipped)
     return both.withColumn("text", decode_text(F.col("_raw"), F.col(content_type))).drop("_raw", "_enc")

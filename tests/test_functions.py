@@ -92,3 +92,15 @@ def test_newest_keeps_exactly_n(spark):
     df = spark.range(5000).select(F.col("id").alias("first_seq"))
     got = filters.keep_newest(df, 1234, "first_seq").agg(F.count("*").alias("n"), F.min("first_seq").alias("m")).first()
     assert (got["n"], got["m"]) == (1234, 5000 - 1234)
+
+
+def test_bodies_that_do_not_inflate_say_so(spark):
+    import gzip
+
+    from sightline.sources import readers
+
+    rows = [(1, gzip.compress(b"ok"), "gzip"), (2, b"plain", "gzip"), (3, b"\x1f\x8bxx", "gzip"), (4, b"abc", "br"), (5, None, "deflate"), (6, b"x", "")]
+    df = spark.createDataFrame([(i, b, e, "text/plain; charset=utf-8") for i, b, e in rows], "id int, raw_body binary, content_encoding string, content_type string")
+    got = {r["id"]: (r["text"], r["body_error"]) for r in readers.normalise_bodies(df).collect()}
+    assert got[1] == ("ok", None) and got[2] == ("plain", None) and got[6] == ("x", None)
+    assert got[3][1].startswith("gzip: ") and got[4][1].startswith("br: ") and got[4][0] in (None, "abc")
