@@ -60,5 +60,6 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     for hook in hooks:
         out = out.join(hook.select(F.col("a").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     out = shared(out, "cc-roots")
-    least = out.groupBy("root").agg(F.min("node").alias("label"))
+    # written first: a component may hold a third of all nodes, and only a join of plain exchanges splits a skewed side
+    least = shared(out.groupBy("root").agg(F.min("node").alias("label")), "cc-least")
     return shared(out.join(least, "root").select("node", "label"), "cc-labels") if hooks else out.select("node", F.col("root").alias("label"))

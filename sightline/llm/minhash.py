@@ -251,7 +251,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # rows of one doc_id, or of one set, are one class: chain both to the component of their set
     of_set = nodes.select("set_key", "node").join(labels.withColumnRenamed("label", "comp"), "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
     rows = sigs.join(of_set, "set_key", "left").select("doc_id", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("node").alias("first"))
+    # written first, so that the join's sides are plain exchanges, of which a skewed one can be split
+    rows = shared(rows, "mh-rows")
+    least = shared(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("node").alias("first")), "mh-least")
     return rows.join(least, "comp").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("node") == F.col("first"))).alias("kept"))
 
 
