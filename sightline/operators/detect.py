@@ -7,7 +7,6 @@ capture is read a single time however many detectors run.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import checks
 from sightline.functions.text import nz, whole
-from sightline.operators.detect import EVENT_COLS, _set_cookies, finding, note
+from sightline.operators.detect import EVENT_COLS, _set_cookies, finding
 from sightline.rules import packs
 
 LONG_LIVED_DAYS = 30

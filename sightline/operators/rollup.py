@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import urls
-from sightline.functions.text import blank, cut, mask, nz, ordinal, short_content_type
+from sightline.functions.text import blank, mask, nz, ordinal, short_content_type
 from sightline.operators import filters
 from sightline.schemas import SEVERITIES
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sightline.operators import flows, js, js_calls, js_structure
 from sightline.plans.inventory import Inventory
-from sightline.rules import js_packs as jp
 from sightline.session import persist_table
 
 
