@@ -7,14 +7,14 @@ distances: the query is not coded), and the candidates are reranked by exact cos
 double precision. Each code carries the length of its own error, so the lookup score
 plus that length bounds the cosine from above: the filter loses nothing in a probed list.
 
-Probes. A list is probed when the query lies within ``MARGIN`` standard deviations of
-the plane between that list's centroid and the query's own: the direction from a vector
-to one at the asked cosine is spread over all dimensions, so what it moves along the
-line between two centroids is about its length divided by the root of the dimension.
+Probes. A vector at the asked cosine lies on a cap around the query. A list is probed
+when the cap reaches over the plane between that list's centroid and the query's own
+(Cauchy-Schwarz), so nothing is assumed of how vectors are spread and no link is lost.
+Lists that lie together are one group, and a query goes once to each group it probes.
 
 Centroids and codewords are fitted on at most ``FIT_ROWS`` vectors, chosen by a hash;
 every vector is indexed and every vector is a query. Equal vectors are one entry with a
-count, so copies are never compared or expanded. A list with many entries is cut in
+count, so copies are never compared or expanded. A group with many entries is cut in
 blocks, and so are its queries; a task holds one block of each and emits, next to counts,
 only a spanning forest of the links it finds.
 
@@ -40,9 +40,12 @@ LEAST_COSINE = 0.9
 FIT_ROWS, LIST_ROWS, MOST_LISTS = 50_000, 256, 4096
 #: Subspaces of a residual, codewords in each, rounds of k-means.
 SUBSPACES, CODEWORDS, ROUNDS = 8, 64, 8
-MARGIN = 3.0
-#: Entries of a list, and queries against it, that one task compares at a time.
+#: Lists in a group, on average.
+GROUP_LISTS = 16
+#: Entries of a group, and queries against it, that one task compares at a time.
 BLOCK = 4096
+#: Room for rounding where lists and lookups are in single precision.
+ROUNDING = 1e-5
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -67,9 +70,10 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Coarse centroids and, per subspace, codewords of residuals."""
+    """Coarse centroids, the group of each and, per subspace, codewords of residuals."""
 
     centers: np.ndarray
+    groups: np.ndarray
     words: list[np.ndarray]
 
     @classmethod
@@ -78,7 +82,8 @@ class Quantiser:
         centers = _kmeans(sample, lists, 1)
         left = sample - centers[_nearest(sample, centers)]
         cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        return cls(centers.astype(np.float32), [_kmeans(left[:, c], CODEWORDS, 2 + k).astype(np.float32) for k, c in enumerate(cuts)])
+        groups = _nearest(centers, _kmeans(centers, -(-lists // GROUP_LISTS), 1))
+        return cls(centers.astype(np.float32), groups, [_kmeans(left[:, c], CODEWORDS, 2 + k).astype(np.float32) for k, c in enumerate(cuts)])
 
     @property
     def cuts(self) -> list[slice]:
@@ -94,20 +99,28 @@ class Quantiser:
         return own, codes, np.linalg.norm(left - back, axis=1)
 
     def probes(self, x: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Per row the lists that may hold a vector at the asked cosine."""
-        reach = MARGIN * np.sqrt((1 - LEAST_COSINE**2) / max(1, x.shape[1] - 1))
-        half = 0.5 * (self.centers * self.centers).sum(axis=1)
-        apart = np.sqrt(np.maximum(0, 2 * (half[:, None] + half[None, :] - self.centers @ self.centers.T)))
+        """Per row the lists that can hold a vector at the asked cosine.
+
+        With ``w`` from the row's own centroid to another, a vector at an angle ``t`` reaches
+        ``cos(t) p + sin(t) q`` along ``w`` at most, where ``p`` and ``q`` are the parts of
+        ``w`` along and across the row; it can be in that list if this passes the plane between.
+        """
+        centers = self.centers.astype(np.float64)
+        square = (centers * centers).sum(axis=1)
         for k in range(0, len(x), 1024):
-            score = LEAST_COSINE * (x[k : k + 1024] @ self.centers.T) - half
-            mine = own[k : k + 1024]
-            gap = score[np.arange(len(mine)), mine][:, None] - score
-            for i, row in enumerate(gap <= reach * apart[mine]):
+            part, mine = x[k : k + 1024], own[k : k + 1024]
+            along = part @ centers.T
+            along -= along[np.arange(len(mine)), mine][:, None]
+            apart = np.maximum(0, square[mine][:, None] + square - 2 * (centers[mine] @ centers.T))
+            across = np.sqrt(np.maximum(0, apart - along * along))
+            apart = np.sqrt(apart)
+            most = np.where(along >= LEAST_COSINE * apart, apart, LEAST_COSINE * along + np.sqrt(1 - LEAST_COSINE**2) * across)
+            for i, row in enumerate(most + ROUNDING >= 0.5 * (square - square[mine][:, None])):
                 yield k + i, np.flatnonzero(row)
 
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
-        """Inner products of every query with every codeword, per subspace."""
-        return [queries[:, c] @ w.T for c, w in zip(self.cuts, self.words, strict=True)]
+        """Inner products of every codeword with every query, per subspace."""
+        return [w @ queries[:, c].T for c, w in zip(self.cuts, self.words, strict=True)]
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -136,7 +149,7 @@ def entries(vectors: DataFrame) -> DataFrame:
 
 
 def _spread(model: Quantiser):
-    """Per vector a row for its list (with codes), and a row for each list that it probes."""
+    """Per vector a row for its list (with codes), and a row for each group that it probes (with the lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,29 +162,42 @@ def _spread(model: Quantiser):
             rows: list[tuple] = []
             for i, lists in model.probes(unit, own):
                 data = unit[i].tobytes()
-                rows.append((int(own[i]), 0, ids[i], counts[i], data, codes[i].tobytes(), float(error[i])))
-                rows += [(int(k), 1, ids[i], counts[i], data, None, None) for k in lists]
+                groups = model.groups[lists]
+                rows.append((int(model.groups[own[i]]), 0, int(own[i]), ids[i], counts[i], data, codes[i].tobytes(), float(error[i])))
+                rows += [(int(g), 1, None, ids[i], counts[i], data, lists[groups == g].astype(np.int32).tobytes(), None) for g in np.unique(groups)]
             for k in range(0, len(rows), 4096):
                 cols = list(zip(*rows[k : k + 4096], strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["list", "side", "entry", "n", "unit", "code", "error"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["group", "side", "list", "entry", "n", "unit", "code", "error"])
 
     return run
 
 
+def _cosines(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Inner products of rows of ``x`` with rows of ``y``, so many at a time that the copies stay small."""
+    step = max(1, (1 << 21) // x.shape[1])
+    parts = [(y[cols[k : k + step]] * x[rows[k : k + step]]).sum(axis=1) for k in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def _compare(model: Quantiser):
-    """Rows come sorted by (list, block, side): the entries of a block, then its queries. Emits for each
+    """Rows come sorted by (group, block, side): the entries of a block, then its queries. Emits for each
     query the number of other vectors it links with there, and links that connect what is connected."""
 
     def block(held: list[tuple], asked: list[tuple]) -> tuple[list, list, list]:
         if not held or not asked:
             return [], [], []
+        held = sorted(held, key=lambda h: h[5])
         ids = np.array([h[0] for h in held])
         weight = np.array([h[1] for h in held])
         exact = np.frombuffer(b"".join(h[2] for h in held)).reshape(len(held), -1)
         codes = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1)
-        error = np.array([h[4] for h in held])
-        center = model.centers[held[0][5]].astype(np.float64)
+        least = np.float32(LEAST_COSINE - ROUNDING) - np.array([h[4] for h in held], np.float32)[:, None]
+        lists, first = np.unique([h[5] for h in held], return_index=True)
+        every = np.frombuffer(b"".join(a[2] for a in asked)).reshape(len(asked), -1)
+        asked_ids = np.array([a[0] for a in asked])
+        wanted = np.frombuffer(b"".join(a[3] for a in asked), np.int32)
+        by = np.repeat(np.arange(len(asked)), [len(a[3]) // 4 for a in asked])
         up: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -180,26 +206,26 @@ def _compare(model: Quantiser):
             return c
 
         nodes, near, counts = [], [], []
-        for k in range(0, len(asked), 256):
-            part = asked[k : k + 256]
-            q = np.frombuffer(b"".join(a[2] for a in part)).reshape(len(part), -1)
-            score = np.repeat((q @ center)[:, None], len(held), axis=1)
+        total = np.zeros(len(asked), np.int64)
+        pieces = [(lst, slice(x, y), k) for lst, x, y in zip(lists, first, [*first[1:], len(held)], strict=True) for k in [by[wanted == lst]]]
+        for lst, own, part in ((lst, own, k[j : j + 256]) for lst, own, k in pieces for j in range(0, len(k), 256)):
+            q = every[part].astype(np.float32)
+            score = np.repeat((q @ model.centers[lst])[None, :], own.stop - own.start, axis=0)
             for s, t in enumerate(model.tables(q)):
-                score += t[:, codes[:, s]]
-            rows, cols = np.nonzero(score + error >= LEAST_COSINE - 1e-5)
-            keep = (exact[cols] * q[rows]).sum(axis=1) >= LEAST_COSINE
+                score += t[codes[own, s]]
+            cols, rows = np.nonzero(score >= least[own])
+            cols, rows = cols + own.start, part[rows]
+            keep = _cosines(every, exact, rows, cols) >= LEAST_COSINE
+            keep &= asked_ids[rows] != ids[cols]
             rows, cols = rows[keep], cols[keep]
-            asked_ids = np.array([a[0] for a in part])
-            other = asked_ids[rows] != ids[cols]
-            rows, cols = rows[other], cols[other]
-            total = np.bincount(rows, weights=weight[cols], minlength=len(part))
-            for i in np.flatnonzero(total):
-                nodes.append(int(asked_ids[i])), near.append(None), counts.append(int(total[i]))
+            np.add.at(total, rows, weight[cols])
             for a, b in zip(asked_ids[rows].tolist(), ids[cols].tolist(), strict=True):
                 x, y = root(a), root(b)
                 if x != y:
                     up[max(x, y)] = min(x, y)
                     nodes.append(a), near.append(b), counts.append(0)
+        for i in np.flatnonzero(total):
+            nodes.append(int(asked_ids[i])), near.append(None), counts.append(int(total[i]))
         return nodes, near, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,15 +233,15 @@ def _compare(model: Quantiser):
         kinds = (pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for lst, b, side, entry, n, unit, code, error in zip(*(batch.column(c).to_pylist() for c in ("list", "block", "side", "entry", "n", "unit", "code", "error")), strict=True):
-                if at != (lst, b):
+            for group, b, side, lst, entry, n, unit, code, error in zip(*(batch.column(c).to_pylist() for c in ("group", "block", "side", "list", "entry", "n", "unit", "code", "error")), strict=True):
+                if at != (group, b):
                     for o, x in zip(out, block(held, asked), strict=True):
                         o += x
-                    at, held, asked = (lst, b), [], []
+                    at, held, asked = (group, b), [], []
                 if side == 0:
                     held.append((entry, n, unit, code, error, lst))
                 else:
-                    asked.append((entry, n, unit))
+                    asked.append((entry, n, unit, code))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["entry", "near", "links"])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(block(held, asked), kinds, strict=True)], ["entry", "near", "links"])
 
@@ -230,15 +256,15 @@ def links(distinct: DataFrame) -> DataFrame:
     sample = _unit([r["embedding"] for r in chosen.select("entry", "embedding").collect()]) if rows else np.ones((1, 1))  # FIT_ROWS vectors at most
     model = Quantiser.fit(sample[: max(1, rows)], rows)
     arrow_batches(spark, 1024)
-    spread = shared(distinct.mapInArrow(_spread(model), "list long, side int, entry long, n long, unit binary, code binary, error double"), "pq-spread")
-    sizes = spread.groupBy("list").agg(*[F.greatest(F.ceil(F.count(F.when(F.col("side") == k, 1)) / BLOCK), F.lit(1)).cast("long").alias(f"c{k}") for k in (0, 1)])
-    dealt = spread.join(F.broadcast(sizes), "list")  # a row per list, at most MOST_LISTS
+    spread = shared(distinct.mapInArrow(_spread(model), "group long, side int, list int, entry long, n long, unit binary, code binary, error double"), "pq-spread")
+    sizes = spread.groupBy("group").agg(*[F.greatest(F.ceil(F.count(F.when(F.col("side") == k, 1)) / BLOCK), F.lit(1)).cast("long").alias(f"c{k}") for k in (0, 1)])
+    dealt = spread.join(F.broadcast(sizes), "group")  # a row per group, at most MOST_LISTS
     own = F.pmod(F.xxhash64("entry"), F.when(F.col("side") == 0, F.col("c0")).otherwise(F.col("c1")))
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     blocks = F.when(F.col("side") == 0, F.transform(every(F.col("c1")), lambda k: own * F.col("c1") + k)).otherwise(F.transform(every(F.col("c0")), lambda k: k * F.col("c1") + own))
-    dealt = dealt.select("list", F.explode(blocks).alias("block"), "side", "entry", "n", "unit", "code", "error")
+    dealt = dealt.select("group", F.explode(blocks).alias("block"), "side", "list", "entry", "n", "unit", "code", "error")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    return dealt.repartition(parts, "list", "block").sortWithinPartitions("list", "block", "side").mapInArrow(_compare(model), "entry long, near long, links long")
+    return dealt.repartition(parts, "group", "block").sortWithinPartitions("group", "block", "side").mapInArrow(_compare(model), "entry long, near long, links long")
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:

@@ -136,6 +136,24 @@ def test_vector_links_match_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_low_rank_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_ROWS", 64)
+    r = np.random.default_rng(11)
+    plane = np.linalg.qr(r.normal(size=(256, 10)))[0]
+    one = r.normal(size=(1500, 10))
+    step = r.normal(size=(1500, 10))
+    one, step = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (one, step))
+    x = np.concatenate([one, one + r.uniform(0.1, 0.45, size=(1500, 1)) * step]) @ plane.T
+    out = vectors.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    assert {y["vec_id"]: y["n_links"] for y in out} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    label = np.arange(len(x))
+    while ((new := np.where(near, label, len(x)).min(axis=1)) != label).any():
+        label = new
+    assert {y["vec_id"]: y["component_id"] for y in out} == dict(enumerate(label.tolist()))
+
+
 def test_hot_lists_are_cut_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     r = np.random.default_rng(5)
