@@ -30,8 +30,6 @@ from sightline.llm.common import arrow_batches, shared, table
 SHRINKAGE, FLOOR = 0.02, 1e-4
 #: Words of usual text that every text is counted with, so that shares of short ones aren't extreme.
 BEFORE = 10
-#: Rows of each class that enter the fit at most; a larger class is thinned by a hash of the text.
-FIT_ROWS = 1_000_000
 
 _GROUPS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "stop": b".,;:?", "shout": b"!", "mark": b"#$%&*@^~+=<>\\/_", "bar": b"|[]{}()", "line": b"\n", "blank": b" \t\r\x0b\x0c"}
 _CLASS = np.full(256, len(_GROUPS))
@@ -164,13 +162,8 @@ def held_out(doc_id):
 
 
 def train(vectors: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fit on the labelled rows of ``vectors`` (doc_id, x) that aren't held out."""
+    """Fit on all labelled rows of ``vectors`` (doc_id, x) that aren't held out, so that the prior is theirs."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id"))).distinct()
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}  # two rows
-    share = F.lit(1.0)
-    for k, n in counts.items():
-        share = F.when(F.col("quality") == k, min(1.0, FIT_ROWS / n)).otherwise(share)
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < share * (1 << 20))
     return fit(vectors.join(known, "doc_id"))
 
 

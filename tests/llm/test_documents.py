@@ -255,6 +255,15 @@ def test_quality_learns_and_holds_out(spark, documents):
     assert quality.scores(documents([]), labels).count() == 0
 
 
+def test_prior_is_that_of_all_labels(spark, documents, monkeypatch):
+    monkeypatch.setattr(quality, "FIT_ROWS", 20, raising=False)
+    rows = [(i, prose(i, 40)) for i in range(300)]
+    known = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i, _ in rows] + [(10_000 + i, 0) for i in range(300)], "doc_id long, quality int")
+    model = quality.train(quality.vectors_of(documents(rows)), labels)
+    assert model.factors is not None and model.prior == sum(i % 5 > 0 for i in known) / len(known)
+
+
 # ------------------------------------------------------------------ packing
 
 
