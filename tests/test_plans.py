@@ -1,11 +1,14 @@
 """Rollup properties, round trips and some registered queries against their SQL."""
 
+import json
+
 import duckdb
 import pytest
+from conftest import row
 from pyspark.sql import functions as F
 
 from oracle.queries import SQL
-from sightline.operators import detect, rollup
+from sightline.operators import detect, params, rollup
 from sightline.plans.inventory import Inventory
 from sightline.plans.queries import QUERIES
 from sightline.rules import packs
@@ -96,3 +99,28 @@ def test_inventory_holds_what_scripts_and_descriptions_name(spark):
     assert {"js", "spec", "graphql", "proxy"} <= sources
     types = {r["type"] for r in QUERIES["merged_findings"](spark, sf).collect()}
     assert any(t.startswith("DOM XSS:") for t in types) and {"API spec exposed", "GraphQL schema parsed", "CSRF candidate"} & types
+
+
+def test_json_parameters_at_every_level(exchanges):
+    deep = {"end": 7}
+    for k in range(30):
+        deep = {f"k{k}": deep if k % 3 else [[[deep, 1]]], "x": k}
+    bodies = [deep, [[[[{"a": {"b": []}}]]]], {"e": {}, "n": None, "t": "{[", "f": [[[]]]}, [], 3, {"o": [{"p": 1}, {"q": 2}]}]
+
+    def walk(level):
+        out = []
+        while level:
+            inside = []
+            for name, v in level:
+                while isinstance(v, list) and v:
+                    name, v = name + "[]", v[0]
+                if isinstance(v, dict):
+                    inside += [(f"{name}.{k}" if name else k, x) for k, x in sorted(v.items())]
+            out += inside
+            level = inside
+        return [(n, "" if v is None or isinstance(v, (dict, list)) else str(v)) for n, v in out]
+
+    df = exchanges(*[row(k, method="POST", req={"Content-Type": "application/json"}, req_body=json.dumps(b)) for k, b in enumerate(bodies)])
+    got = params.json_params(detect.prepare(df)).orderBy("seq", "pos").collect()
+    for k, b in enumerate(bodies):
+        assert [(r["name"], r["value"]) for r in got if r["seq"] == k] == walk([("", b)])
