@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sightline.llm import chat, decontaminate, extraction, minhash, packing, privacy, quality, sharding, vectors, warc
+from sightline.llm import alignment, chat, decontaminate, extraction, minhash, packing, privacy, quality, sharding, vectors, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
 }
 
 SQL = {
