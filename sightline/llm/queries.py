@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sightline.llm import alignment, chat, decontaminate, extraction, minhash, packing, privacy, quality, sharding, vectors, warc
+from sightline.llm import alignment, chat, decontaminate, extraction, language, minhash, packing, privacy, quality, sharding, vectors, warc, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_language_id": language.op13_language_id,
 }
 
 SQL = {
