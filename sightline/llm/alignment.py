@@ -13,7 +13,7 @@ streams back to the run that it came from.
 
 A hot pair is one entry per run, whatever number of documents holds it, and its documents
 stay with their run, so no key gathers rows. What a task holds is bounded by the run size,
-by ``FAN`` chunks of ``CHUNK`` pairs, and by the pairs of one partition (the vocabularies
+by one batch more, by ``FAN`` chunks of ``CHUNK`` pairs, and by the pairs of one partition (the vocabularies
 bound those: 50,257 x 32,000 / ``RADIX``, of which a corpus uses a small part).
 
 Both encoders see texts in segments: neither joins a token across a space that follows
@@ -32,8 +32,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,8 @@ BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RUN_LINKS, RUN_DOCS, RADIX = 1_000_000, 16_384, 32
 #: Runs that one merge reads; pairs in a chunk of a merged run; runs that meet a partition's counts in one task.
 FAN, CHUNK, BLOCK_RUNS = 64, 65_536, 128
-#: Segments that a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
+#: Segments, and characters of them, after which a task forgets what it has learnt.
+REMEMBERED, REMEMBERED_CHARACTERS = 300_000, 8_000_000
 
 #: A space, then all up to the next space that doesn't follow white space.
 _SEGMENT = re.compile(r" (?:[^ ]+|(?<=\s) )*")
@@ -76,8 +76,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+class _Growing:
+    """A numpy column that grows by doubling."""
+
+    def __init__(self, dtype: type) -> None:
+        self.data, self.n = np.empty(1024, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(max(self.n, len(values)), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Pair:
-    """Both encoders, the bytes of every id, and what known segments give."""
+    """Both encoders, the bytes of every id, and what known segments give, a slot each."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
@@ -87,49 +100,95 @@ class Pair:
         self.a.encode_special_tokens = True  # their strings in a text are text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        known = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        self.known: dict[str, tuple | None] = {}
-
-    def _aligned(self, segment: str, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        """n_a, n_b, n_groups, groups as text, linked pairs (B id << 24 | A id); None where the bytes differ from the segment's."""
-        raw = segment.encode("utf-8", "surrogatepass")
-        a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return None
-        groups, links = [], array("Q")
-        a_end = b_end = a_from = b_from = j = 0
-        for i, part in enumerate(a_parts):
-            a_end += len(part)
-            while b_end < a_end:
-                b_end += len(b_parts[j])
-                j += 1
-            if b_end == a_end:
-                # no token is empty, so just one of each side ends here
-                groups.append(f"{','.join(map(str, a_ids[a_from : i + 1]))}|{','.join(map(str, b_ids[b_from:j]))}")
-                links.append(b_ids[j - 1] << 24 | a_ids[i])
-                a_from, b_from = i + 1, j
-        return len(a_ids), len(b_ids), len(groups), ";".join(groups), links
-
-    def _learn(self, segments: list[str]) -> dict[str, tuple | None]:
-        a = self.a.encode_batch_fast(segments, add_special_tokens=False)
+        self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        # decimal ids with what stands before them: the first of a segment, of a group, of a side, or another
+        written = lambda before, n: np.array([f"{before}{i}" for i in range(n)], object)
+        self.a_text = [written(before, len(self.a_bytes)) for before in ("\n", ";", ",")]
+        self.b_text = [written(before, len(self.b_bytes)) for before in ("|", ",")]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.ok, self.held = _Growing(bool), 0
+        #: n_a, n_b, n_groups, where the links begin
+        self.counts = [_Growing(np.int64) for _ in range(4)]
+        self.links = _Growing(np.uint64)
+
+    def _learn(self, segments: list[str]) -> None:
+        """Give a slot to every one of these new segments."""
+        raw = [s.encode("utf-8", "surrogatepass") for s in segments]
+        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         b = self.b.encode([s[1:] for s in segments], num_threads=1)  # this encoder adds the space
-        return {s: self._aligned(s, x.ids, y) for s, x, y in zip(segments, a, b, strict=True)}
-
-    def align(self, texts: list[str | None]) -> list[list[tuple] | None]:
-        """Per text what its segments give, in order; None for a text without tokens."""
+        ok = np.ones(len(segments), bool)
+        if b"".join(map(self.a_bytes.__getitem__, chain.from_iterable(a))) != (whole := b"".join(raw)) or b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b))) != whole:
+            same = lambda side, ids, r: b"".join(map(side.__getitem__, ids)) == r
+            ok = np.array([same(self.a_bytes, x, r) and same(self.b_bytes, y, r) for x, y, r in zip(a, b, raw, strict=True)])
+            a, b, raw = ([x for x, keep in zip(side, ok, strict=True) if keep] for side in (a, b, raw))
+        counts, groups, links = self._aligned(a, b, np.array([len(r) for r in raw], np.int64))
+        texts = iter(groups)
+        self.groups += [next(texts) if keep else "" for keep in ok]
+        starts = np.zeros(len(ok), np.int64)
+        for column, values in zip(self.counts, (*counts, np.cumsum(counts[2]) - counts[2] + self.links.n), strict=True):
+            starts[:] = 0
+            starts[ok] = values
+            column.extend(starts)
+        self.ok.extend(ok)
+        self.links.extend(links)
+        first = len(self.slots)
+        self.slots |= {s: first + k for k, s in enumerate(segments)}
+        self.held += sum(map(len, segments))
+
+    def _aligned(self, a: list[list[int]], b: list[list[int]], sizes: np.ndarray) -> tuple[tuple[np.ndarray, ...], list[str], np.ndarray]:
+        """Of segments whose bytes agree: tokens on both sides and groups of each, groups as text, and all linked pairs (B id << 24 | A id)."""
+        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(side), np.int64) for side in (a, b))
+        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        # no token is empty, so just one of each side ends at a common offset
+        common, a_last, b_last = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        links = b_ids[b_last].astype(np.uint64) << np.uint64(24) | a_ids[a_last].astype(np.uint64)
+        ends = np.cumsum(sizes)
+        n_groups = np.diff(np.searchsorted(common, ends, side="right"), prepend=0)
+        # place of every token among all: groups in order, in each the A side before the B side
+        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        out = np.empty(len(a_ids) + len(b_ids), object)
+        a_first = np.r_[True, a_group[1:] != a_group[:-1]] if len(a_ids) else np.empty(0, bool)
+        b_first = np.r_[True, b_group[1:] != b_group[:-1]] if len(b_ids) else np.empty(0, bool)
+        a_start = np.zeros(len(a_ids), bool)
+        a_start[np.cumsum(n_a) - n_a] = True
+        before = np.where(a_start, 0, np.where(a_first, 1, 2))
+        place = np.arange(len(a_ids)) + np.r_[0, b_last + 1][a_group]
+        for k, text in enumerate(self.a_text):
+            out[place[before == k]] = text[a_ids[before == k]]
+        place = np.arange(len(b_ids)) + (a_last + 1)[b_group]
+        for text, own in zip(self.b_text, (b_first, ~b_first), strict=True):
+            out[place[own]] = text[b_ids[own]]
+        return (n_a, n_b, n_groups), "".join(out).split("\n")[1:], links
+
+    def align(self, texts: list[str | None]) -> tuple[list[tuple[int, int, int, int, str | None]], np.ndarray]:
+        """Per text n_a, n_b, n_groups, n_links and its groups (None without tokens), and the linked pairs of all texts in a row."""
         split = [_segments(t) if t else [] for t in texts]
-        asked = {s for own in split for s in own}
-        here = {s: self.known[s] for s in asked if s in self.known}
-        fresh = self._learn([s for s in asked if s not in here])
-        here |= fresh
-        if len(self.known) < REMEMBERED:
-            self.known |= {s: r for s, r in fresh.items() if len(s) <= LONGEST}
-        out = []
+        if len(self.slots) > REMEMBERED or self.held > REMEMBERED_CHARACTERS:
+            self._forget()
+        fresh = list({s for own in split for s in own}.difference(self.slots))
+        if fresh:
+            self._learn(fresh)
+        out, pairs = [], []
+        n_a, n_b, n_groups, start = (c.data for c in self.counts)
         for own in split:
-            parts = [here[s] for s in own]
-            out.append(None if not parts or any(p is None for p in parts) else parts)
-        return out
+            at = np.fromiter(map(self.slots.__getitem__, own), np.int64, len(own))
+            if not len(at) or not self.ok.data[at].all():
+                out.append((0, 0, 0, 0, None))
+                continue
+            many = n_groups[at]
+            total = int(many.sum())
+            steps = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
+            pairs.append(self.links.data[np.repeat(start[at], many) + steps])
+            out.append((int(n_a[at].sum()), int(n_b[at].sum()), total, total, ";".join(map(self.groups.__getitem__, at.tolist()))))
+        return out, np.concatenate(pairs) if pairs else np.empty(0, np.uint64)
 
 
 def _segments(text: str) -> list[str]:
@@ -187,10 +246,10 @@ def _head(rows: list[tuple]) -> bytes:
 RUNS = "run long, radix int, head binary, pairs binary, records binary"
 
 
-def _run(run: int, rows: list[tuple], links: array) -> pa.RecordBatch:
+def _run(run: int, rows: list[tuple], links: list[np.ndarray]) -> pa.RecordBatch:
     """The rows of one run: its documents (radix -1), and for every radix the pairs with their totals and the records."""
     out = [(run, -1, _head(rows), None, None)]
-    keys = np.frombuffer(links, np.uint64) if len(links) else np.empty(0, np.uint64)
+    keys = np.concatenate(links)
     docs = np.repeat(np.arange(len(rows), dtype=np.uint32), [r[4] for r in rows])
     keys = ((keys >> np.uint64(24)) % np.uint64(RADIX)) << np.uint64(48) | keys
     order = np.argsort(keys, kind="stable")  # documents stay in order within a pair
@@ -221,21 +280,17 @@ def spill(docs: DataFrame, folder: str | None = None, a_name: str = BYTE_VOCABUL
         pair = pair_of(vocabulary(a_name, folder), vocabulary(b_name, folder))
         part, k = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
-        links = array("Q")
+        links: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), pair.align(batch.column("text").to_pylist()), strict=True):
-                if parts is None:
-                    rows.append((doc_id, 0, 0, 0, 0, "", None))
-                    continue
-                before = len(links)
-                for p in parts:
-                    links.extend(p[4])
-                groups = ";".join(p[3] for p in parts)
-                counts = [sum(p[c] for p in parts) for c in range(3)]
-                rows.append((doc_id, *counts, len(links) - before, hashlib.sha256(groups.encode()).hexdigest(), groups if keep_groups else None))
-                if len(links) >= RUN_LINKS or len(rows) >= RUN_DOCS:
-                    yield _run(part << 32 | k, rows, links)
-                    k, rows, links = k + 1, [], array("Q")
+            found, pairs = pair.align(batch.column("text").to_pylist())
+            for doc_id, (*counts, groups) in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                rows.append((doc_id, *counts, "" if groups is None else hashlib.sha256(groups.encode()).hexdigest(), groups if keep_groups else None))
+            links.append(pairs)
+            held += len(pairs)
+            if held >= RUN_LINKS or len(rows) >= RUN_DOCS:
+                yield _run(part << 32 | k, rows, links)
+                k, rows, links, held = k + 1, [], [], 0
         if rows:
             yield _run(part << 32 | k, rows, links)
 
