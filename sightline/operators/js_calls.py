@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.text import nz
 from sightline.operators.js_structure import GLOBAL, assignments, functions, var_ref
+from sightline.operators.nesting import nearest, next_after
 from sightline.rules import js_packs as jp
 from sightline.session import persist_table
 
@@ -71,8 +72,9 @@ class Program:
 
     def keys_at(self, df: DataFrame, at: str) -> DataFrame:
         """(call, keys): members of the object at a token or of the first call's first argument there."""
-        near = df.select("sha256", "call", F.explode(F.sequence(c(at), c(at) + 6)).alias("i"))
-        par = near.join(self.tok.where("t = '(' AND kind = 'punct'").select("sha256", "i"), ["sha256", "i"]).groupBy("sha256", "call").agg((F.min("i") + 1).alias("v"))
+        here = df.select("sha256", "call", c(at).alias("i")).join(self.tok.select("sha256", "i", "parent", "expr_end"), ["sha256", "i"])
+        opened = next_after(here, self.tok.where("t = '(' AND kind = 'punct'"), "i", c("i"), "_open", ["sha256", "parent"])
+        par = opened.where(c("_open") <= c("expr_end")).select("sha256", "call", (c("_open") + 1).alias("v"))
         direct = self.braces(df.select("sha256", "call", c(at).alias("v")), "v").where(c("brace").isNotNull())
         inner = self.braces(par.join(direct.select("sha256", "call"), ["sha256", "call"], "left_anti"), "v").where(c("brace").isNotNull())
         b = direct.select("sha256", "call", "brace").unionByName(inner.select("sha256", "call", "brace"))
@@ -149,13 +151,12 @@ def _auth_text(p: Program, holders: DataFrame) -> DataFrame:
     """(call, auth) of header objects: the first credential header and where its value is kept."""
     h = p.braces(holders, "v").where(c("brace").isNotNull()).select("sha256", "call", "brace")
     e = h.join(p.entries, ["sha256", "brace"]).where(c("key").rlike(jp.FLOW_AUTH_HEADER)).groupBy("sha256", "call").agg(F.min(F.struct("at", "key", "vstart", "vend")).alias("e"))
-    return e.select("sha256", "call", c("e.key").alias("header"), c("e.vstart").alias("vstart"), F.least(c("e.vend"), c("e.vstart") + 40).alias("vend"))
+    return e.select("sha256", "call", c("e.key").alias("header"), c("e.vstart").alias("vstart"), c("e.vend").alias("vend"))
 
 
 def _with_storage(p: Program, auth: DataFrame) -> DataFrame:
-    x = auth.select("sha256", "call", "header", F.explode(F.sequence("vstart", F.greatest("vstart", "vend"))).alias("i"))
-    t = p.tok.where(c("t").isin("localStorage", "sessionStorage", "cookie")).select("sha256", "i", "t")
-    g = x.join(t, ["sha256", "i"], "left").groupBy("sha256", "call", "header").agg(F.min(F.when(c("t").isNotNull(), F.struct("i", "t"))).alias("s"))
+    kept = p.tok.where(c("t").isin("localStorage", "sessionStorage", "cookie"))
+    g = next_after(auth, kept, "vstart", F.struct("i", "t"), "s", ["sha256"]).withColumn("s", F.when(c("s.i") <= c("vend"), c("s")))
     return g.select("sha256", "call", F.concat(c("header"), F.when(c("s").isNotNull(), F.concat(F.lit(" ("), c("s.t"), F.lit(")"))).otherwise("")).alias("auth"))
 
 
@@ -197,14 +198,15 @@ def client_calls(bodies: DataFrame, tok: DataFrame) -> DataFrame:
     hdr = _with_storage(p, _auth_text(p, ce.where("key = 'headers'").groupBy("sha256", "call").agg(F.min("vstart").alias("v"))))
     xh = on.where("fn = 'setRequestHeader'").select("sha256", "call", c("o").alias("i"))
     xa = xh.join(tok.select("sha256", "i", c("n1").alias("h"), c("match").alias("m")), ["sha256", "i"]).where(unquote(c("h")).rlike(jp.FLOW_AUTH_HEADER)).select(
-        "sha256", "call", unquote(c("h")).alias("header"), (c("i") + 2).alias("vstart"), F.least(c("m"), c("i") + 42).alias("vend")
+        "sha256", "call", unquote(c("h")).alias("header"), (c("i") + 2).alias("vstart"), c("m").alias("vend")
     )
     xhdr = _with_storage(p, xa)
     auth = hdr.unionByName(xhdr).groupBy("sha256", "call").agg(F.min("auth").alias("auth"))
-    inst = tok.where(c("t").isin("interceptors", "defaults") & (nz(c("p1")) == ".")).select("sha256", c("p2").alias("name"), c("i").alias("k"), c("t").alias("what"))
-    near = inst.select("sha256", "name", "what", F.explode(F.sequence(c("k"), c("k") + 60)).alias("i")).join(
-        tok.where(F.lower(c("t")).contains("authorization")).select("sha256", "i"), ["sha256", "i"]
-    )
+    # Defaults end with their expression, an interceptor with the call that registers it.
+    inst = tok.where(c("t").isin("interceptors", "defaults") & (nz(c("p1")) == ".")).select("sha256", "parent", c("p2").alias("name"), c("i").alias("k"), c("t").alias("what"), "expr_end")
+    inst = next_after(inst, tok.where("t = '(' AND kind = 'punct'"), "k", F.struct("i", "match"), "_call", ["sha256", "parent"])
+    inst = inst.withColumn("end", F.when(c("what") == "defaults", c("expr_end")).when(c("_call.i") <= c("expr_end"), c("_call.match")))
+    near = next_after(inst, tok.where(F.lower(c("t")).contains("authorization")), "k", c("i"), "_auth", ["sha256"]).where(c("_auth") <= c("end"))
     iauth = near.groupBy("sha256", "name").agg(F.max(F.when(c("what") == "interceptors", "Authorization (interceptor)").otherwise("Authorization (defaults)")).alias("iauth"))
     d = calls.join(tpl.select("sha256", "call", "tpl"), ["sha256", "call"])
     for part in (method, creds, has_method, two, body, query, auth):
@@ -267,17 +269,10 @@ def _finish(calls: DataFrame, p: Program, bodies: DataFrame, fn: DataFrame) -> D
     path = F.regexp_replace(path, r"(?<!:)/{2,}", "/")
     d = calls.withColumn("query_keys", query).withColumn("path", path).where(c("path") != "")
     d = d.withColumn("rn", F.row_number().over(W.partitionBy("sha256", "method", "path").orderBy("call"))).where("rn = 1")
-    # Enclosing functions, from the inside out, through the bracket around each head.
+    # Enclosing functions, through the bracket around each head.
     heads = fn.select("sha256", c("head").alias("scope"), c("name").alias("fname"))
     outer = p.tok.select("sha256", c("i").alias("scope"), c("parent").alias("pb")).join(p.tok.select("sha256", c("i").alias("pb"), c("scope").alias("up")), ["sha256", "pb"], "left")
-    outer = heads.select("sha256", "scope").join(outer, ["sha256", "scope"], "left").select("sha256", "scope", F.when(c("up") != c("scope"), c("up")).otherwise(GLOBAL).alias("up"))
-    at = d.select("sha256", "call", "scope", F.lit(0).alias("level"))
-    chain = at
-    for k in range(1, 4):
-        at = at.join(outer, ["sha256", "scope"]).where(c("up").isNotNull() & (c("up") >= 0)).select("sha256", "call", c("up").alias("scope"), F.lit(k).alias("level"))
-        chain = chain.unionByName(at)
-    around = chain.join(heads, ["sha256", "scope"])
-    named = around.where("fname <> ''").groupBy("sha256", "call").agg(F.min(F.struct("level", "fname")).alias("f")).select("sha256", "call", c("f.fname").alias("function"))
+    outer = heads.join(outer, ["sha256", "scope"], "left").select("sha256", "scope", "fname", F.when(c("up") != c("scope"), c("up")).alias("up"))
     routes = p.literals().where("key = 'path'").where(c("value").startswith("/")).select("sha256", "brace", c("value").alias("route"))
     comp = p.entries.where(c("key").isin(jp.ROUTE_COMPONENT_KEYS)).join(routes, ["sha256", "brace"])
     comp = comp.where("vstart = vend").join(p.tok.where("kind = 'ident'").select("sha256", c("i").alias("vstart"), c("t").alias("fname")), ["sha256", "vstart"]).groupBy("sha256", "fname").agg(F.min("route").alias("croute"))
@@ -286,20 +281,18 @@ def _finish(calls: DataFrame, p: Program, bodies: DataFrame, fn: DataFrame) -> D
     by_ident = listen.join(p.tok.where("kind = 'ident' AND t <> 'function'").select("sha256", "i", c("t").alias("fname")), ["sha256", "i"]).select("sha256", "fname", "hname")
     handler = handler.unionByName(by_ident).groupBy("sha256", "fname").agg(F.min("hname").alias("hname"))
     inline = listen.select("sha256", c("i").alias("scope"), c("hname").alias("iname"))
-    near = around.join(comp, ["sha256", "fname"], "left").join(handler, ["sha256", "fname"], "left").join(inline, ["sha256", "scope"], "left")
+    near = outer.join(comp, ["sha256", "fname"], "left").join(handler, ["sha256", "fname"], "left").join(inline, ["sha256", "scope"], "left")
     own = F.when(c("fname").rlike(jp.HANDLER_KEY), c("fname"))
-    hit = near.withColumn("h", F.coalesce("hname", own, "iname")).groupBy("sha256", "call").agg(
-        F.min(F.when(c("croute").isNotNull(), F.struct("level", "croute"))).alias("r"), F.min(F.when(c("h").isNotNull(), F.struct("level", "h"))).alias("h")
-    )
+    tree = near.select("sha256", "scope", "up", F.nullif(c("fname"), F.lit("")).alias("function"), "croute", F.coalesce("hname", own, "iname").alias("handler"))
+    tree = tree.groupBy("sha256", "scope", "up").agg(*[F.min(m).alias(m) for m in ("function", "croute", "handler")])
+    around = nearest(tree, ["function", "croute", "handler"], node="scope")
     # Route object around the call itself: up the brackets.
-    up = d.select("sha256", c("call"), c("call").alias("i")).join(p.tok.select("sha256", "i", "parent"), ["sha256", "i"]).select("sha256", "call", c("parent").alias("brace"), F.lit(0).alias("lv"))
-    found = up.join(routes, ["sha256", "brace"])
-    for k in range(1, 6):
-        up = up.where("brace >= 0").join(p.tok.select("sha256", c("i").alias("brace"), "parent"), ["sha256", "brace"]).select("sha256", "call", c("parent").alias("brace"), F.lit(k).alias("lv"))
-        found = found.unionByName(up.join(routes, ["sha256", "brace"]))
-    inside = found.groupBy("sha256", "call").agg(F.min(F.struct("lv", "route")).alias("o")).select("sha256", "call", c("o.route").alias("oroute"))
-    out = d.join(named, ["sha256", "call"], "left").join(hit, ["sha256", "call"], "left").join(inside, ["sha256", "call"], "left").join(bodies.select("sha256", "body"), "sha256")
-    route = F.coalesce("oroute", "r.croute")
-    trigger = F.concat_ws(" · ", F.when(route.isNotNull(), F.concat(F.lit("route "), route)), c("h.h"))
+    brackets = p.tok.where("open").join(d.select("sha256").distinct(), "sha256", "left_semi").select("sha256", c("i").alias("brace"), c("parent").alias("up"))
+    under = brackets.join(routes.groupBy("sha256", "brace").agg(F.min("route").alias("oroute")), ["sha256", "brace"], "left")
+    under = nearest(under, ["oroute"], node="brace").where(c("oroute").isNotNull())
+    inside = d.select("sha256", "call").join(p.tok.select("sha256", c("i").alias("call"), c("parent").alias("brace")), ["sha256", "call"]).join(under, ["sha256", "brace"]).select("sha256", "call", "oroute")
+    out = d.join(around, ["sha256", "scope"], "left").join(inside, ["sha256", "call"], "left").join(bodies.select("sha256", "body"), "sha256")
+    route = F.coalesce("oroute", "croute")
+    trigger = F.concat_ws(" · ", F.when(route.isNotNull(), F.concat(F.lit("route "), route)), c("handler"))
     site = F.regexp_replace(F.substr("body", c("at_off") + 1, F.lit(160)), r"\s+", " ")
     return out.select("sha256", "call", "method", "path", "body_keys", "query_keys", "auth", nz(c("function")).alias("function"), "via", trigger.alias("trigger"), site.alias("call_site"))

@@ -15,6 +15,7 @@ from sightline.operators import (
 from sightline.plans.inventory import Inventory, triaged
 from sightline.rules import js_packs, packs
 from sightline.rules.packs import Rule
+from sightline.session import contents
 from sightline.sources import adapters, readers, sinks
 
 NET = ("events", "pages", "documents")
@@ -32,22 +33,34 @@ def ex(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def _prep(spark, app, sf, parts) -> DataFrame:
+def _prep(spark, app, sf, parts, files) -> DataFrame:
     return detect.prepare(ex(spark, sf, *parts))
 
 
 @lru_cache(maxsize=64)
-def _inv(spark, app, sf, parts) -> Inventory:
+def _inv(spark, app, sf, parts, files) -> Inventory:
     return Inventory(ex(spark, sf, *parts))
 
 
+def _inputs(spark, sf) -> tuple:
+    """What the input holds now; a kept plan or inventory is used again only for the same files."""
+    return contents(spark, *(f"{sf}/{name}.parquet" for name in NET))
+
+
 def prep(spark, sf, *parts) -> DataFrame:
     """The analysed plan is kept between queries; no data is."""
-    return _prep(spark, spark.sparkContext.applicationId, sf, parts)
+    return _prep(spark, spark.sparkContext.applicationId, sf, parts, _inputs(spark, sf))
 
 
 def inv(spark, sf, *parts) -> Inventory:
-    return _inv(spark, spark.sparkContext.applicationId, sf, parts)
+    """The tables that an inventory has written are kept between queries over the same files."""
+    return _inv(spark, spark.sparkContext.applicationId, sf, parts, _inputs(spark, sf))
+
+
+def forget() -> None:
+    """Let the next queries analyse their input anew."""
+    _prep.cache_clear()
+    _inv.cache_clear()
 
 
 def joined(c, sep="|"):
@@ -1166,15 +1179,8 @@ def traffic_sessions(spark, sf):
 # --- structural JavaScript ------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=8)
-def _structural(spark, app, sf):
-    from sightline.plans.structural import Structural
-
-    return Structural(inv(spark, sf, "scripts"))
-
-
 def structural(spark, sf):
-    return _structural(spark, spark.sparkContext.applicationId, sf)
+    return inv(spark, sf, "scripts").structural
 
 
 @query

@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Names the folder of this session under the scratch folder.
+_RUN = "sightline.run.dir"
+
+
 def get_spark(app: str = "sightline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs assume; a cluster's own values win."""
     b = SparkSession.builder.appName(app)
@@ -48,9 +52,41 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, as the session is configured for it, and the path itself."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this session's folder under the scratch folder."""
+    run = spark.conf.get(_RUN, None)
+    if not run:
+        run = f"{scratch_root(spark).rstrip('/')}/sightline-run-{uuid.uuid4().hex}"
+        spark.conf.set(_RUN, run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+def close_run(spark: SparkSession) -> None:
+    """Remove what this session wrote to the scratch folder; DataFrames that read it are of no use afterwards."""
+    run = spark.conf.get(_RUN, None)
+    if run:
+        files, path = _folder(spark, run)
+        files.delete(path, True)
+        spark.conf.unset(_RUN)
+
+
+def contents(spark: SparkSession, *paths: str) -> tuple:
+    """Name, size and time of every file under the paths: equal for two calls if nothing was written between them."""
+    out = []
+    for p in paths:
+        files, path = _folder(spark, p)
+        if files.exists(path):
+            every = files.listFiles(path, True)
+            while every.hasNext():
+                f = every.next()
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def persist_table(df, name: str):
