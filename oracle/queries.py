@@ -343,9 +343,9 @@ EP = """ep AS MATERIALIZED (SELECT method, nurl AS normalized_url, arg_min(host,
  min(seq) AS first_seq FROM pe GROUP BY method, nurl)"""
 EPC = "method, normalized_url, host, path, observations, last_status, content_type, sources, auth_status, first_seq"
 SQL["endpoints"] = f"WITH {ipe()}, {EP} SELECT {EPC} FROM ep"
-SQL["stream_endpoints"] = f"WITH {pe('events')}, {EP} SELECT {EPC} FROM ep"
+SQL["stream_endpoints"] = f"WITH {ipe('events')}, {EP} SELECT {EPC} FROM ep"
 SQL["retention_cap"] = f"WITH {ipe()}, {EP} SELECT method, normalized_url, first_seq FROM ep ORDER BY first_seq DESC LIMIT 1000"
-SQL["stream_retention"] = f"WITH {pe('events')}, {EP} SELECT method, normalized_url, first_seq FROM ep ORDER BY first_seq DESC LIMIT 1000"
+SQL["stream_retention"] = f"WITH {ipe('events')}, {EP} SELECT method, normalized_url, first_seq FROM ep ORDER BY first_seq DESC LIMIT 1000"
 SQL["host_focus"] = f"WITH {ipe('events')}, {EP} SELECT method, normalized_url, observations FROM ep WHERE lower(host) = 'api.shop.example'"
 SQL["ordered_endpoints"] = f"WITH {ipe()}, {EP} SELECT host, path, method, last_status FROM ep ORDER BY host, path"
 SQL["multi_sort"] = f"WITH {ipe()}, {EP} SELECT host, observations, normalized_url FROM ep ORDER BY host, observations DESC, normalized_url"
@@ -454,18 +454,15 @@ _ANN = f"an AS MATERIALIZED (SELECT type, raw_match, type || '|' || raw_match AS
 SQL["annotations"] = f"WITH {fi('events')}, {_ANN} SELECT sha256(key) AS key_sha, bookmarked, note, triage FROM an WHERE bookmarked OR note <> '' OR triage <> 'NEW'"
 SQL["annotated_rows"] = f"WITH {fi('events')}, {_ANN} SELECT triage, bookmarked, note, count(*) AS n, CAST(sum(times_seen) AS BIGINT) AS seen FROM fi JOIN an USING (type, raw_match) GROUP BY 1, 2, 3"
 SQL["report_filter"] = f"WITH {fi('events')}, {_ANN} SELECT type, severity, masked, times_seen, triage FROM fi JOIN an USING (type, raw_match) WHERE bookmarked AND triage <> 'FALSE_POSITIVE'"
-_INC = f"SELECT *, row_number() OVER (PARTITION BY type, raw_match ORDER BY seq) AS rn FROM ({' UNION ALL '.join(f'SELECT * FROM ({b})' for b in (PHONE, CSP, CORS, HTML_COMMENTS))})"
-SQL["finding_is_new"] = f"WITH {pe()} SELECT type, rn = 1 AS is_new, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM ({_INC}) GROUP BY 1, 2"
-SQL["stream_findings"] = f"WITH {pe('events')} SELECT type, {FINGER} AS fingerprint, count(*) AS times_seen, min(seq) AS first_seq FROM ({' UNION ALL '.join(f'SELECT * FROM ({b})' for b in (PHONE, CARD, CORS, CSP))}) GROUP BY type, raw_match"
+_INC = "SELECT *, row_number() OVER (PARTITION BY type, raw_match ORDER BY seq) AS rn FROM ev"
+SQL["finding_is_new"] = f"WITH {fi()} SELECT type, rn = 1 AS is_new, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM ({_INC}) GROUP BY 1, 2"
+SQL["stream_findings"] = f"WITH {fi('events')} SELECT type, severity, masked, {FINGER} AS fingerprint, times_seen, first_seq FROM fi"
 SQL["state_export"] = f"WITH {fi('events')}, {EP}, {TECH} SELECT 'endpoints' AS \"table\", count(*) AS n FROM ep UNION ALL SELECT 'findings', count(*) FROM fi UNION ALL SELECT 'tech', count(*) FROM tm"
 SQL["state_import"] = f"WITH {fi('events')} SELECT type, severity, 'NEW' AS triage, count(*) AS n, CAST(sum(times_seen) AS BIGINT) AS seen FROM fi GROUP BY 1, 2"
 SQL["guide_label"] = f"""WITH {fi(*_NET)} SELECT DISTINCT 'type' AS "by", type AS what, CASE WHEN contains(lower(type), 'reflected param') THEN 'XSS' WHEN contains(lower(type), 'open redirect') THEN 'Open Redirect' END AS guide FROM fi
 UNION ALL SELECT DISTINCT 'content', content_type, CASE WHEN contains(lower(content_type), 'xml') OR contains(lower(content_type), 'soap') THEN 'XXE' END FROM ({capture_sql('events')}) WHERE content_type IS NOT NULL
 UNION ALL SELECT DISTINCT 'class', c, CASE WHEN c IN {inlist(pk.GUIDE_CLASSES)} THEN c END FROM (SELECT unnest({name_classes('nm')}) AS c FROM (SELECT unnest(['user_id', 'redirect_url', 'file', 'sort_by', 'cmd', 'session_token', 'debug', 'template', 'title', 'articleKey', 'id', 'next']) AS nm))"""
 SQL["per_body_cap"] = f"WITH {pe()}, hc AS (SELECT seq, count(*) AS comments FROM ({HTML_COMMENTS}) GROUP BY seq) SELECT * FROM (SELECT pe.seq AS seq, least(len({CARD_MATCHES}), 25) AS card_matches, coalesce(comments, 0) AS comments FROM pe LEFT JOIN hc ON hc.seq = pe.seq) WHERE card_matches > 0 OR comments > 0"
-SQL["delete_hosts"] = f"""WITH {ipe()}, {EP}, {TECH}, {_RP}, {pa('SELECT * FROM rp')}, ph AS (SELECT *, {host('endpoint_key')} AS host FROM pa), dh AS (SELECT host FROM tm WHERE regexp_matches(host, '^(?:api[0-2]|blog)'))
-SELECT 'kept' AS what, count(*) AS n FROM ep WHERE host NOT IN (SELECT host FROM dh) UNION ALL SELECT 'endpoints', count(*) FROM ep WHERE host IN (SELECT host FROM dh)
-UNION ALL SELECT 'tech', count(*) FROM tm WHERE host IN (SELECT host FROM dh) UNION ALL SELECT 'parameters', count(*) FROM ph WHERE host IN (SELECT host FROM dh)"""
 SQL["out_of_scope_hosts"] = f"""WITH {ipe()}, {EP}, hs AS (SELECT lower(host) AS hh, first(regexp_extract(normalized_url, '^([a-z]+)', 1) ORDER BY host, path, normalized_url, method) AS scheme FROM ep GROUP BY 1),
 u AS (SELECT DISTINCT pe.host AS host, coalesce(scheme, 'https') || '://' || pe.host || '/' AS url FROM pe LEFT JOIN hs ON lower(pe.host) = hh WHERE pe.host <> '')
 SELECT host, url FROM u WHERE NOT (starts_with(url, 'https://') AND NOT contains(url, 'docs'))"""
@@ -513,7 +510,7 @@ _EXPN, _IATN = f"CAST({js('payload', 'exp')} AS BIGINT)", f"CAST({js('payload',
 SQL["jwt_claims"] = f"""WITH {pe('events')}, {TOKENS} SELECT seq, {_ALG} AS alg, {js('payload', 'sub')} AS sub, strftime(make_timestamp({_IATN} * 1000000), '%Y-%m-%d %H:%M:%S') AS issued_at, strftime(make_timestamp({_EXPN} * 1000000), '%Y-%m-%d %H:%M:%S') AS expires,
 concat_ws('; ', CASE WHEN lower({_ALG}) = 'none' THEN 'alg=none' END, CASE WHEN {_EXPN} < 1750000000 THEN 'expired' END, CASE WHEN ({_EXPN} - {_IATN}) // 86400 >= 30 THEN 'long-lived (' || ({_EXPN} - {_IATN}) // 86400 || ' days)' END) AS warnings FROM dk"""
 SQL["token_info"] = f"WITH {pe('events')}, {TOKENS} SELECT seq, coalesce('email=' || {js('payload', 'email')}, 'sub=' || {js('payload', 'sub')}, 'uid=' || {js('payload', 'uid')}, '') AS subject, coalesce({_EXPN}, 0) AS expires FROM dk"
-SQL["stream_jwt"] = f"WITH {pe('events')}, {TOKENS} SELECT DISTINCT lower(host) AS host, lower({_ALG}) AS alg FROM dk"
+SQL["stream_jwt"] = f"WITH {pe('events')}, {TOKENS} SELECT DISTINCT host, label AS issue FROM (" + " UNION ALL ".join(f"SELECT lower(host) AS host, {lab} AS label FROM dk WHERE {cond}" for cond, lab, _ in _ISSUES) + ")"
 SQL["curl_text"] = f"""SELECT seq, 'curl -X ' || method || ' ''' || replace(url, '''', '''\\''''') || '''' || array_to_string(list_transform(req_headers, lambda h: ' -H ''' || replace(h.name || ': ' || h.value, '''', '''\\''''') || ''''), '')
 || CASE WHEN req_body <> '' THEN ' --data ''' || replace(req_body, '''', '''\\''''') || '''' ELSE '' END AS curl FROM ({adapter_sql('events')})"""
 
@@ -576,6 +573,10 @@ k AS (SELECT *, sum(n) OVER (PARTITION BY client ORDER BY t ROWS UNBOUNDED PRECE
 
 # --- JavaScript ---
 JB = f"jb AS MATERIALIZED (SELECT sha, min(seq) AS seq, arg_min(url, seq) AS url, first(resp_body) AS body, count(*) AS served FROM (SELECT *, sha256(resp_body) AS sha FROM ({adapter_sql('scripts')})) GROUP BY sha)"
+_DEL = {"endpoints": "SELECT host FROM ep", "tech": "SELECT host FROM tm", "technologies": "SELECT host FROM tr", "parameters": "SELECT host FROM ph", "findings": "SELECT host FROM fh", "scripts": f"SELECT {host('url')} AS host FROM jb"}
+SQL["delete_hosts"] = f"WITH {fi()}, {EP}, {PA}, {TECH}, {JB}, dh AS (SELECT host FROM tm WHERE regexp_matches(host, '^(?:api[0-2]|blog)')) SELECT 'kept requests' AS what, count(*) AS n FROM pe WHERE st > 0" + "".join(
+    f" UNION ALL SELECT '{what} {name}', count(*) FROM ({sql}) WHERE host {op} (SELECT host FROM dh)" for name, sql in _DEL.items() for what, op in (("kept", "NOT IN"), ("deleted", "IN"))
+)
 _FILE = "lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1))"
 
 

@@ -105,6 +105,11 @@ def delete_hosts(df: DataFrame, hosts: DataFrame, host_column: str = "host") ->
     return df.join(hosts.select(F.col("host").alias(host_column)).distinct(), host_column, "left_anti")
 
 
+def delete_hosts_all(tables: dict[str, DataFrame], hosts: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the hosts' rows; tables without a host column stay as they are."""
+    return {name: delete_hosts(df, hosts) if "host" in df.columns else df for name, df in tables.items()}
+
+
 def deleted_counts(tables: dict[str, DataFrame], hosts: DataFrame) -> DataFrame:
     parts = [
         df.join(hosts.select("host").distinct(), "host", "left_semi").agg(F.count("*").alias("deleted")).select(F.lit(t).alias("table"), "deleted")

@@ -171,38 +171,64 @@ def js_findings_view(
     return out
 
 
-def newest(df: DataFrame, cap: int, order: str = "first_seq") -> DataFrame:
-    """The ``cap`` rows with the largest ``order``; 0 keeps everything.
-
-    No global sort: ranges of ``order`` are counted, whole ranges above the cut are
-    kept and only the range that holds the cut is ranked.
-    """
-    if cap <= 0:
-        return df
-    return keep_newest(df, cap, order)
+def newest(df: DataFrame, cap: int, order: str = "first_seq", tie: str | None = None) -> DataFrame:
+    """The ``cap`` rows with the largest ``order`` (of equal ones the smallest ``tie``); 0 keeps everything."""
+    return keep_newest(df, cap, order, tie) if cap > 0 else df
 
 
-RANGES = 400
+#: Parts that a round counts, and rows that one task may rank in the end.
+PARTS, RANKED = 1024, 100_000
 
 
 def keep_newest(df: DataFrame, n: int, order: str, tie: str | None = None) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    # A scalar subquery: one array of at most 399 numbers, whatever the size of the input.
-    edges = df.agg(F.percentile_approx(order, cuts, 10000)).scalar()
-    bucketed = df.withColumn("_edges", edges).withColumn(
-        "_range", F.size(F.filter(F.coalesce("_edges", F.array().cast("array<bigint>")), lambda e: e < F.col(order)))
-    ).drop("_edges")
-    counts = bucketed.groupBy("_range").agg(F.count("*").alias("_n"))
-    above = counts.select(
-        "_range",
-        F.coalesce(F.sum("_n").over(W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"),
-        "_n",
-    )
-    marked = bucketed.join(F.broadcast(above), "_range").where(F.col("_above") < n)
-    whole = marked.where(F.col("_above") + F.col("_n") <= n)
-    cut = marked.where(F.col("_above") + F.col("_n") > n)
-    w = W.partitionBy("_range").orderBy(*([F.desc(order)] + ([F.col(tie)] if tie else [])))
-    cut = cut.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n - F.col("_above")).drop("_rn")
-    return whole.unionByName(cut).drop("_range", "_above", "_n")
+    """Exact selection without a sort: rounds of counting narrow the place of the cut.
+
+    The range that holds the cut is divided in ``PARTS`` equal parts and counted, until it
+    is one value of ``order``: at most seven rounds for a long, each an aggregate of one
+    narrow column that reads only the rows still in range. Rows above the cut are kept by a
+    comparison. Rows at the cut are told apart by ``tie`` in the same way: its UTF-8 bytes,
+    seven at a time, are numbers in the order of the strings. What is left when one task can
+    rank it (``RANKED`` rows), or has no more bytes to tell it apart, is ranked. Rows without
+    ``order`` come last. ``df`` should be a table, as every round reads it.
+    """
+    key = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))
+    cut, above, at = _narrow(df.select(key.alias("k")), n, largest=True)
+    if cut is None:
+        return df
+    kept, tied, left = df.where(key > cut), df.where(key == cut), n - above
+    if at <= left:
+        return kept.unionByName(tied)
+    digits = 0
+    while tie and at > RANKED:
+        digit = F.conv(F.hex(F.rpad(F.substring(F.encode(F.coalesce(tie, F.lit("")), "utf-8"), 7 * digits + 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long")
+        least, before, same = _narrow(tied.select(digit.alias("k")), left, largest=False)
+        kept, left = kept.unionByName(tied.where(digit < least)), left - before
+        tied = tied.where(digit == least)
+        if same <= left:
+            return kept.unionByName(tied)
+        digits += 1
+        longest = tied.agg(F.max(F.octet_length(tie)).alias("n")).first()["n"] or 0  # one number
+        if same > RANKED and 7 * digits >= longest:
+            return kept.unionByName(tied.limit(left))  # equal in order and tie: any will do
+        at = same
+    return kept.unionByName(tied.orderBy(*([F.col(tie)] if tie else [])).limit(left))
+
+
+def _narrow(keys: DataFrame, n: int, largest: bool) -> tuple[int | None, int, int]:
+    """The ``n``-th largest (or smallest) of the longs ``k``, how many lie beyond it and how many are equal; None if there are fewer."""
+    ends = keys.agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n")).first()  # three numbers
+    if ends["n"] <= n:
+        return None, 0, 0
+    low, high, beyond = ends["low"], ends["high"], 0
+    while True:
+        width = -(-(high - low + 1) // PARTS)
+        kind = "bigint" if high - low < 2**62 else "decimal(38,0)"  # a wider difference has no place in a long
+        place = F.expr(f"(CAST(k AS {kind}) - CAST('{low}' AS {kind})) DIV CAST('{width}' AS {kind})")
+        got = keys.where(F.col("k").between(low, high)).groupBy(place.cast("long").alias("part")).agg(F.count("*").alias("n")).collect()  # PARTS rows at most
+        for r in sorted(got, key=lambda r: r["part"], reverse=largest):
+            if beyond + r["n"] >= n:
+                low, high, here = low + r["part"] * width, min(high, low + (r["part"] + 1) * width - 1), r["n"]
+                break
+            beyond += r["n"]
+        if low == high:
+            return low, beyond, here

@@ -60,12 +60,8 @@ def claims(dec: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def weaknesses(toks: DataFrame) -> DataFrame:
-    """One finding per (host, issue): that of the first exchange that shows it.
-
-    The first is taken by an aggregate, which combines on the map side, so a host that
-    sends most of the traffic does not end up in one task.
-    """
+def issues(toks: DataFrame) -> DataFrame:
+    """A row for every issue of every token: host, label, and in ``m`` where it was seen and what to say."""
     dec = decoded(toks).where(F.col("header").isNotNull())
     h, p = F.col("h"), F.col("p")
     alg = nz(checks.scalar(F.col("header"), "alg"))
@@ -81,7 +77,7 @@ def weaknesses(toks: DataFrame) -> DataFrame:
         return F.when(cond, F.struct(label.alias("label"), F.lit(sev).alias("severity"), F.lit(hint).alias("hint")))
 
     has_payload = F.col("payload").isNotNull()
-    issues = F.array_compact(
+    found = F.array_compact(
         F.array(
             issue(F.lower(alg) == "none", "alg=none", "HIGH", "confirm that unsigned tokens are refused"),
             issue(F.upper(alg).startswith("HS"), F.concat(F.lit("symmetric "), F.upper(alg)), "LOW", "confirm that the secret is strong and private"),
@@ -102,10 +98,23 @@ def weaknesses(toks: DataFrame) -> DataFrame:
             F.concat(F.lit("; claims: "), F.array_join(F.array_sort(keys), ", ")),
         ).otherwise(F.lit("")),
     )
-    rows = dec.select("seq", "host", "url", "pos", "token", summary.alias("summary"), F.posexplode(issues).alias("ipos", "i"))
-    first = rows.groupBy(F.lower("host").alias("host"), F.col("i.label").alias("label")).agg(
-        F.min(F.struct("seq", "pos", "ipos", "token", "url", "summary", F.col("i.severity").alias("severity"), F.col("i.hint").alias("hint"))).alias("m")
-    )
+    rows = dec.select("seq", "host", "url", "pos", "token", summary.alias("summary"), F.posexplode(found).alias("ipos", "i"))
+    m = F.struct("seq", "pos", "ipos", "token", "url", "summary", F.col("i.severity").alias("severity"), F.col("i.hint").alias("hint"))
+    return rows.select(F.lower("host").alias("host"), F.col("i.label").alias("label"), m.alias("m"))
+
+
+def first_issues(rows: DataFrame) -> DataFrame:
+    """One row per (host, issue): the first exchange that shows it. An aggregate, which combines on the
+    map side, so a host that sends most of the traffic does not end up in one task."""
+    return rows.groupBy("host", "label").agg(F.min("m").alias("m"))
+
+
+def weaknesses(toks: DataFrame) -> DataFrame:
+    """One finding event per (host, issue)."""
+    return issue_events(first_issues(issues(toks)))
+
+
+def issue_events(first: DataFrame) -> DataFrame:
     return first.select(
         F.col("m.seq").alias("seq"),
         (F.lit(1_000_000) + F.col("m.pos") * 100 + F.col("m.ipos")).alias("ord"),

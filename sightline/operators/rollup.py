@@ -114,34 +114,60 @@ def parameter_events(prepared: DataFrame) -> DataFrame:
     ).where(F.col("location").isin("QUERY", "BODY", "COOKIE", "JSON", "HEADER"))
 
 
-def parameters(events: DataFrame) -> DataFrame:
+def parameter_parts(events: DataFrame) -> DataFrame:
+    """Partial rollup of parameter observations: mergeable, as first/last rules keep their ``seq`` and ``pos``."""
     example = F.when(~blank(F.col("value")), F.struct("seq", "pos", "value"))
     return events.groupBy("endpoint_key", "location", "name").agg(
-        F.min_by("endpoint_path", F.struct("seq", "pos")).alias("endpoint_path"),
-        F.min(example).alias("_e"),
+        F.min(F.struct("seq", "pos", "endpoint_path")).alias("first"),
+        F.min(example).alias("example"),
         F.bool_or("reflected").alias("reflected"),
         F.count("*").alias("seen"),
-        F.min("seq").alias("first_seq"),
-    ).select(
-        "endpoint_key", "location", "name", "endpoint_path", urls.host_of(F.col("endpoint_key")).alias("host"),
-        nz(F.col("_e.value")).alias("example"), "reflected", "seen", "first_seq",
+    ).withColumn("host", urls.host_of(F.col("endpoint_key")))
+
+
+def merge_parameter_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("endpoint_key", "location", "name").agg(
+        F.min("first").alias("first"), F.min("example").alias("example"), F.bool_or("reflected").alias("reflected"), F.sum("seen").alias("seen"),
+    ).withColumn("host", urls.host_of(F.col("endpoint_key")))
+
+
+def finished_parameters(parts: DataFrame) -> DataFrame:
+    return parts.select(
+        "endpoint_key", "location", "name", F.col("first.endpoint_path").alias("endpoint_path"), "host",
+        nz(F.col("example.value")).alias("example"), "reflected", "seen", F.col("first.seq").alias("first_seq"),
     )
 
 
-def findings(events: DataFrame) -> DataFrame:
-    """First occurrence wins, occurrences are counted; ``raw_match`` is kept for joins only
-    and leaves through ``masked``."""
+def parameters(events: DataFrame) -> DataFrame:
+    return finished_parameters(parameter_parts(events))
+
+
+def finding_parts(events: DataFrame) -> DataFrame:
+    """Partial rollup of finding events: the first occurrence and the count."""
     return events.groupBy("type", "raw_match").agg(
-        F.min(F.struct("seq", "ord", "severity", "location", "evidence", "sensitive")).alias("f"),
-        F.count("*").alias("times_seen"),
-    ).select(
+        F.min(F.struct("seq", "ord", "severity", "location", "evidence", "sensitive")).alias("f"), F.count("*").alias("times_seen"),
+    ).withColumn("host", urls.host_of(F.col("f.location")))
+
+
+def merge_finding_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("type", "raw_match").agg(F.min("f").alias("f"), F.sum("times_seen").alias("times_seen")).withColumn("host", urls.host_of(F.col("f.location")))
+
+
+def finished_findings(parts: DataFrame) -> DataFrame:
+    """``raw_match`` is kept for joins only and leaves through ``masked``."""
+    return parts.select(
         "type", "raw_match", F.col("f.severity").alias("severity"), F.col("f.location").alias("location"),
         F.col("f.evidence").alias("evidence"), F.col("f.sensitive").alias("sensitive"), "times_seen",
         F.when(F.col("f.sensitive"), mask(F.col("raw_match"))).otherwise(F.lit("")).alias("masked"),
-        urls.host_of(F.col("f.location")).alias("host"), F.col("f.seq").alias("first_seq"),
+        "host", F.col("f.seq").alias("first_seq"),
     )
 
 
+def findings(events: DataFrame) -> DataFrame:
+    """First occurrence wins, occurrences are counted."""
+    return finished_findings(finding_parts(events))
+
+
 def finding_is_new(events: DataFrame) -> DataFrame:
     """Marks the first occurrence of each finding.
 

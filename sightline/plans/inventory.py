@@ -20,11 +20,14 @@ class Inventory:
     rollup and mart reads those.
     """
 
-    def __init__(self, exchanges: DataFrame, settings: Settings = Settings(), js_files: DataFrame | None = None):
+    def __init__(self, exchanges: DataFrame, settings: Settings = Settings(), js_files: DataFrame | None = None, known: DataFrame | None = None):
+        self.captured = exchanges
         ex = filters.scope(exchanges, settings.scope_include, settings.scope_exclude)
         self.exchanges = detect.static_filter(ex, settings)
         self.settings = settings
         self.js_files = js_files
+        #: sha256 of bodies that were analysed before: they are scripts seen again, and add nothing.
+        self.known = known
 
     @cached_property
     def prepared(self) -> DataFrame:
@@ -54,11 +57,16 @@ class Inventory:
 
     @cached_property
     def events(self) -> DataFrame:
-        ev = detect.events(self.prepared, self.settings)
+        ev = self.plain_events
         if self.settings.run_passive_checks:
             ev = ev.unionByName(jwt.weaknesses(jwt.tokens(self.prepared)))
         return persist_table(ev, "seen-findings")
 
+    @property
+    def plain_events(self) -> DataFrame:
+        """Findings of traffic that need nothing but their exchange: all but those of tokens, of which a host shows each once."""
+        return detect.events(self.prepared, self.settings)
+
     @cached_property
     def findings(self) -> DataFrame:
         return rollup.findings(self.events)
@@ -77,7 +85,8 @@ class Inventory:
         rows = js.js_responses(self.prepared)
         if self.js_files is not None:
             rows = rows.unionByName(self.js_files.select("seq", "url", "body"))
-        return js.distinct_bodies(rows)
+        found = js.distinct_bodies(rows)
+        return found if self.known is None else persist_table(found.join(self.known.select("sha256"), "sha256", "left_anti"), "new-bodies")
 
     @cached_property
     def kinds(self) -> DataFrame:
@@ -125,34 +134,44 @@ class Inventory:
         return specs.graphql_fields(self.prepared)
 
     @cached_property
-    def all_endpoints(self) -> DataFrame:
+    def all_endpoint_events(self) -> DataFrame:
         """Endpoints seen in traffic, named in JavaScript and declared in descriptions."""
-        ev = (
+        return (
             self.endpoint_events
             .unionByName(js.link_endpoint_events(self.links))
             .unionByName(specs.openapi_endpoint_events(self.api_operations))
             .unionByName(specs.graphql_endpoint_events(self.graphql))
         )
-        return rollup.retained(rollup.endpoints(ev), self.settings.retention_cap)
 
     @cached_property
-    def all_parameters(self) -> DataFrame:
+    def all_endpoints(self) -> DataFrame:
+        return rollup.retained(rollup.endpoints(self.all_endpoint_events), self.settings.retention_cap)
+
+    @cached_property
+    def all_parameter_events(self) -> DataFrame:
         """Parameters sent in traffic and declared in descriptions."""
-        ev = (
+        return (
             self.parameter_events
             .unionByName(specs.openapi_params(self.api_operations))
             .unionByName(specs.graphql_params(self.graphql))
         )
-        return rollup.retained(rollup.parameters(ev), self.settings.retention_cap)
+
+    @cached_property
+    def all_parameters(self) -> DataFrame:
+        return rollup.retained(rollup.parameters(self.all_parameter_events), self.settings.retention_cap)
+
+    @cached_property
+    def description_events(self) -> DataFrame:
+        return specs.spec_findings(self.api_operations).unionByName(specs.graphql_findings(self.graphql))
+
+    @cached_property
+    def all_events(self) -> DataFrame:
+        """Finding events of traffic, scripts and descriptions."""
+        return persist_table(self.events.unionByName(self.js_events).unionByName(self.description_events), "all-findings")
 
     @cached_property
     def all_findings(self) -> DataFrame:
-        ev = (
-            self.events.unionByName(self.js_events)
-            .unionByName(specs.spec_findings(self.api_operations))
-            .unionByName(specs.graphql_findings(self.graphql))
-        )
-        return rollup.retained(rollup.findings(ev), self.settings.retention_cap)
+        return rollup.retained(rollup.findings(self.all_events), self.settings.retention_cap)
 
 
 def triaged(findings: DataFrame, annotations: DataFrame) -> DataFrame:

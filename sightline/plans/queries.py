@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -749,8 +749,7 @@ def merged_findings(spark, sf):
 
 @query
 def finding_is_new(spark, sf):
-    ev = detect.explode_findings(prep(spark, sf), detect.pii_phone(), detect.csp(), detect.cors(), detect.html_comments())
-    n = rollup.finding_is_new(ev)
+    n = rollup.finding_is_new(inv(spark, sf).events)
     return n.groupBy("type", "is_new").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
 
 
@@ -975,8 +974,8 @@ def _snapshots(spark, sf):
     def tables(cond):
         i, j = Inventory(e.where(cond)), Inventory(s.where(cond))
         return {
-            "endpoints": i.endpoints, "endpoint_params": i.endpoint_params, "parameters": rollup.parameters(rollup.parameter_events(i.prepared)),
-            "findings": rollup.findings(detect.explode_findings(i.prepared, detect.cors(), detect.csp(), detect.pii_phone(), detect.unauth_access())),
+            "endpoints": i.endpoints, "endpoint_params": i.endpoint_params, "parameters": i.parameters,
+            "findings": rollup.findings(i.events.unionByName(j.all_events)),
             "js_assets": j.bodies, "tech": i.tech, "tech_rows": i.tech_rows,
         }
 
@@ -996,11 +995,16 @@ def snapshot_diff_counts(spark, sf):
 
 @query
 def delete_hosts(spark, sf):
+    """Rows kept and deleted per table; the counters keep theirs."""
     i = inv(spark, sf)
     hosts = i.tech.where(C("host").rlike("^(?:api[0-2]|blog)")).select("host")
-    kept = diff.delete_hosts(i.endpoints, hosts).agg(F.count("*").alias("n")).select(F.lit("kept").alias("what"), "n")
-    gone = diff.deleted_counts({"endpoints": i.endpoints, "tech": i.tech, "parameters": rollup.parameters(rollup.parameter_events(i.prepared))}, hosts)
-    return kept.unionByName(gone.select(C("table").alias("what"), C("deleted").alias("n")))
+    status, _, _ = rollup.counters(i.prepared)
+    scripts = inv(spark, sf, "scripts").assets.select(urls.host_of(C("url")).alias("host"))
+    tables = {"endpoints": i.endpoints, "tech": i.tech, "technologies": i.tech_rows, "parameters": i.parameters, "findings": i.findings, "scripts": scripts}
+    kept = diff.delete_hosts_all(tables, hosts) | {"requests": status}
+    rows = [t.agg((F.sum("n") if n == "requests" else F.count("*")).cast("bigint").alias("n")).select(F.lit(f"kept {n}").alias("what"), "n") for n, t in kept.items()]
+    gone = diff.deleted_counts(tables, hosts).select(F.concat(F.lit("deleted "), C("table")).alias("what"), C("deleted").alias("n"))
+    return reduce(lambda a, b: a.unionByName(b), rows).unionByName(gone)
 
 
 @query
@@ -1135,7 +1139,7 @@ def stream_findings(spark, sf):
     from sightline.streaming import jobs
 
     f = jobs.finding_counts(events_stream(spark, sf))
-    return f.select("type", F.sha2(F.concat(C("type"), F.lit("|"), C("raw_match")), 256).alias("fingerprint"), "times_seen", "first_seq")
+    return f.select("type", "severity", "masked", F.sha2(F.concat(C("type"), F.lit("|"), C("raw_match")), 256).alias("fingerprint"), "times_seen", "first_seq")
 
 
 @query
@@ -1150,7 +1154,7 @@ def stream_js_dedup(spark, sf):
 def stream_jwt(spark, sf):
     from sightline.streaming import jobs
 
-    return jobs.jwt_slots(events_stream(spark, sf))
+    return jobs.token_issues(events_stream(spark, sf)).select("host", "issue")
 
 
 @query

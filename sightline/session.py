@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -76,6 +77,51 @@ def close_run(spark: SparkSession) -> None:
         spark.conf.unset(_RUN)
 
 
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """What is written to the scratch folder inside goes when the block ends; used per batch of a stream."""
+    outer = spark.conf.get(_RUN, None)
+    spark.conf.set(_RUN, f"{scratch_root(spark).rstrip('/')}/sightline-run-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        close_run(spark)
+        if outer:
+            spark.conf.set(_RUN, outer)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, where = _folder(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    files, whole = _folder(spark, path)
+    _, part = _folder(spark, path + ".part")
+    stream = files.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    files.delete(whole, False)
+    if not files.rename(part, whole):
+        raise OSError(f"cannot write {path}")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where it doesn't exist."""
+    files, where = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
 def contents(spark: SparkSession, *paths: str) -> tuple:
     """Name, size and time of every file under the paths: equal for two calls if nothing was written between them."""
     out = []
