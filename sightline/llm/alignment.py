@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import arrow_batches, shared, table
+from sightline.llm.common import arrow_batches, shared, table, vocabulary
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Links (or documents) that a task holds before it spills a run; partitions of a run.
@@ -57,15 +57,6 @@ _SEGMENT = re.compile(r" (?:[^ ]+|(?<=\s) )*")
 _LEVEL = 3
 
 
-def vocabulary(name: str, folder: str | None = None) -> str:
-    """Where a vocabulary file lies on this machine: in ``folder``, or where the installed package has it."""
-    if folder:
-        return f"{folder}/{name}"
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 # ----------------------------------------------------------------- one text
 
 

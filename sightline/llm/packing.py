@@ -3,13 +3,13 @@
 Method. A configuration says how many pieces of each length one sequence holds. The
 program asks for the fewest configurations that cover the length histogram. It is
 solved by multiplicative weights: each length carries a weight, a knapsack by dynamic
-programming finds the configuration of most weight (the pricing), the lengths it covers
-lose weight, and the average of the configurations is the fractional solution. It is
-rounded down to whole uses; what remains of the histogram is covered by filling
-sequences from the longest remaining length down, each filling used as often as the
-histogram allows. Everything up to here works on the histogram, whose size is the
-sequence length and not the input. Spark then numbers the pieces of each length with
-counts per partition and deals them to the places of the configurations.
+programming finds the configurations of most weight (the pricing), the lengths they cover
+lose weight, and the average of the rounds is the fractional solution. Its full
+configurations are rounded to whole uses, the remaining histogram is solved again, and so
+on; only the last pieces are filled into sequences one by one. Everything up to here works
+on the histogram, whose size is the sequence length and not the input. Spark then numbers
+the pieces of each length with counts per partition and deals them to the places of the
+configurations.
 
 Defined results: null text is empty text, which is one token (the closing id 0). Only
 documents longer than a sequence are cut. Repeated rows and repeated or null ids are
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from sightline.llm.common import arrow_batches, shared, table
+from sightline.llm.common import arrow_batches, shared, table, vocabulary
 
 LENGTH = 2048
-TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "word_bpe_49k.json"
 CLOSING = 0
-#: Rounds of multiplicative weights and their step.
-ROUNDS, STEP = 150, 0.25
+#: Rounds of multiplicative weights, their step, and how much a weight may add to a length of a whole sequence.
+ROUNDS, STEP, PREFERENCE = 6, 2.0, 0.45
+#: Share of the pieces that a solution's configurations aren't built around: the shorter ones.
+SHORTER = 0.6
+#: Share of the pieces that a solution has to place for another to follow, and that the program has to place in the end.
+LITTLE, CARRIED = 0.02, 0.9
+#: Points of the hand-over to the last filling that are tried, and the share of sequences that the program may need beyond filling alone.
+HAND_OVER, SPARE = 8, 1e-4
 #: Words whose ids a task remembers.
 REMEMBERED = 800_000
 #: Where Python splits and the vocabulary doesn't, or lower-cases by the neighbours: such texts are encoded whole.
@@ -49,11 +55,12 @@ class Encoder:
     """Ids of whole texts. The vocabulary never joins across white space, so the ids of each
     distinct word are found once and remembered."""
 
-    def __init__(self, folder: str, name: str) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(f"{folder}/{name}")
-        self.model.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path)
+        #: Strings that the vocabulary takes for one token wherever they stand.
+        self.marks = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -62,8 +69,9 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         plain = [(t or "").encode("utf-8", "replace").decode() for t in texts]
-        odd = [any(c in t for c in _ODD) for t in plain]
-        split = [[] if o else t.lower().split() for o, t in zip(odd, plain, strict=True)]
+        lower = [t.lower() for t in plain]
+        odd = [any(c in t for c in _ODD) or any(m in low for m in self.marks) for t, low in zip(plain, lower, strict=True)]
+        split = [[] if o else low.split() for o, low in zip(odd, lower, strict=True)]
         known = self.known
         words = {w for own in split for w in own}
         fresh = [w for w in words if w not in known]
@@ -76,23 +84,23 @@ class Encoder:
         return [self._ids([t])[0] if o else b"".join(map(get, own)) for o, t, own in zip(odd, plain, split, strict=True)]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(folder: str, name: str) -> Encoder:
+def encoder_of(path: str) -> Encoder:
     """The encoder of this process; tasks that follow one another share what it remembers."""
-    if (folder, name) not in _ENCODERS:
-        _ENCODERS[folder, name] = Encoder(folder, name)
-    return _ENCODERS[folder, name]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def pieces(docs: DataFrame, keep_ids: bool = False, folder: str = TOKENIZERS, name: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, keep_ids: bool = False, folder: str | None = None, name: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: the documents' ids with the closing id, cut at ``length``."""
     arrow_batches(docs.sparkSession)
     closing = np.array([CLOSING], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(folder, name)
+        encoder = encoder_of(vocabulary(name, folder))
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
@@ -111,49 +119,56 @@ def pieces(docs: DataFrame, keep_ids: bool = False, folder: str = TOKENIZERS, na
 # ----------------------------------------------------------------- the program
 
 
-def price(weights: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration of most weight: an unbounded knapsack, lengths being sizes. Returns uses per length (index 0 unused)."""
-    sizes = np.flatnonzero(counts)
-    value = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, np.int64)
-    gain = weights[sizes]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(sizes, c, side="right")
-        if n:
-            total = gain[:n] + value[c - sizes[:n]]
-            k = int(np.argmax(total))
-            value[c], last[c] = (total[k], sizes[k]) if total[k] > value[c - 1] else (value[c - 1], 0)
-    uses = np.zeros(len(counts), np.int64)
-    c = capacity
-    while c > 0:
-        if last[c]:
-            uses[last[c]] += 1
-            c -= last[c]
-        else:
-            c -= 1
-    return np.minimum(uses, counts)
+#: How many pieces of each length one sequence holds: (length, pieces) in rising order.
+Configuration = tuple[tuple[int, int], ...]
 
 
-def fractional(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations with fractional uses that cover ``counts``, by multiplicative weights."""
+def price(weights: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack by dynamic programming: for every room the most weight that fits, and the length placed last in it (0: none)."""
+    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    gain = weights[sizes]
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        value[room] = value[room - 1]
+        if n := fitting[room]:
+            total = gain[:n] + value[room - sizes[:n]]
+            k = int(total.argmax())
+            if total[k] > value[room]:
+                value[room], last[room] = total[k], sizes[k]
+    return value, last
+
+
+def fractional(counts: np.ndarray, capacity: int) -> dict[Configuration, float]:
+    """Configurations with fractional uses, by multiplicative weights.
+
+    The dual of a packing without waste is the length itself. On top of it every length has a
+    weight that falls with the share of it already covered, so a round prefers what the rounds
+    before left out; it is too small to let a sequence with more room in it win. One pricing
+    tells for every length the best configuration around it, which is used as often as its
+    scarcest length allows, a round's share of that.
+    """
     sizes = np.flatnonzero(counts)
-    if not len(sizes):
-        return []
-    log_weight = np.log(np.maximum(sizes, 1) / capacity)  # the dual of a perfect filling
-    found: dict[bytes, list] = {}
-    covered = np.zeros(len(counts))
-    for _ in range(ROUNDS):
-        weights = np.zeros(len(counts))
-        weights[sizes] = np.exp(log_weight - log_weight.max())
-        uses = price(weights, counts, capacity)
-        # as often as the length that runs out first allows: the width of the step
-        often = float((counts[uses > 0] / uses[uses > 0]).min())
-        covered += uses * often
-        found.setdefault(uses.tobytes(), [uses, 0.0])[1] += often
-        log_weight -= STEP * (uses * often)[sizes] / counts[sizes]
-    # scale so that as many lengths as possible are covered exactly: what lies over is trimmed by the rounding
-    scale = float(np.quantile(covered[sizes] / counts[sizes], 0.9, weights=counts[sizes] * sizes, method="inverted_cdf"))
-    return [(uses, often / max(scale, 1e-12)) for uses, often in found.values()]
+    place = np.arange(len(counts))
+    log_weight, covered = np.zeros(len(counts)), np.zeros(len(counts))
+    found: dict[Configuration, float] = {}
+    for k in range(ROUNDS):
+        weight = np.exp(log_weight - log_weight[sizes].max())
+        _, last = price(place * (1 + PREFERENCE * weight / capacity), sizes, capacity)
+        for size in sizes[::-1].tolist():
+            uses, room = Counter({size: 1}), capacity - size
+            while room > 0:
+                if last[room]:
+                    uses[int(last[room])] += 1
+                    room -= int(last[room])
+                else:
+                    room -= 1
+            key = tuple(sorted(uses.items()))
+            often = min(counts[x] / n for x, n in key) / ROUNDS
+            found[key] = found.get(key, 0.0) + often
+            for x, n in key:
+                covered[x] += n * often
+        log_weight[sizes] -= STEP * np.minimum(covered[sizes] / counts[sizes], 50) / (k + 1)
+    return found
 
 
 def fill(left: np.ndarray, capacity: int) -> np.ndarray:
@@ -183,45 +198,72 @@ def fill(left: np.ndarray, capacity: int) -> np.ndarray:
     return uses
 
 
-def solve(counts: np.ndarray, capacity: int = LENGTH) -> list[tuple[np.ndarray, int]]:
-    """Configurations (uses per length) and whole numbers of their uses that hold every piece exactly once."""
+def _filled(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
+    """Sequences filled one by one, each filling used as often as there are pieces for it."""
+    left, plan = left.copy(), []
+    while left.any():
+        uses = fill(left, capacity)
+        n = int((left[uses > 0] // uses[uses > 0]).min())
+        left -= uses * n
+        plan.append((tuple((int(x), int(uses[x])) for x in np.flatnonzero(uses)), n))
+    return plan
+
+
+def solve(counts: np.ndarray, capacity: int = LENGTH) -> tuple[list[tuple[Configuration, int]], int]:
+    """Configurations and whole numbers of their uses that hold every piece exactly once, and how many pieces the program placed.
+
+    The full configurations of the fractional solution are rounded down to whole uses, but to one at
+    least, as long as there are pieces for them; those around the longest lengths come first. What
+    remains is a histogram again and solved in the same way, until a solution places little. The
+    last pieces are filled sequence by sequence: of the points at which the program has placed the share
+    ``CARRIED``, the first ``HAND_OVER`` are tried and the best is taken. Where all need over ``SPARE``
+    more sequences than filling alone, filling alone is taken: lengths that don't add up to full
+    sequences are no case for full configurations.
+    """
     left = counts.astype(np.int64).copy()
-    plan: list[tuple[np.ndarray, int]] = []
+    plan: list[tuple[Configuration, int]] = []
 
-    def use(uses: np.ndarray, most: int) -> None:
-        own = uses > 0
-        n = min(most, int((left[own] // uses[own]).min()))
+    def use(key: Configuration, most: int) -> None:
+        n = min(most, *(int(left[size]) // k for size, k in key))
         if n > 0:
-            plan.append((uses, n))
-            left[:] -= uses * n
-
-    single = np.zeros(len(left), np.int64)
-    single[capacity] = 1
-    if left[capacity]:
-        use(single, sys.maxsize)
-    # fullest configurations first: the others' waste is better filled by the rest
-    place = np.arange(len(left))
-    for uses, often in sorted(fractional(left, capacity), key=lambda x: -int((x[0] * place).sum())):
-        if int((uses * place).sum()) >= capacity:
-            use(uses, int(often))
+            plan.append((key, n))
+            for size, k in key:
+                left[size] -= k * n
+
+    use(((capacity, 1),), sys.maxsize)
+    total = int(left.sum())
+    points = [(0.0, len(plan), left.copy())]
     while left.any():
-        use(fill(left, capacity), sys.maxsize)
-    return plan
+        before = int(left.sum())
+        # those around the longer pieces: the short ones are what fills them
+        middle = int(np.searchsorted(np.cumsum(left), before * SHORTER))
+        full = {key: often for key, often in fractional(left, capacity).items() if key[-1][0] >= middle and sum(size * k for size, k in key) == capacity}
+        for key, often in sorted(full.items(), key=lambda x: (-x[0][-1][0], -x[1], x[0])):
+            use(key, max(1, int(often)))
+        points.append((1 - int(left.sum()) / total, len(plan), left.copy()))
+        if before - left.sum() < LITTLE * before:
+            break
+    ends = []
+    for share, n, rest in [points[0], *[p for p in points if p[0] >= CARRIED][:HAND_OVER]]:
+        last = _filled(rest, capacity)
+        ends.append((share, sum(k for _, k in plan[:n]) + sum(k for _, k in last), plan[:n] + last))
+    carried = [e for e in ends if e[0] >= CARRIED and e[1] <= ends[0][1] * (1 + SPARE)]
+    share, _, best = min(carried or ends, key=lambda e: (e[1], -e[0]))
+    return best, int(counts[capacity]) + round(share * total)
 
 
-def places(plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, ...]]:
+def places(plan: list[tuple[Configuration, int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: where the ranks of its pieces begin per configuration, the pieces of it in one
     sequence, the first sequence number, and the first offset in a sequence."""
     out: dict[int, list] = {}
     first = 0
-    for uses, n in plan:
+    for key, n in plan:
         at = 0
-        for size in np.flatnonzero(uses):
-            k = int(uses[size])
-            rows = out.setdefault(int(size), [])
+        for size, k in key:
+            rows = out.setdefault(size, [])
             begin = rows[-1][0] + rows[-1][4] if rows else 0
             rows.append((begin, k, first, at, k * n))
-            at += k * int(size)
+            at += k * size
         first += n
     return {s: tuple(np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4]) for s, rows in out.items()}
 
@@ -234,7 +276,7 @@ def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     counts = np.zeros(length + 1, np.int64)
     for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length, at most ``length``
         counts[r["length"]] = r["n"]
-    where = places(solve(counts, length))
+    where = places(solve(counts, length)[0])
     # rank of a piece among those of its length: pieces in the partitions before, plus its rank in its own
     before = tally.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     dealt = dealt.join(before.select("_part", "length", F.coalesce("_before", F.lit(0)).alias("_before")), ["_part", "length"])

@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sightline.llm import decontaminate, minhash, packing, privacy, quality, sharding
+from sightline.llm.common import vocabulary
 from sightline.llm.shingles import shingle_set
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -268,13 +270,13 @@ def test_prior_is_that_of_all_labels(spark, documents, monkeypatch):
 
 
 def test_encoder_is_the_vocabulary():
-    own = packing.Encoder(packing.TOKENIZERS, packing.VOCABULARY)
+    own = packing.Encoder(vocabulary(packing.VOCABULARY))
     texts = [None, "", "Plain words, it's ÉCOLE é Σας a\x1cb !\x1c! x\u0085y　z 123", "<|endoftext|> &&&", prose(1, 500)]
     assert own.encode(texts) == own._ids([t or "" for t in texts])
 
 
 def test_packing_places_every_piece_once(spark, documents):
-    own = packing.Encoder(packing.TOKENIZERS, packing.VOCABULARY)
+    own = packing.Encoder(vocabulary(packing.VOCABULARY))
     rows = [(k, prose(k, 20 + (k * 37) % 700)) for k in range(160)] + [(200, prose(9, 4000)), (201, None), (202, ""), (202, ""), (None, "x")] + [(300 + k, prose(3, 100)) for k in range(40)]
     out = packing.packed_documents(documents(rows, ["piece", "length"]), keep_ids=True).collect()
     want = []
@@ -303,10 +305,34 @@ def test_program_covers_the_histogram(seed):
     counts = np.zeros(257, np.int64)
     sizes = r.integers(1, 257, 40)
     np.add.at(counts, sizes, r.integers(1, 500, 40))
-    plan = packing.solve(counts, 256)
-    assert (sum(u * n for u, n in plan) == counts).all()
+    plan, placed = packing.solve(counts, 256)
     place = np.arange(257)
-    assert all((u * place).sum() <= 256 for u, _ in plan)
+    held = np.zeros(257, np.int64)
+    for key, n in plan:
+        assert sum(size * k for size, k in key) <= 256
+        for size, k in key:
+            held[size] += k * n
+    assert (held == counts).all() and 0 <= placed <= counts.sum()
     big = int(counts[129:].sum())
     bound = max(-(-int((counts * place).sum()) // 256), big)
     assert sum(n for _, n in plan) <= 1.12 * bound + 2
+
+
+@pytest.mark.parametrize("times", [1, 25])
+def test_the_program_carries_the_packing(times):
+    """At least 90 % of the pieces below a sequence come from the program, and no more sequences than by filling alone, but for one in 10,000."""
+    lengths = np.random.default_rng(7).lognormal(6.3, 0.9, 9_000).astype(int).clip(1, 20_000)
+    counts = np.zeros(2049, np.int64)
+    np.add.at(counts, lengths % 2048, 1)
+    counts[2048] = (lengths // 2048).sum()
+    counts[0] = 0
+    counts *= times
+    plan, placed = packing.solve(counts)
+    assert placed - counts[2048] >= 0.9 * counts[1:2048].sum()
+    left, greedy = counts.copy(), 0
+    while left.any():
+        uses = packing.fill(left, 2048)
+        n = int((left[uses > 0] // uses[uses > 0]).min())
+        left -= uses * n
+        greedy += n
+    assert sum(n for _, n in plan) <= greedy * 1.0001
