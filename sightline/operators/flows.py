@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import classify, urls
 from sightline.functions.text import first_match, nz, rl
+from sightline.session import persist_table
 
 TYPE = "Client Flow"
 TYPE_IDOR = "Client Flow: IDOR candidate"
@@ -125,42 +128,62 @@ def _segments(p: Column) -> Column:
     return F.split(F.regexp_replace(p, r"(?<=.)/+\z", ""), "/")
 
 
-def flow_seen(flows: DataFrame, eps: DataFrame) -> DataFrame:
-    """Adds ``seen``: an answered endpoint of the same method matches the path template.
+_HOLDER = r"\{[^}]*\}"
+#: A whole placeholder segment in the trie; no segment of a template can look like it.
+_ANY = "{}"
+
 
-    No pair of a flow and an endpoint is compared unless they agree: each endpoint path is
-    written once per distinct placeholder mask of its method and length, with the masked
-    segments replaced, and the rest is an equality join.  Segments that are only partly a
-    placeholder are checked afterwards by expression.
+def trie(flows: DataFrame) -> DataFrame:
+    """Edges of the templates' segments: verb, parent, edge, node, prefix (of a partly literal segment, else null), last.
+
+    Templates that begin alike share their nodes; a node is named by the edges down to it.
+    Placeholders are all written alike, so a node has one edge at most that takes any segment.
     """
-    f = flows.select("method", "path", _segments(path_only(F.col("path"))).alias("seg"))
-    # A placeholder may contain a slash only in malformed templates; those stay literal.
-    mask = F.transform("seg", lambda s: s.rlike(r"\{[^}]*\}"))
-    f = f.select(
-        F.upper("method").alias("verb"), "method", "path", "seg", F.array_join(F.transform(mask, lambda m: F.when(m, "1").otherwise("0")), "").alias("mask"),
-    )
-    def key_of(seg: Column, m: Column) -> Column:
-        return F.array_join(F.transform(seg, lambda s, i: F.when(F.substr(m, i + 1, F.lit(1)) == "1", F.lit("*")).otherwise(s)), "/")
+    c = F.col
+    seg = F.transform(_segments(path_only(c("path"))), lambda s: F.regexp_replace(s, _HOLDER, _ANY))
+    t = flows.select(F.upper("method").alias("verb"), seg.alias("seg")).distinct()
+    upto = lambda k: F.array_join(F.slice("seg", F.lit(1), k), "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size("seg")), lambda k: F.struct(
+        F.when(k == 1, F.lit("")).otherwise(F.concat(F.lit("/"), upto(k - 1))).alias("parent"), F.get("seg", k - 1).alias("edge"), F.concat(F.lit("/"), upto(k)).alias("node"), (k == F.size("seg")).alias("last"),
+    ))
+    e = t.select("verb", F.explode(steps).alias("e")).select("verb", "e.*")
+    mixed = c("edge").contains(_ANY) & (c("edge") != _ANY)
+    return e.groupBy("verb", "parent", "edge", "node").agg(F.bool_or("last").alias("last")).withColumn("prefix", F.when(mixed, F.substring_index("edge", _ANY, 1)))
 
-    f = f.withColumn("k", key_of(F.col("seg"), F.col("mask")))
-    pattern = F.array_join(
-        F.transform("seg", lambda s: F.regexp_replace(F.regexp_replace(s, r"([\\^$.|?*+()\[\]])", r"\\$1"), r"\{[^}]*\}", "[^/]+")), "/"
-    )
-    f = f.withColumn("pattern", F.concat(F.lit("^"), pattern, F.lit("/?$")))
-    masks = f.select("verb", "mask").distinct()
-    e = eps.where(F.col("last_status") != 0).select(F.upper("method").alias("verb"), urls.route_path(F.col("path")).alias("route")).distinct()
-    e = e.select("verb", "route", _segments(F.col("route")).alias("seg"))
-    e = e.withColumn("n", F.size("seg"))
-    em = e.join(masks.withColumn("n", F.length("mask")), ["verb", "n"]).withColumn("k", key_of(F.col("seg"), F.col("mask")))
-    full = F.transform("seg", lambda s: s.rlike(r"\A\{[^}]*\}\z") | ~s.rlike(r"\{[^}]*\}"))
-    exact = f.where(F.forall(full, lambda x: x))
-    partial = f.where(~F.forall(full, lambda x: x))
-    hit_exact = exact.join(em.select("verb", "mask", "k").distinct(), ["verb", "mask", "k"], "left_semi").select("method", "path")
-    hit_partial = partial.join(em.select("verb", "mask", "k", "route"), ["verb", "mask", "k"]).where(
-        F.rlike("route", "pattern")
-    ).select("method", "path").distinct()
-    hits = hit_exact.unionByName(hit_partial).distinct().withColumn("_s", F.lit(True))
-    return flows.join(hits, ["method", "path"], "left").withColumn("seen", F.coalesce("_s", F.lit(False))).drop("_s")
+
+def flow_seen(flows: DataFrame, eps: DataFrame) -> DataFrame:
+    """Adds ``seen``: an answered endpoint of the same method matches the path template, a placeholder standing for (part of) one segment.
+
+    The routes of the endpoints go down the trie of the templates, a level a round: along the literal
+    edge that equals their next segment, the edge that takes any segment, and the partly literal edges
+    that begin like it. A route is only ever joined with edges of the node it has reached, by a key that
+    holds the node and what the segment has in common with the edge.
+    """
+    c = F.col
+    edges = persist_table(trie(flows), "flow-trie")
+    literal = edges.where(c("prefix").isNull() & (c("edge") != _ANY)).select("verb", c("parent").alias("at"), c("edge").alias("s"), "node", "last")
+    any_ = edges.where(c("edge") == _ANY).select("verb", c("parent").alias("at"), "node", "last")
+    part = edges.where(c("prefix").isNotNull()).withColumn("size", F.length("prefix"))
+    quoted = F.regexp_replace("edge", r"([\\^$.|?*+()\[\]])", r"\\$1")
+    part = part.select("verb", c("parent").alias("at"), "size", "prefix", F.concat(F.lit("\\A"), F.replace(quoted, F.lit(_ANY), F.lit("[^/]+")), F.lit("\\z")).alias("pattern"), "node", "last")
+    sizes = part.select("verb", "at", "size").distinct()
+    routes = eps.where(c("last_status") != 0).select(F.upper("method").alias("verb"), _segments(urls.route_path(c("path"))).alias("left")).distinct()
+    live = persist_table(routes.select("verb", "left", F.lit("").alias("at")), "flow-routes")
+    hits = []
+    while not live.isEmpty():  # a round a level; a route leaves when no edge takes its segment
+        step = live.select("verb", "at", F.get("left", F.lit(0)).alias("s"), F.slice("left", F.lit(2), F.size("left")).alias("left"))
+        along = step.join(literal, ["verb", "at", "s"]).select("verb", "left", "node", "last")
+        along = along.unionByName(step.where(c("s") != "").join(any_, ["verb", "at"]).select("verb", "left", "node", "last"))
+        begun = step.join(sizes, ["verb", "at"]).withColumn("prefix", F.substr("s", F.lit(1), c("size")))
+        along = along.unionByName(begun.join(part, ["verb", "at", "size", "prefix"]).where(F.rlike("s", c("pattern"))).select("verb", "left", "node", "last"))
+        along = persist_table(along, "flow-routes")
+        hits.append(along.where(c("last") & (F.size("left") == 0)).select("verb", "node"))
+        live = along.where(F.size("left") > 0).select("verb", "left", c("node").alias("at")).distinct()
+    f = flows.withColumn("verb", F.upper("method")).withColumn("node", F.concat(F.lit("/"), F.array_join(F.transform(_segments(path_only(c("path"))), lambda s: F.regexp_replace(s, _HOLDER, _ANY)), "/")))
+    if not hits:
+        return f.withColumn("seen", F.lit(False)).drop("verb", "node")
+    found = reduce(lambda a, b: a.unionByName(b), hits).distinct().withColumn("_s", F.lit(True))
+    return f.join(found, ["verb", "node"], "left").withColumn("seen", F.coalesce("_s", F.lit(False))).drop("_s", "verb", "node").select(*flows.columns, "seen")
 
 
 def untested(flows_seen: DataFrame) -> DataFrame:
