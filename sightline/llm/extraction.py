@@ -6,9 +6,12 @@ lines that different pages show there. A node seen on ``m`` pages has the presen
 importance ``H(styles) / ln m`` and the content importance ``1 - mean(ln c) / ln m``,
 with ``c`` the pages that show a line there: what every page repeats in one style weighs
 nothing. Both are mixed with the decay ``DECAY``. Branches below ``LEAST_IMPORTANCE`` on
-at least ``LEAST_PAGES`` different pages are removed from each page. Elements that name
-their role (navigation, footer, advert, comment, form and the like) go in any case, and
-where a page marks its article, the text is taken from there.
+at least ``LEAST_PAGES`` different pages are removed from each page. Elements whose tag says
+what they are (navigation, footer, form and the like) go in any case. Names are evidence
+only: a part named like something beside the article goes if the page's marked article,
+or at least ``ELSEWHERE`` of its text, stands outside it; otherwise the part is the page's
+body, and the same is asked of the parts in it. Where a page marks its article or main
+part, the text is taken from there, unless the marks hold the smaller part of the text.
 
 The merged nodes to remove are a small table next to the pages. Up to ``SMALL`` rows it
 is sent to the tasks; beyond, nodes and pages meet by host, hot hosts in several parts.
@@ -22,7 +25,7 @@ is the content itself. Extra columns are left alone.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import arrow_batches, shared, table
 
 DECAY, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.3, 10
+#: Share of a page's text that has to stand outside the parts named as beside the article.
+ELSEWHERE = 0.1
 SMALL, HOST_PART = 50_000, 2_000
 #: Containers nested deeper belong to their ancestor at this depth.
 DEEPEST = 256
@@ -68,6 +73,13 @@ BESIDE = frozenset(
     "social share sharing sharebar related recommended recommendations comment comments commentlist respond disqus reply replies discussion widget widgets toolbar pagination pager masthead topbar skip search form paywall".split()
 )
 HEADERS = frozenset(["header", "masthead", "banner"])
+#: Names that a section inside an article may well have as its subject.
+OWN_PARTS = frozenset("discussion notice notification alert reply replies respond search form widget widgets rail complementary promotion signup login".split())
+#: Names of parts that readers write; an article marked in one is a comment.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Tags of open elements that end where a tag begins, by that tag; and where the search for them stops.
+ENDS = {tag: tuple(name for name, by in ENDED_BY.items() if tag in by) for tag in frozenset().union(*ENDED_BY.values())}
+BOUNDS = ("article", "main", "body", "table", "div", "section")
 
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]+)))?")
@@ -82,10 +94,13 @@ class Page:
     """Text blocks of one page and the containers they stand in."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[str, int, bool, bool, bool]] = []  # text, container, named to be dropped, in an article, in the main part
+        # text, container, dropped by its tag, in an article, in the main part, innermost part named as beside the article (-1: none)
+        self.blocks: list[tuple[str, int, bool, bool, bool, int]] = []
         self.parent, self.path, self.depth, self.children = [-1], [0], [0], [[]]
-        # open elements: tag, container, dropped, in article, in main
-        self.open: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        self.named: list[tuple[int, bool]] = []  # of each named part the one around it, and whether readers write it
+        # open elements: tag, container, dropped, in article, in main, named part; and their places by tag
+        self.open: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, -1)]
+        self.at: dict[str, list[int]] = {}
         self.text: list[str] = []
         self._read(html)
 
@@ -94,22 +109,22 @@ class Page:
             text = " ".join("".join(self.text).split())
             self.text.clear()
             if text:
-                _, container, dropped, article, main = self.open[-1]
-                self.blocks.append((text, container, dropped, article, main))
+                self.blocks.append((text, *self.open[-1][1:]))
 
     def _pop(self, to: int) -> None:
         if any(o[0] in BLOCK for o in self.open[to:]):
             self._flush()
+        for o in self.open[to:]:
+            self.at[o[0]].pop()
         del self.open[to:]
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of the tags."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
     def _start(self, tag: str, attributes: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.open[k][0]
-            if tag in ENDED_BY.get(name, ()):
-                self._pop(k)
-                break
-            if name in SCOPE.get(tag, ()) or name in ("article", "main", "body", "table", "div", "section"):
-                break
+        if (ends := ENDS.get(tag)) and (ended := self._last(ends)) > self._last((*SCOPE.get(tag, ()), *BOUNDS)):
+            self._pop(ended)
         if tag in BLOCK:
             self._flush()
         elif tag == "br":
@@ -117,7 +132,7 @@ class Page:
         if tag in VOID:
             return
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\t\r\n") else {}
-        _, container, dropped, article, main = self.open[-1]
+        _, container, dropped, article, main, part = self.open[-1]
         role = given.get("role", "").lower()
         inside = article or main
         if tag not in ("html", "body"):
@@ -126,10 +141,15 @@ class Page:
             names = (words | joined) & (BESIDE | HEADERS)
             if inside or tag in HEADING:
                 names -= HEADERS
+            if inside and tag == "section":
+                names -= OWN_PARTS
             if tag == "main" or role == "main":
                 names = set()
+            if names and tag not in HEADING and not dropped:
+                self.named.append((part, bool(names & READERS)))
+                part = len(self.named) - 1
             hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
-            dropped = dropped or tag in DROPPED or bool(hidden) or (bool(names) and tag not in HEADING) or (tag == "header" and not inside)
+            dropped = dropped or tag in DROPPED or bool(hidden) or (tag == "header" and not inside)
         if tag == "article" and not dropped:
             article = True
         if (tag == "main" or role == "main" or given.get("itemprop", "").lower() == "articlebody") and not dropped:
@@ -142,13 +162,13 @@ class Page:
             self.depth.append(self.depth[container] + 1)
             self.children.append([])
             container = len(self.path) - 1
-        self.open.append((tag, container, dropped, article, main))
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, container, dropped, article, main, part))
 
     def _end(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                self._pop(k)
-                return
+        if places := self.at.get(tag):
+            self._pop(places[-1])
+            return
         if tag in BLOCK:
             self._flush()
         elif tag == "br":
@@ -188,20 +208,52 @@ class Page:
             yield k
             k = self.parent[k]
 
+    def _body(self, blocks: list[tuple]) -> list[tuple]:
+        """The blocks outside named parts, and those of the named parts that turn out to be the page's body."""
+        n = len(self.named)
+        text, marked = [0] * (n + 1), [0] * (n + 1)  # the last is for what no named part holds
+        direct = [0] * (n + 1)
+        for b in blocks:
+            text[b[5]] += len(b[0])
+            direct[b[5]] += len(b[0]) if b[3] or b[4] else 0
+        marked[:] = direct
+        inner: dict[int, list[int]] = {}
+        outside = text[-1]
+        for k in range(n - 1, -1, -1):  # a part begins after the one around it
+            around, readers = self.named[k]
+            inner.setdefault(around, []).append(k)
+            marked[k] = 0 if readers else marked[k]
+            if around >= 0:
+                text[around] += text[k]
+                marked[around] += marked[k]
+        total = outside + sum(text[k] for k in inner.get(-1, ()))
+        allowed, at = {-1}, -1
+        while not direct[at] and inner.get(at):
+            best = max(inner[at], key=lambda k: (marked[k], text[k]))
+            if not marked[best] and outside >= ELSEWHERE * total:
+                break
+            allowed.add(best)
+            outside += text[best] - sum(text[k] for k in inner.get(best, ()))
+            at = best
+        return [b for b in blocks if b[5] in allowed]
+
     def kept(self, removed: frozenset[int] | set[int] = frozenset()) -> str:
         """The main text; ``removed`` are the paths (hashed) that the host's tree gives up."""
-        own = [b for b in self.blocks if not b[2]]
-        for level in (3, 4):
-            if any(b[level] for b in own):
-                own = [b for b in own if b[level]]
-                break
+        own = self._body([b for b in self.blocks if not b[2]])
+        size = lambda bs: sum(len(b[0]) for b in bs)
+        article, main = [b for b in own if b[3]], [b for b in own if b[4]]
+        if main:
+            inner = [b for b in main if b[3]]
+            own = inner if 2 * size(inner) >= size(main) else main
+        elif article:
+            own = article if 2 * size(article) >= size(own) else [b for b in own if not b[3]]
         if removed:
-            size: dict[int, int] = {}
+            held: dict[int, int] = {}
             for text, container, *_ in own:
                 for k in self.containers_of(container):
-                    size[k] = size.get(k, 0) + len(text)
-            total = sum(len(b[0]) for b in own)
-            gone = {k for k, s in size.items() if 2 * s < total and self.path[k] in removed}
+                    held[k] = held.get(k, 0) + len(text)
+            total = size(own)
+            gone = {k for k, s in held.items() if 2 * s < total and self.path[k] in removed}
             if gone:
                 own = [b for b in own if not any(k in gone for k in self.containers_of(b[1]))]
         return "\n".join(b[0] for b in own)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -83,6 +84,37 @@ def test_blocks_of_a_page(html, text):
     assert extraction.Page(html).kept() == text
 
 
+TEXT = "This is the main text of the page, long enough to be it."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div class='page has-sidebar'><nav>x</nav><article><p>{TEXT}</p></article><div class='sidebar'>links</div></div></body>", TEXT),
+        (f"<div class='no-sidebar'><p>{TEXT}</p></div>", TEXT),
+        (f"<div class='content-widget'><p>{TEXT}</p></div><div class='widget'>more</div>", TEXT),
+        (f"<article><p>{TEXT}</p><section id='discussion'><h2>Discussion</h2><p>We discuss.</p></section><div class='comments'>bah</div></article>", f"{TEXT}\nDiscussion\nWe discuss."),
+        (f"<main><p>{TEXT}</p></main><article>teaser</article>", TEXT),
+        (f"<div><p>{TEXT}</p><p>{TEXT}</p></div><article>teaser one</article><article>teaser two</article>", f"{TEXT}\n{TEXT}"),
+        (f"<div class=post><p>{TEXT}</p></div><div id=comments>" + "<article>c c c c</article>" * 9 + "</div>", TEXT),
+        (f"<article><p>{TEXT}</p></article><ol class=commentlist>" + "<li><article>bla bla</article></li>" * 50 + "</ol>", TEXT),
+        (f"<div class='page no-sidebar'><div class='menu-open'><p>{TEXT}</p></div><div class='share'>share</div></div>", TEXT),
+    ],
+)
+def test_names_are_evidence_only(html, text):
+    assert extraction.Page(html).kept() == text
+
+
+def test_unclosed_inline_elements_are_linear():
+    def seconds(n):
+        start = time.process_time()
+        extraction.Page("<i>" * n + "x</b>y").kept()
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.02)
+
+
 def test_hostile_markup_is_linear():
     for html in ("<div>" * 30000 + "x", '<a b="' * 30000, "<" * 200000, "<p>" * 60000, "<!--" * 50000, "</div>" * 50000, "<div class='a b'><p>t" * 4000):
         extraction.Page(html).kept()
