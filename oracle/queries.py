@@ -349,7 +349,7 @@ SQL["stream_retention"] = f"WITH {ipe('events')}, {EP} SELECT method, normalized
 SQL["host_focus"] = f"WITH {ipe('events')}, {EP} SELECT method, normalized_url, observations FROM ep WHERE lower(host) = 'api.shop.example'"
 SQL["ordered_endpoints"] = f"WITH {ipe()}, {EP} SELECT host, path, method, last_status FROM ep ORDER BY host, path"
 SQL["multi_sort"] = f"WITH {ipe()}, {EP} SELECT host, observations, normalized_url FROM ep ORDER BY host, observations DESC, normalized_url"
-SQL["csv_view"] = f"WITH {ipe()}, {EP} SELECT method || ',' || host || ',' || CASE WHEN regexp_matches(path, '[\",\\r\\n]') THEN '\"' || replace(path, '\"', '\"\"') || '\"' ELSE path END || ',' || CAST(last_status AS VARCHAR) || ',' || content_type AS line FROM ep WHERE last_status > 0"
+SQL["csv_view"] = f"WITH {ipe()}, {EP} SELECT method || ',' || host || ',' || CASE WHEN regexp_matches(path, '[\",\\r\\n]') THEN '\"' || replace(path, '\"', '\"\"') || '\"' ELSE path END || ',' || CAST(last_status AS VARCHAR) || ',' || content_type AS line FROM ep WHERE last_status > 0 UNION ALL SELECT 'method,host,path,last_status,content_type'"
 SQL["wordlist_paths"] = f"WITH {ipe()}, {EP} SELECT DISTINCT trim(path) AS word FROM ep WHERE trim(path) <> ''"
 SQL["wordlist_hosts"] = f"WITH {ipe()}, {EP} SELECT DISTINCT trim(host) AS word FROM ep WHERE trim(host) <> ''"
 SQL["host_schemes"] = f"WITH {ipe()}, {EP} SELECT lower(host) AS host, first(regexp_extract(normalized_url, '^([a-z]+)', 1) ORDER BY host, path, normalized_url, method) AS scheme FROM ep GROUP BY lower(host)"
@@ -425,6 +425,8 @@ SQL["tech"] = f"WITH {pe()}, {TECH} SELECT tm.host AS host, coalesce(n, 0) AS te
 SQL["ordered_tech"] = f"WITH {ipe()}, {TECH} SELECT host, len(missing) AS missing FROM tm"
 SQL["count_status"] = f"WITH {pe()} SELECT CAST(st AS BIGINT) AS status, count(*) AS n FROM pe WHERE st > 0 GROUP BY st"
 SQL["count_host"] = f"WITH {pe()} SELECT host, count(*) AS n FROM pe GROUP BY host"
+SQL["top_status"] = f"WITH {pe()}, c AS (SELECT CAST(st AS BIGINT) AS status, count(*) AS n FROM pe WHERE st > 0 GROUP BY st) SELECT status, n, greatest(2, 100 * n // (SELECT max(n) FROM c)) AS percent FROM c ORDER BY n DESC, status LIMIT 8"
+SQL["top_ctypes"] = f"WITH {pe()}, c AS (SELECT trim(split_part(ct, ';', 1)) AS content_type, count(*) AS n FROM pe WHERE trim(ct) <> '' GROUP BY 1) SELECT content_type, n, greatest(2, 100 * n // (SELECT max(n) FROM c)) AS percent FROM c ORDER BY n DESC, content_type LIMIT 8"
 SQL["count_ctype"] = f"WITH {pe()} SELECT trim(split_part(ct, ';', 1)) AS content_type, count(*) AS n FROM pe WHERE trim(ct) <> '' GROUP BY 1"
 SQL["top_hosts"] = f"WITH {pe()}, c AS (SELECT host, count(*) AS n FROM pe GROUP BY host) SELECT host, n, greatest(2, 100 * n // (SELECT max(n) FROM c)) AS percent FROM c ORDER BY n DESC, host LIMIT 8"
 SQL["stream_counters"] = f"WITH {pe('events')} SELECT host, CAST(st AS BIGINT) AS status, count(*) AS n FROM pe WHERE st > 0 GROUP BY 1, 2"
@@ -490,7 +492,7 @@ SQL["host_label"] = f"SELECT CASE WHEN seq % 7 = 0 THEN '(relative / JS)' ELSE h
 SQL["normalized_url"] = f"WITH {pe()} SELECT seq, nurl AS normalized_url FROM pe"
 _LINK = "CASE seq % 5 WHEN 0 THEN url || '/?x=1#top' WHEN 1 THEN '.' || path || '//' WHEN 2 THEN '//' || host || path WHEN 3 THEN substr(path, 2, 500) ELSE url END"
 SQL["route_path"] = f"SELECT seq, {route('link')} AS route FROM (SELECT seq, {_LINK} AS link FROM ({_NETC}))"
-SQL["mask_value"] = f"SELECT doc_id, {mask('v')} AS masked FROM (SELECT doc_id, substr(text, 1, doc_id % 20) AS v FROM documents)"
+SQL["mask_value"] = f"SELECT doc_id, len(w) AS values, sha256(array_to_string(list_transform(w, lambda v: {mask('v')}), ' ')) AS masked_sha FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
 _NAMES = "['user_id', 'redirect_url', 'file', 'sort_by', 'cmd', 'session_token', 'debug', 'template', 'title', 'articleKey', 'id', 'next']"
 _VALS = f"""(SELECT event_id, event_type || user_id AS other, {_NAMES}[event_id % 12 + 1] AS name, CASE event_id % 12 WHEN 0 THEN '' || user_id WHEN 1 THEN '88' || user_id || '13'
 WHEN 2 THEN regexp_replace(md5('' || user_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') WHEN 3 THEN 'https%3A%2F%2Fh' || user_id || '.example%2Fx' WHEN 4 THEN '//h' || user_id || '.example/x'
@@ -498,7 +500,7 @@ WHEN 5 THEN 'u' || user_id || '@mail.example' WHEN 6 THEN '/home/' || user_id WH
 SQL["value_kind"] = f"SELECT event_id, {kind('value')} AS kind FROM {_VALS}"
 SQL["param_classes"] = f"SELECT event_id, array_to_string({name_classes('name')}, '|') AS classes, array_to_string({name_classes('other')}, '|') AS other_classes FROM {_VALS}"
 SQL["param_classes_full"] = f"SELECT event_id, array_to_string({full_classes('name', 'kd')}, '|') AS classes FROM (SELECT *, {kind('value')} AS kd FROM {_VALS})"
-SQL["entropy"] = f"SELECT doc_id, round({shannon('v')}, 6) AS bits FROM (SELECT doc_id, regexp_replace(substr(text, 1, 60), '\\s+', '', 'g') AS v FROM documents)"
+SQL["entropy"] = f"SELECT doc_id, round({shannon('v')}, 6) AS bits FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS v FROM documents)"
 _RD = "'90' || lpad('' || event_id % 14, 2, '0') || lpad('' || event_id % 33, 2, '0') || '1' || lpad('' || (event_id * 7919) % 1000000, 6, '0')"
 SQL["rrn_check"] = f"SELECT event_id, {rrn('d')} AS ok FROM (SELECT event_id, {_RD} AS d FROM events)"
 _CD = "['4539', '5105', '3711', '6011', '3601', '3530', '1234'][event_id % 7 + 1] || substr('' || ('0x' || substr(md5('' || event_id), 1, 14))::UBIGINT, 1, 8) || lpad('' || event_id % 10000, 4, '0')"
@@ -642,7 +644,7 @@ SQL["js_asset_detail"] = f"WITH {JF} SELECT sha AS sha256, 'finding' AS kind, ty
 SQL["stream_js_dedup"] = f"WITH {JK} SELECT sha AS sha256, length(body) AS size FROM jk"
 SQL["js_rebuild"] = f"WITH {JK} SELECT sha AS sha256, url, kind FROM jk WHERE seq % 5 <> 0 AND seq % 7 <> 0"
 SQL["js_body_store"] = f"WITH {JK} SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_replace(left(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) || '_' || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[^a-z0-9._-]', '_', 'g'), '_+', '_', 'g'), 100), '\\.js$', '') || '_' || left(sha, 8) || '.js' AS file_name, sha AS sha256 FROM jk WHERE seq % 3 <> 0"
-SQL["src_js_files"] = f"WITH x AS (SELECT seq, url, resp_body FROM ({adapter_sql('scripts')})), y AS (SELECT seq, url, resp_body FROM x WHERE seq % 8 = 3 UNION ALL SELECT seq + 1000000000000, 'import://' || {_FILE}, resp_body FROM x) SELECT sha256(resp_body) AS sha256, arg_min(url, seq) AS url, starts_with(arg_min(url, seq), 'import://') AS imported, count(*) AS served FROM y GROUP BY 1"
+SQL["src_js_files"] = f"WITH x AS (SELECT seq, url, resp_body FROM ({adapter_sql('scripts')})), y AS (SELECT seq, url, resp_body FROM x UNION ALL SELECT seq + 1000000000000, 'import://' || {_FILE}, CASE WHEN seq % 8 = 3 THEN resp_body || chr(10) || '// local copy' ELSE resp_body END FROM x) SELECT sha256(resp_body) AS sha256, arg_min(url, seq) AS url, starts_with(arg_min(url, seq), 'import://') AS imported, count(*) AS served FROM y GROUP BY 1"
 _NR = {r.name: r.regex for r in jp.NOTE_RULES}
 _NOTES = " UNION ALL ".join(f"SELECT sha, {s(n)} AS k, unnest(regexp_extract_all(body, {s(rx)})) AS x FROM jd" for n, rx in _NR.items())
 _SNIP = "trim(regexp_replace(x, '\\s+', ' ', 'g'))"

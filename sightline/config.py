@@ -17,6 +17,3 @@ class Settings:
     muted_categories: tuple[str, ...] = ()
     retention_cap: int = 0
     user_rules: tuple = field(default_factory=tuple)
-    # Hits kept per rule and body.  The fixed caps of the detectors live beside them.
-    secret_hits_per_rule: int = 200
-    signature_hits_per_rule: int = 200

@@ -183,7 +183,7 @@ def cors() -> Column:
         origin.isNull(),
         finding(
             "CORS ACAO without Origin request", "LOW", F.concat(F.lit("acao=no-origin|"), acao), url,
-            F.concat(F.lit("ACAO="), acao, F.lit(" but request had no Origin header")),
+            F.concat(F.lit("ACAO="), acao, F.lit(", although the request named no origin")),
         ),
     )
     vary = F.lower(nz(headers.resp("vary"))).contains("origin")
@@ -382,7 +382,7 @@ def unauth_access() -> Column:
     label = F.coalesce(rule, F.when(filters.is_api(F.col("ct")), F.lit("API")))
     sev = F.when(rule.isNotNull(), F.lit("MEDIUM")).otherwise(F.lit("LOW"))
     ev = F.concat(F.lit("HTTP "), F.col("st").cast("string"), F.lit(" to "), F.col("verb"),
-                  F.lit(" sent without Authorization/Cookie" + note(ACCESS_TRY)))
+                  F.lit(" answered a request that carried no credentials" + note(ACCESS_TRY)))
     return some((ok & label.isNotNull(), finding(F.concat(F.lit("Unauthenticated access: "), label), sev, F.col("ep_key"), F.col("nurl"), ev)))
 
 
@@ -428,7 +428,7 @@ def auth_flow() -> Column:
     limited = F.exists("rs_names", lambda n: whole(n, packs.RATE_LIMIT_HEADERS))
     ev = F.concat(
         F.col("verb"), F.lit(" to a "), name, F.lit(" endpoint (HTTP "), F.col("st").cast("string"), F.lit(")"),
-        F.when(limited, F.lit("")).otherwise(F.lit(", no rate-limit header in the response")), hint,
+        F.when(limited, F.lit("")).otherwise(F.lit("; the answer names no request limit")), hint,
     )
     return some((
         F.col("verb").isin("POST", "PUT") & (F.col("st") != 0) & name.isNotNull(),

@@ -101,8 +101,8 @@ def path_note(path: Column) -> Column:
 NOTABLE = 60
 
 
-def notable_endpoints(eps: DataFrame, ep_params: DataFrame) -> DataFrame:
-    """Endpoints with risky parameter names or a telling path; the 60 with most classes.
+def notable_endpoints(eps: DataFrame, ep_params: DataFrame, top: int = NOTABLE) -> DataFrame:
+    """Endpoints with risky parameter names or a telling path; the ``top`` with most classes.
 
     Names are classified once per distinct name, not once per row.
     """
@@ -116,7 +116,7 @@ def notable_endpoints(eps: DataFrame, ep_params: DataFrame) -> DataFrame:
     why = F.concat_ws("; ", F.when(F.size("classes") > 0, F.array_join("classes", ", ")), F.col("note"))
     return rows.select("method", "normalized_url", why.alias("why"), F.size("classes").cast("bigint").alias("class_count")).orderBy(
         F.desc("class_count"), "normalized_url", "method"
-    ).limit(NOTABLE)
+    ).limit(top)
 
 
 def parameter_classes(params: DataFrame) -> DataFrame:
@@ -147,9 +147,9 @@ def report_summary(ex_count: DataFrame, **tables: DataFrame) -> DataFrame:
 BAR_ROWS = 8
 
 
-def top_bars(counts: DataFrame, column: str) -> DataFrame:
-    """The eight largest counts with their share of the largest, at least 2 percent."""
-    top = counts.orderBy(F.desc("n"), column).limit(BAR_ROWS)
+def top_bars(counts: DataFrame, column: str, rows: int = BAR_ROWS) -> DataFrame:
+    """The ``rows`` largest counts with their share of the largest, at least 2 percent."""
+    top = counts.orderBy(F.desc("n"), column).limit(rows)
     most = counts.agg(F.max("n")).scalar()
     return top.select(column, "n", F.greatest(F.lit(2), F.floor(F.lit(100) * F.col("n") / most)).cast("bigint").alias("percent"))
 

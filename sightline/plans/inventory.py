@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.config import Settings
+from sightline.functions import classify
 from sightline.operators import detect, filters, js, jwt, params, rollup, specs
 from sightline.session import persist_table
 
@@ -173,6 +174,12 @@ class Inventory:
     def all_findings(self) -> DataFrame:
         return rollup.retained(rollup.findings(self.all_events), self.settings.retention_cap)
 
+    @cached_property
+    def visible_findings(self) -> DataFrame:
+        """What the settings let through: severities from the least one, categories that aren't muted."""
+        f = self.all_findings.withColumn("category", classify.category(F.col("type")))
+        return filters.finding_visible(f, self.settings.min_severity, self.settings.muted_categories)
+
 
 def triaged(findings: DataFrame, annotations: DataFrame) -> DataFrame:
     """Findings with the analyst's triage; the annotation side is small next to them and is

@@ -156,11 +156,10 @@ def src_manual(spark, sf):
 @query
 def src_js_files(spark, sf):
     """Files imported beside a capture: a body that was captured already adds nothing."""
-    cap = js.js_responses(prep(spark, sf, "scripts")).where(C("seq") % 8 == 3)
-    imported = js.js_responses(prep(spark, sf, "scripts")).select(
-        (C("seq") + F.lit(1_000_000_000_000)).alias("seq"), F.concat(F.lit("import://"), urls.file_part(C("url"))).alias("url"), "body"
-    )
-    b = js.distinct_bodies(cap.unionByName(imported))
+    captured = js.js_responses(prep(spark, sf, "scripts"))
+    local = F.when(C("seq") % 8 == 3, F.concat("body", F.lit("\n// local copy"))).otherwise(C("body"))
+    files = captured.select((C("seq") + F.lit(1_000_000_000_000)).alias("seq"), F.concat(F.lit("import://"), urls.file_part(C("url"))).alias("url"), local.alias("body"))
+    b = js.distinct_bodies(captured.unionByName(files))
     return b.select("sha256", "url", C("url").startswith("import://").alias("imported"), "served")
 
 
@@ -354,9 +353,10 @@ def route_path(spark, sf):
 
 @query
 def mask_value(spark, sf):
+    """Every word of every whole text, masked."""
     d = adapters.read_table(spark, sf, "documents")
-    v = F.substring("text", 1, F.expr("cast(doc_id % 20 as int)"))
-    return d.select("doc_id", text.mask(v).alias("masked"))
+    words = F.transform(F.split(C("text"), " ", -1), text.mask)
+    return d.select("doc_id", F.size(words).cast("bigint").alias("values"), F.sha2(F.array_join(words, " "), 256).alias("masked_sha"))
 
 
 def _values(spark, sf):
@@ -409,7 +409,7 @@ def finding_hint(spark, sf):
 
 @query
 def entropy(spark, sf):
-    d = adapters.read_table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 60), r"\s+", "").alias("v"))
+    d = adapters.read_table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\s+", "").alias("v"))
     return d.select("doc_id", F.round(checks.shannon(C("v")), 6).alias("bits"))
 
 
@@ -778,6 +778,16 @@ def top_hosts(spark, sf):
     return marts.top_bars(rollup.counters(prep(spark, sf))[1], "host")
 
 
+@query
+def top_status(spark, sf):
+    return marts.top_bars(rollup.counters(prep(spark, sf))[0], "status").select(C("status").cast("bigint").alias("status"), "n", "percent")
+
+
+@query
+def top_ctypes(spark, sf):
+    return marts.top_bars(rollup.counters(prep(spark, sf))[2], "content_type")
+
+
 def _net(spark, sf):
     """Inventory of API and page traffic: what the marts are checked on."""
     return inv(spark, sf, "events", "pages")
@@ -850,10 +860,10 @@ def per_body_cap(spark, sf):
 
 @query
 def global_search(spark, sf):
-    i, s = inv(spark, sf, "events"), inv(spark, sf, "scripts")
-    p = rollup.parameters(rollup.parameter_events(i.prepared))
-    idx = search.index(i.endpoints, p, i.findings, s.assets, i.tech_rows, i.tech)
-    return search.search(idx, "api -graphql shop").groupBy("kind", "host").agg(F.count("*").alias("n"))
+    """Rows of the five tables, of API, page and document traffic and of scripts."""
+    i, s = inv(spark, sf), inv(spark, sf, "scripts")
+    idx = search.index(i.endpoints, i.parameters, i.findings, s.assets, i.tech_rows, i.tech)
+    return search.SearchIndex.of(idx).search("api -graphql shop").groupBy("kind", "host").agg(F.count("*").alias("n"))
 
 
 # --- sessions and replays --------------------------------------------------------------------

@@ -70,7 +70,7 @@ def events_stages(d) -> list[list[tuple[str, str]]]:
         ("path", f"CASE WHEN {t} = 'view' THEN '/api/items/' || CAST({u} AS STRING)"
                  f" WHEN {t} = 'click' THEN '/track/click'"
                  f" WHEN {t} = 'purchase' THEN '/api/orders/' || CAST({e} % 50 AS STRING)"
-                 f" WHEN {t} = 'signup' THEN CASE {e} % 4 WHEN 0 THEN '/member/login.do' WHEN 1 THEN '/api/v1/auth/signin' WHEN 2 THEN '/account/register' ELSE '/member/profile' END"
+                 f" WHEN {t} = 'signup' THEN CASE {e} % 4 WHEN 0 THEN '/portal/login.aspx' WHEN 1 THEN '/api/v1/auth/signin' WHEN 2 THEN '/account/register' ELSE '/member/profile' END"
                  f" ELSE CASE {e} % 7 WHEN 0 THEN '/.env' WHEN 1 THEN '/backup/db.sql' WHEN 2 THEN '/admin/users' WHEN 3 THEN '/graphql' WHEN 4 THEN '/static/app.png' WHEN 5 THEN '/api/internal/debug' ELSE '/search' END END"),
         ("status", f"CAST(CASE WHEN {e} % 29 = 0 THEN NULL WHEN {e} % 13 = 0 THEN 401 WHEN {e} % 13 = 1 THEN 403 WHEN {e} % 13 = 2 THEN 302 WHEN {e} % 13 = 3 THEN 404 WHEN {e} % 13 = 4 THEN 500 WHEN {e} % 13 = 5 THEN 204 ELSE 200 END AS INT)"),
         ("ct", f"CASE WHEN {t} = 'view' THEN 'application/json; charset=utf-8' WHEN {t} = 'click' THEN 'text/plain' WHEN {t} = 'purchase' THEN 'application/json' WHEN {t} = 'signup' THEN 'text/html; charset=utf-8' WHEN {e} % 7 = 4 THEN 'image/png' ELSE 'text/html' END"),
@@ -140,7 +140,7 @@ def events_stages(d) -> list[list[tuple[str, str]]]:
             _when(d, "e % 7 = 0", d.hdr("'Content-Security-Policy'", "'default-src * ' || chr(39) || 'unsafe-inline' || chr(39) || '; img-src a.example'")),
             _when(d, "e % 7 = 1", d.hdr("'Content-Security-Policy'", "'script-src ' || chr(39) || 'unsafe-eval' || chr(39) || ' b.example; frame-ancestors ' || chr(39) || 'none' || chr(39)")),
             _when(d, "e % 7 = 2", d.hdr("'Content-Security-Policy'", "'img-src *; object-src c.example'")),
-            _when(d, "status = 302", d.hdr("'Location'", "CASE WHEN redir <> '' THEN redir ELSE '/member/login.do?next=/' END")),
+            _when(d, "status = 302", d.hdr("'Location'", "CASE WHEN redir <> '' THEN redir ELSE '/portal/login.aspx?next=/' END")),
             _when(d, "e % 4 < 2", d.hdr("'Server'", "CASE WHEN u % 2 = 0 THEN 'nginx/1.25' ELSE 'Apache/2.4' END")),
             _when(d, "e % 10 = 3", d.hdr("'X-Powered-By'", "'PHP/8.2'")),
             _when(d, "e % 6 = 1", d.hdr("'X-Frame-Options'", "'DENY'")),
@@ -322,7 +322,7 @@ def replays_stages(d) -> list[list[tuple[str, str]]]:
         ("status", "CAST(CASE WHEN e % 19 = 0 THEN 0 WHEN e % 7 = 0 THEN 403 WHEN e % 7 = 1 THEN 302 ELSE 200 END AS INT)"),
         ("body", new),
         ("length", f"CAST(length({new}) AS INT)"),
-        ("location", "CASE WHEN e % 7 = 1 AND e % 2 = 0 THEN '/member/login.do' WHEN e % 7 = 1 THEN '/home' ELSE NULL END"),
+        ("location", "CASE WHEN e % 7 = 1 AND e % 2 = 0 THEN '/portal/login.aspx' WHEN e % 7 = 1 THEN '/home' ELSE NULL END"),
         ("orig_status", "CAST(CASE WHEN e % 23 = 0 THEN 0 WHEN e % 14 = 1 THEN 302 ELSE 200 END AS INT)"),
         ("orig_body", orig),
         ("orig_length", f"CAST(length({orig}) AS INT)"),

@@ -34,7 +34,7 @@ def test_csrf(exchanges):
     form = {"Content-Type": "application/x-www-form-urlencoded"}
     ex = exchanges(
         post(1, req=form, params=[("BODY", "nickname", "a")]), post(2, req=JSON), post(3, req=form, params=[("BODY", "_csrf", "a")]), post(4, req={**form, "X-XSRF-TOKEN": "1"}),
-        post(5, req={**form, "Authorization": "Bearer x"}), post(6, req={"Content-Type": "application/xml"}), post(7, req=form, url="https://h.example/member/login.do"),
+        post(5, req={**form, "Authorization": "Bearer x"}), post(6, req={"Content-Type": "application/xml"}), post(7, req=form, url="https://h.example/portal/login.aspx"),
         row(8, method="POST", url="https://h.example/profile", req=form), row(9, url="https://h.example/profile", req=COOKIE),
     )
     assert run(ex, detect.csrf) == [(1, "CSRF candidate", "LOW"), (2, "CSRF candidate", "INFO")]
@@ -45,7 +45,7 @@ def test_upload_and_auth_flow(exchanges):
     ex = exchanges(
         row(1, method="POST", url="https://h.example/u", req=mp, req_body='--b\r\nContent-Disposition: form-data; name="f"; filename="cv.pdf"\r\n'),
         row(2, method="POST", url="https://h.example/u", req=mp, req_body='--b\r\nContent-Disposition: form-data; name="title"\r\n'),
-        row(3, method="POST", url="https://h.example/member/login.do"), row(4, method="POST", url="https://h.example/api/v1/auth/signin"),
+        row(3, method="POST", url="https://h.example/portal/login.aspx"), row(4, method="POST", url="https://h.example/api/v1/auth/signin"),
     )
     assert run(ex, detect.upload) == [(1, "File upload endpoint", "INFO")]
     assert run(ex, detect.auth_flow) == [(3, "Auth flow endpoint: login", "INFO"), (4, "Auth flow endpoint: login", "INFO")]
