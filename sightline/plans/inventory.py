@@ -105,15 +105,15 @@ class Inventory:
     def hidden(self) -> DataFrame:
         return js.hidden_params(self.kinds)
 
+    @cached_property
+    def flat_js_events(self) -> DataFrame:
+        """JavaScript findings of the rules that read a body as text."""
+        return js.body_findings(self.kinds, self.settings).unionByName(js.route_findings(self.links)).unionByName(js.param_findings(self.hidden))
+
     @cached_property
     def js_events(self) -> DataFrame:
         """JavaScript findings: of the flat rules and of the structural analysis."""
-        return (
-            js.body_findings(self.kinds, self.settings)
-            .unionByName(js.route_findings(self.links))
-            .unionByName(js.param_findings(self.hidden))
-            .unionByName(self.structural.events())
-        )
+        return self.flat_js_events.unionByName(self.structural.events())
 
     @cached_property
     def structural(self):

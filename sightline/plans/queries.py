@@ -985,7 +985,7 @@ def _snapshots(spark, sf):
         i, j = Inventory(e.where(cond)), Inventory(s.where(cond))
         return {
             "endpoints": i.endpoints, "endpoint_params": i.endpoint_params, "parameters": i.parameters,
-            "findings": rollup.findings(i.events.unionByName(j.all_events)),
+            "findings": rollup.findings(i.events.unionByName(j.flat_js_events)),
             "js_assets": j.bodies, "tech": i.tech, "tech_rows": i.tech_rows,
         }
 
