@@ -7,16 +7,20 @@ a term discloses an entity: with ``c(e)`` and ``c(t)`` the documents that hold t
 documents, the pointwise mutual information is ``ln(N c(e, t) / (c(e) c(t)))`` and the
 information of the entity ``ln(N / c(e))``. A term whose share of that information
 reaches ``DISCLOSURE``, in at least ``SUPPORT`` different texts, is a span of kind
-``term`` wherever it stands beside the entity; ``sanitise`` generalises it.
+``term`` wherever it stands in a document that holds the entity, however far from it;
+``sanitise`` generalises it. A term is a word of at least three letters, with hyphens
+and apostrophes between them.
 
 Defined results: null text is empty text and has no spans. A context reaches
-``CONTEXT`` characters at most, so that a word cut there is never a term. Rows are told
+``CONTEXT`` characters at most, so that a word cut there is never counted. Rows are told
 apart by their place in the table, so repeated rows and repeated or null ``doc_id`` are
-fine; each row has its own result. Extra columns are left alone.
+fine; each row has its own result. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,9 @@ REACH, CONTEXT = 6, 160
 DISCLOSURE, SUPPORT = 0.8, 3
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 _CHUNK = 256
+#: Characters of the blocks that a text is cut into where many places of it are read.
+_BLOCK = 4096
+_TERM = r"\p{L}++(?:['\u2019-]\p{L}++)*+"
 
 
 def let(value: Column, body) -> Column:
@@ -44,21 +51,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _within(items: Column, size, first: Column) -> Column:
-    """Running sums of ``size(item)``, each without its own, from ``first``; ``items`` is short."""
+def _within(items: Column, size, first: Column, add) -> Column:
+    """``running`` from ``first``; ``items`` is short."""
     start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(items, start, lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    return F.aggregate(items, start, lambda a, x: F.struct(add(a["at"], size(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
 
-def running(items: Column, size) -> Column:
-    """Running sums of ``size(item)``, each without its own. Chunks keep the appends short, so long arrays stay cheap."""
+def running(items: Column, size, add=operator.add) -> Column:
+    """Running sums (or what ``add`` makes) of ``size(item)``, each without its own. Chunks keep the appends short, so long arrays stay cheap."""
 
     def body(xs: Column) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _CHUNK).cast("int")), lambda c: F.slice(xs, c * _CHUNK + 1, _CHUNK))
-        total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + size(x))
+        total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: add(a, size(x)))
 
         def join(cs: Column) -> Column:
-            return F.flatten(F.zip_with(cs, _within(cs, total, F.lit(0).cast("bigint")), lambda c, first: _within(c, size, first)))
+            return F.flatten(F.zip_with(cs, _within(cs, total, F.lit(0).cast("bigint"), add), lambda c, first: _within(c, size, first, add)))
 
         return F.when(F.size(xs) == 0, F.array().cast("array<bigint>")).otherwise(let(chunks, join))
 
@@ -138,28 +145,50 @@ def beside(found: DataFrame) -> DataFrame:
     """place, content, entity, term, start, end: the terms within reach of every base span."""
     per = [F.transform(F.col(f"f_{k}"), lambda s, k=k: F.struct(F.xxhash64(F.lit(k), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"), *[s[c].alias(c) for c in ("left", "right", "cut_left", "cut_right")])) for k in KINDS]
     hits = found.select("place", "content", F.explode(F.concat(*per)).alias("h")).select("place", "content", "h.*")
-    words = lambda text: F.split(text, r"\s", -1)
-    size = lambda w: (F.length(w) + 1).cast("bigint")
 
     def side(text: Column, origin: Column, tail: bool) -> Column:
-        def body(ws: Column) -> Column:
-            placed = F.zip_with(ws, running(ws, size), lambda w, at: F.struct(w.alias("w"), (origin + at).alias("at")))
-            filled = F.filter(placed, lambda p: F.length(p["w"]) > 0)
-            # a word cut at the far end of the context is left out
-            far = F.when(F.col("cut_left" if tail else "cut_right"), 1).otherwise(0)
-            whole = lambda f: F.slice(f, 1 + far if tail else F.lit(1), F.greatest(F.size(f) - far, F.lit(0)))
-            last = lambda f: F.slice(f, F.greatest(F.size(f) - REACH + 1, F.lit(1)), REACH)
-            return let(let(filled, whole), last if tail else (lambda f: F.slice(f, 1, REACH)))
-
-        return let(words(text), body)
+        # a word cut at the far end of the context is left out
+        far = F.when(F.col("cut_left" if tail else "cut_right"), 1).otherwise(0)
+        whole = lambda f: F.slice(f, 1 + far if tail else F.lit(1), F.greatest(F.size(f) - far, F.lit(0)))
+        last = lambda f: F.slice(f, F.greatest(F.size(f) - REACH + 1, F.lit(1)), REACH)
+        return let(let(_placed_words(text, origin), whole), last if tail else (lambda f: F.slice(f, 1, REACH)))
 
     near = F.concat(side(F.col("left"), F.col("start") - F.length("left"), True), side(F.col("right"), F.col("end"), False))
-    rows = hits.select("place", "content", "entity", F.explode(near).alias("t"))
+    return _terms(hits.select("place", "content", "entity", F.explode(near).alias("t")))
+
+
+def _placed_words(text: Column, origin: Column) -> Column:
+    """The words between white space with their places, counted from ``origin``."""
+    size = lambda w: (F.length(w) + 1).cast("bigint")
+    placed = lambda ws: F.zip_with(ws, running(ws, size), lambda w, at: F.struct(w.alias("w"), (origin + at).alias("at")))
+    return F.filter(let(F.split(text, r"\s", -1), placed), lambda p: F.length(p["w"]) > 0)
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    """term, start, end in place of ``t`` (a placed word), where the word without the signs around it is a term."""
+    others = [c for c in rows.columns if c != "t"]
     bare = F.regexp_replace(F.col("t.w"), r"^[^\p{L}]+", "")
-    term = F.regexp_replace(F.col("bare"), r"[^\p{L}]+$", "")
-    rows = rows.withColumn("bare", bare).withColumn("term", term).where(F.col("term").rlike(r"^\p{L}{3,}$"))
+    term = F.regexp_replace(F.col("bare"), r"[^\p{L}]++$", "")
+    rows = rows.withColumn("bare", bare).withColumn("term", term).where((F.length("term") >= 3) & F.col("term").rlike(f"^{_TERM}$"))
     start = F.col("t.at") + F.length("t.w") - F.length("bare")
-    return rows.select("place", "content", "entity", F.lower("term").alias("term"), start.alias("start"), (start + F.length("term")).alias("end"))
+    return rows.select(*others, F.lower("term").alias("term"), start.alias("start"), (start + F.length("term")).alias("end"))
+
+
+def held(found: DataFrame) -> DataFrame:
+    """place, entity: the entities of every row."""
+    per = [F.transform(F.col(f"f_{k}"), lambda s, k=k: F.xxhash64(F.lit(k), F.lower(s["value"]))) for k in KINDS]
+    return found.select("place", F.explode(F.array_distinct(F.concat(*per))).alias("entity"))
+
+
+def everywhere(found: DataFrame, text: Column, told: DataFrame) -> DataFrame:
+    """place, start, end: all places of terms in documents that hold an entity which the term discloses.
+
+    Rows come from the words of the documents, never from an entity's documents times its terms.
+    """
+    words = _terms(found.select("place", F.explode(_placed_words(text, F.lit(0).cast("bigint"))).alias("t")))
+    words = shared(words.join(told.select("term").distinct(), "term"), "pii-words")
+    meant = words.select("place", "term").distinct().join(told, "term").join(held(found), ["place", "entity"]).select("place", "term").distinct()
+    return words.join(meant, ["place", "term"]).select("place", "start", "end")
 
 
 def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
@@ -168,7 +197,7 @@ def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = shared(pairs.where(F.col("texts") >= SUPPORT), "pii-pairs")
     entities = near.groupBy("entity").agg(F.count_distinct("place").alias("c_e"))
     text = F.lower(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    terms = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
     # an inner join, since a semi join would be pushed below the count and meet every word of the corpus
     terms = terms.join(pairs.select("term").distinct(), "term")
     total = float(docs.count())
@@ -178,44 +207,65 @@ def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
     return known.where((info > 0) & (shown >= DISCLOSURE * info)).select("entity", "term")
 
 
-def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``body`` where it is kept, ``base`` and ``spans`` (base and terms) of every row."""
+def find(docs: DataFrame, keep: list[str], text: str = "body") -> DataFrame:
+    """``keep`` columns, counts per kind, ``base`` and ``spans`` (base and terms) of every row.
+
+    ``text`` is where the kept columns hold the text, as a field of ``row``; otherwise it is kept beside them.
+    """
     found = base(docs, keep)
-    found = shared(found.drop("body"), "pii-base")
-    some = found.where(" OR ".join(f"size(f_{k}) > 0" for k in KINDS))
+    any_span = " OR ".join(f"size(f_{k}) > 0" for k in KINDS)
+    body = found.withColumn("body", F.when(F.expr(any_span), F.col("body"))) if text == "body" else found.drop("body")
+    found = shared(body, "pii-base")
+    some = found.where(any_span)
     near = shared(beside(some), "pii-near")
-    terms = near.join(disclosing(near, docs), ["entity", "term"]).select("place", F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end").alias("s"))
-    terms = terms.groupBy("place").agg(F.collect_set("s").alias("terms"))  # the places beside one text's own spans
-    own = some.select("row.*", "place", *[F.size(f"f_{k}").cast("long").alias(f"n_{k}") for k in KINDS], base_spans().alias("base"))
+    told = shared(disclosing(near, docs), "pii-told")
+    # the words beside an entity are told apart by where its match ends, those of the whole text by white space alone
+    places = near.join(told, ["entity", "term"]).select("place", "start", "end").unionByName(everywhere(some, F.col(text), told))
+    terms = places.select("place", F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end").alias("s"))
+    terms = terms.groupBy("place").agg(F.collect_set("s").alias("terms"))  # places in one text
+    own = some.select(F.col("row"), "place", *[F.size(f"f_{k}").cast("long").alias(f"n_{k}") for k in KINDS], base_spans().alias("base"))
     with_terms = own.join(terms, "place", "left").withColumn("spans", F.coalesce(F.array_sort(F.concat("base", F.col("terms").cast(SPAN))), F.col("base"))).drop("terms", "place")
-    none = found.where(" AND ".join(f"size(f_{k}) = 0" for k in KINDS))
+    none = found.where(f"NOT ({any_span})")
     empty = F.array().cast(SPAN)
-    without = none.select("row.*", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS], empty.alias("base"), empty.alias("spans"))
-    return with_terms.unionByName(without)
+    without = none.select("row", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS], empty.alias("base"), empty.alias("spans"))
+    return with_terms.unionByName(without).select("row.*", *[f"n_{k}" for k in KINDS], "base", "spans")
 
 
 def generalised(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first names the place."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first names the place.
+
+    The text is cut in blocks once, so that a place costs the same wherever it lies.
+    """
+
+    def replaced(blocks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / _BLOCK).cast("int"), F.floor(b / _BLOCK).cast("int")
+            at, rest = (a % _BLOCK + 1).cast("int"), (b % _BLOCK).cast("int")
+            first, last = F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, j), F.lit(""))
+            between = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+            return F.when(i == j, first.substr(at, (b - a).cast("int"))).otherwise(F.concat(first.substr(at, F.lit(_BLOCK)), between, last.substr(F.lit(1), rest)))
+
+        def piece(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        grown = F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, grown).otherwise(a["out"]).alias("out"))
+        pieces = F.zip_with(spans, running(spans, lambda s: s["end"], F.greatest), piece)
+        end = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: F.greatest(a, s["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(end, F.greatest(end, F.length(text).cast("bigint"))))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)), replaced)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and disclosing terms generalised in ``text``, and ``n_chars``, where there is one, made right."""
-    columns = docs.columns
-    out = find(docs, columns)
-    text = F.when(F.size("spans") > 0, generalised(F.col("text").cast("string"), F.col("spans"))).otherwise(F.col("text"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"])
+    out = find(whole, ["doc"], "row.doc.text")
+    text = F.when(F.size("spans") > 0, generalised(F.col("doc.text").cast("string"), F.col("spans"))).otherwise(F.col("doc.text"))
     out = out.withColumn("text", text)
-    if "n_chars" in columns:
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, n).otherwise(F.col("n_chars")))
-    return out.select(columns)
+        made["n_chars"] = F.when(F.size("spans") > 0, n).otherwise(F.col("doc.n_chars"))
+    return out.select([made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

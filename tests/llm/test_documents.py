@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -158,6 +159,47 @@ def test_terms_that_disclose_an_entity_are_spans(spark, documents):
     assert all(texts[i]["text"] == t for i, t in filler)
 
 
+def test_terms_are_spans_anywhere_in_documents_that_hold_the_entity(spark, documents):
+    filler = [(k, prose(k, 40)) for k in range(60)]
+    told = [(100 + k, f"{prose(200 + k, 30)} Vel-Quorn reach me@x.org {prose(300 + k, 60)} (vel-quorn) {prose(400 + k, 30)}") for k in range(4)]
+    apart = [(200, f"{prose(500, 20)} Vel-Quorn {prose(501, 20)}")]  # holds no entity: left alone
+    rows = filler + told + apart
+    got = {r["doc_id"]: r for r in privacy.find(documents(rows), ["doc_id", "text"]).collect()}
+    for i, text in told:
+        want = {(m.start(), m.end()) for m in re.finditer("vel-quorn", text, re.I)}
+        assert len(want) == 2 and want <= {(s["start"], s["end"]) for s in got[i]["spans"] if s["kind"] == "term"}
+    assert got[200]["spans"] == []
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(documents(rows, ["place", "row", "doc", "spans", "n_email"])).collect()}
+    assert all("quorn" not in clean[i].lower() for i, _ in told) and clean[200] == apart[0][1]
+
+
+def test_generalised_matches_a_plain_loop(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(60):
+        text = "".join(r.choice("ab \n\U0001f600é") for _ in range(r.choice((0, 5, 4095, 4096, 4097, 8192, 20000))))
+        spans = sorted((a, r.randrange(5), r.choice(privacy.KINDS), min(len(text), a + r.randrange(1, 5000))) for a in (r.randrange(len(text)) for _ in range(r.choice((0, 1, 3, 600)) if text else 0)))
+        rows.append((k, text, spans))
+    df = spark.createDataFrame(rows, f"k long, text string, spans {privacy.SPAN}")
+    got = {x["k"]: x["out"] for x in df.select("k", privacy.generalised(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for k, text, spans in rows:
+        at, out = 0, ""
+        for start, _, kind, end in spans:
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert got[k] == out + text[at:]
+
+
+def test_very_many_spans_take_linear_time(spark, documents):
+    n = 100_000
+    text = "ab@x.org " * n
+    began = time.perf_counter()
+    out = privacy.sanitise(documents([(1, text)])).first()["text"]
+    assert out == "[EMAIL] " * n
+    assert time.perf_counter() - began < 90
+
+
 def test_digest_of_no_spans(spark, tmp_path, documents):
     documents([(1, None), (2, "none")]).write.parquet(str(tmp_path / "documents.parquet"))
     for row in privacy.op1_pii(spark, str(tmp_path)).collect():
