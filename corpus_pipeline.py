@@ -33,8 +33,8 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens in as few sequences as can be: a row per piece."""
-    return packed_documents(docs)
+    """Pack the documents' tokens in as few sequences as can be: a row per piece, with its token ids."""
+    return packed_documents(docs, keep_ids=True)
 
 
 STAGES = [
