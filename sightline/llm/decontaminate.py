@@ -10,9 +10,11 @@ confined to the band. Whole texts and all items are used.
 Items go to the tasks in slices of ``SLICE_CHARS`` characters, one pass over the
 documents per slice, so what a task holds does not grow with the benchmark.
 
-Defined results: null or empty texts and items match nothing; items shorter than
-``LEAST_ITEM`` normalised characters are no evidence and are left out; repeated items
-each match; of regions of one item that overlap the one with fewest edits (then the
+Items shorter than ``LEAST_FUZZY`` normalised characters leave the lemma no count to
+go by; they are met exactly, as whole words. ``least_item`` leaves out items that a user
+takes for no evidence: by default those, while the query and the pipeline use all items.
+
+Defined results: null or empty texts and items match nothing; repeated items each match; of regions of one item that overlap the one with fewest edits (then the
 first) is returned. Extra columns are left alone.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,7 @@ from sightline.llm.common import arrow_batches, table
 Q = 8
 #: Edits allowed per character of an item, and the shared q-grams that a budget must leave to count.
 EDIT_RATE, LEAST_SHARED = 0.1, 4
-LEAST_ITEM = 24
+LEAST_FUZZY = 24
 SLICE_CHARS = 2_000_000
 _BITS = 22
 
@@ -98,9 +101,15 @@ class Index:
     """q-grams of a slice of items: sorted hashes with their (item, place), and a bit table in front."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
+        items = sorted(items, key=lambda x: len(x[1]) < LEAST_FUZZY)  # those that are met exactly stand last
         self.ids = [i for i, _ in items]
         self.text = [t for _, t in items]
-        self.codes = [_codes(t) for t in self.text]
+        self.codes = [_codes(t) for t in self.text if len(t) >= LEAST_FUZZY]
+        self.words = ahocorasick.Automaton()
+        for i in range(len(self.codes), len(items)):
+            if self.text[i]:
+                self.words.add_word(self.text[i], [*self.words.get(self.text[i], []), i])
+        self.words.make_automaton()
         self.m = np.array([len(c) for c in self.codes], np.int64)
         self.k = np.array([budget(m) for m in self.m], np.int64)
         self.least = self.m - Q + 1 - self.k * Q
@@ -163,12 +172,26 @@ class Index:
                 if edits <= self.k[i]:
                     yield d, i, max(0, start), end, edits
 
+    def exact(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """As ``regions``, of the short items: whole words, from left to right without overlaps."""
+        if not len(self.words):
+            return
+        for d, text in enumerate(texts):
+            done: dict[int, int] = {}
+            for last, found in self.words.iter(text):
+                for i in found:
+                    start, end = last + 1 - len(self.text[i]), last + 1
+                    alone = not (start and text[start - 1].isalnum()) and not text[end : end + 1].isalnum()
+                    if alone and start >= done.get(i, 0):
+                        done[i] = end
+                        yield d, i, start, end, 0
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """The regions without those that overlap a better one of the same item."""
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for d, i, start, end, edits in self.regions(texts):
             best.setdefault((d, i), []).append((edits, start, end))
-        out = []
+        out = list(self.exact(texts))
         for (d, i), found in best.items():
             taken: list[tuple[int, int]] = []
             for edits, start, end in sorted(set(found)):
@@ -190,7 +213,7 @@ def _original(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def slices(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def slices(benchmark: DataFrame, least_item: int = LEAST_FUZZY) -> Iterator[list[tuple[int, str]]]:
     """The items in slices of bounded size, fetched one at a time by a hash of the item."""
     usable = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -198,10 +221,10 @@ def slices(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
         items = [(r["item_id"], normalised(r["text"])) for r in usable.where(part == k).collect()]  # about SLICE_CHARS characters
-        yield sorted(((i, t) for i, t in items if len(t) >= LEAST_ITEM), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield sorted(((i, t) for i, t in items if len(t) >= least_item), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_item: int = LEAST_FUZZY) -> DataFrame:
     """doc_id, item_id, start, end (characters of the text itself), edits, similarity; a row per region."""
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,13 +246,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     out = None
-    for items in slices(benchmark):
+    for items in slices(benchmark, least_item):
         found = docs.mapInArrow(finder(items), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_item: int = LEAST_FUZZY) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, with all their columns; no shuffle."""
     arrow_batches(docs.sparkSession)
 
@@ -242,10 +265,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for items in slices(benchmark):
+    for items in slices(benchmark, least_item):
         docs = docs.mapInArrow(sieve(items), docs.schema)
     return docs
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_item=0)

@@ -247,6 +247,22 @@ def test_passages_match_the_edit_budget(spark, documents):
     assert decontaminate.contaminated(documents(rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_met_as_whole_words(spark, documents):
+    items = [(1, "Tiny Item"), (2, "a"), (3, "a a"), (4, "tiny item"), (5, ""), (6, None), (7, "x" * 23)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["a tiny\n item, or a a a", "tinyitem atiny items", "x" * 24, "x" * 23 + "!", "", None, "A"]
+    got = sorted((x["doc_id"], x["item_id"], x["start"], x["end"], x["edits"]) for x in decontaminate.contaminated(documents(list(enumerate(texts))), bench, least_item=0).collect())
+    want = []
+    for d, text in enumerate(texts):
+        for i, item in items:
+            if item:
+                expr = r"\s+".join(map(re.escape, item.split()))
+                want += [(d, i, m.start(), m.end(), 0) for m in re.finditer(rf"(?<![^\W_]){expr}(?![^\W_])", text or "", re.I)]
+    assert got == sorted(want) and {x[0] for x in got} == {0, 3, 6}
+    assert decontaminate.contaminated(documents(list(enumerate(texts))), bench, least_item=24).count() == 0
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(documents(list(enumerate(texts))), bench, least_item=0).collect()} == {1, 2, 4, 5}
+
+
 def test_slices_of_the_benchmark_give_the_same(spark, documents, monkeypatch):
     items = [(k, prose(2000 + k, 20)) for k in range(8)]
     bench = spark.createDataFrame(items, "item_id long, text string")
