@@ -1075,6 +1075,26 @@ def report_json(spark, sf):
     return rows.groupBy("section").agg(F.count("*").alias("rows"))
 
 
+@query
+def merged_sarif(spark, sf):
+    """SARIF results of traffic, scripts and descriptions, with the client flows, by rule and level."""
+    i = inv(spark, sf, *EVERYTHING)
+    r = sinks.sarif_results(i.all_findings, i.structural.flows)
+    return r.groupBy("rule_id", "level").agg(F.count("*").alias("results"), F.count_distinct("fingerprint").alias("fingerprints"))
+
+
+@query
+def merged_report(spark, sf):
+    """Rows of the report's six sections, from everything that is known."""
+    i = inv(spark, sf, *EVERYTHING)
+    flows = i.structural.flows.select("method", "path", "host", "type", "auth", "function", "sightings")
+    rows = sinks.json_rows({
+        "findings": marts.report_rows(i.all_findings), "endpoints": i.all_endpoints, "parameters": i.all_parameters,
+        "technologies": i.tech, "js_files": marts.with_risk(i.assets, marts.js_risk(i.js_findings)), "client_flows": flows,
+    })
+    return rows.groupBy("section").agg(F.count("*").alias("rows"), F.sum((F.length("json") > 2).cast("bigint")).alias("filled"))
+
+
 @query
 def report_sections(spark, sf):
     """Endpoint section as the documents show it: short type, human sizes, triage labels."""

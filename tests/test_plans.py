@@ -124,3 +124,17 @@ def test_json_parameters_at_every_level(exchanges):
     got = params.json_params(detect.prepare(df)).orderBy("seq", "pos").collect()
     for k, b in enumerate(bodies):
         assert [(r["name"], r["value"]) for r in got if r["seq"] == k] == walk([("", b)])
+
+
+def test_sarif_has_findings_and_flows(spark):
+    from sightline.sources import sinks
+
+    findings = spark.createDataFrame([("Secret", "HIGH", "raw", "r**", "https://h/x", "seen")], "type string, severity string, raw_match string, masked string, location string, evidence string")
+    flows = spark.createDataFrame(
+        [("Client Flow: IDOR candidate", "GET", "/a/{id}", "id", "https://h/a.js")], "type string, method string, path string, id_parameter string, js_url string"
+    )
+    rows = {r["rule_id"]: r for r in sinks.sarif_results(findings, flows).collect()}
+    assert set(rows) == {"Secret", "Client Flow: IDOR candidate"}
+    flow = rows["Client Flow: IDOR candidate"]
+    assert flow["level"] == "warning" and flow["uri"] == "https://h/a.js" and flow["message"].startswith("GET /a/{id}")
+    assert "raw" not in "".join(str(v) for v in rows["Secret"]) and len(rows["Secret"]["fingerprint"]) == 64
