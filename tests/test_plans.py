@@ -138,3 +138,32 @@ def test_sarif_has_findings_and_flows(spark):
     flow = rows["Client Flow: IDOR candidate"]
     assert flow["level"] == "warning" and flow["uri"] == "https://h/a.js" and flow["message"].startswith("GET /a/{id}")
     assert "raw" not in "".join(str(v) for v in rows["Secret"]) and len(rows["Secret"]["fingerprint"]) == 64
+
+
+SCRIPT_QUERIES = [
+    "client_flow_wrappers", "client_flows", "js_argument_pairs", "js_guard_pairs", "js_dom_flows", "js_noise", "js_risk", "js_sourced_findings", "client_flow_triggers",
+    "flow_seen", "flow_template", "js_files_ranked", "nonlibrary_findings", "seen_flag", "untested_flows", "flow_summary", "js_asset_risk", "js_asset_detail",
+    "js_findings_view", "js_summary",
+]
+
+
+def test_no_table_of_a_script_is_broadcast(spark, monkeypatch):
+    """Neither by a query nor by a table written on its way: file sizes say little about what a table takes in the driver."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from sightline.plans import queries
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def kept(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    queries.forget()
+    for name in SCRIPT_QUERIES:
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plans.append(f"{name}: " + df._jdf.queryExecution().executedPlan().toString())
+    # the rank of a score is looked up in the distinct scores, which are small whole numbers
+    found = [p for p in plans if "BroadcastHashJoin" in p and not p.startswith("js_files_ranked")]
+    assert not found, found[0][:2000]
