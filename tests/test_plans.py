@@ -167,3 +167,20 @@ def test_no_table_of_a_script_is_broadcast(spark, monkeypatch):
     # the rank of a score is looked up in the distinct scores, which are small whole numbers
     found = [p for p in plans if "BroadcastHashJoin" in p and not p.startswith("js_files_ranked")]
     assert not found, found[0][:2000]
+
+
+def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    """Its file has splits enough, but all rows are in one of them."""
+    path = str(tmp_path / "one.parquet")
+    spark.range(40_000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(path)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["n"] for r in adapters.spread(df).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(sizes) == 40_000 and max(sizes) <= 2 * 40_000 / spark.sparkContext.defaultParallelism
