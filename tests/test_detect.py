@@ -1,9 +1,11 @@
 """Literal cases of the network detectors, positive and negative."""
 
+import pytest
 from conftest import row
 from pyspark.sql import functions as F
 
 from sightline.operators import detect, jwt
+from sightline.rules import packs
 
 COOKIE = {"Cookie": "JSESSIONID=1"}
 JSON = {"Content-Type": "application/json"}
@@ -138,3 +140,25 @@ def test_nothing_is_cut_off(spark, exchanges):
     assert links.select(F.size(js.link_array(F.col("body")))).first()[0] >= 900
     many = [row(seq=k, req={"Authorization": "Bearer sess-abcdef0123456789"} if k == 0 else {}) for k in range(6_000)]
     assert sessions.discover(exchanges(*many)).count() == 1
+
+
+MET = {
+    "GitHub Token": "x ghr_" + "a1B2" * 9, "Generic secret assignment": "API_KEY = 'abcdefgh1'", "Private IPv4": "at 172.16.3.4 or 192.168.0.1 or 10.1.2.3",
+    "ASP.NET Error Page": "<b>Description:</b> AN UNHANDLED exception", "PHP Error": "PARSE ERROR : bad token in C:\\w\\a.php ON LINE 12",
+    "Ruby/Rails Error": "NOMETHODERROR for nil\n  Lib/x.rb", "Node.js Stack Trace": "Error\n   at run (C:\\app\\a.js:1:2)\n\tat go (/srv/a.js:3:4)",
+    "SQL Error": "Warning: near MYSQLI_query; Sql Syntax in MySQL; ora-00933; SqlState[42]; Postgresql: error", "Directory Listing": "<TITLE> INDEX OF /a",
+    "Debug Mode Enabled": "DEBUG = true; WHOOPS!; <title>a dEbug</title>", "Internal Path Disclosure": "/srv/www/a and C:\\xampp\\b and /home/me/c",
+    "Privileged role": "User_Type = 'SuperUser', level: Operator", "Admin flag on": "IS_STAFF: Yes, isRoot=1", "Roles/permissions": "Acl: [", "Access level": "CLEARANCE = top", "Role value": '"ROLE": "Guest"',
+}
+
+
+@pytest.mark.parametrize("rule", packs.SECRETS + packs.SIGNATURES + packs.AUTHZ, ids=lambda r: r.name)
+def test_literals_before_an_expression_lose_no_match(spark, rule):
+    assert rule.guard or rule.folded
+    if rule.name in MET:
+        t = MET[rule.name]
+        texts = [t, t.lower(), t.upper(), t + " İK é", "nothing here"]
+        df = spark.createDataFrame([(k, "u", x) for k, x in enumerate(texts)], "seq int, url string, body string")
+        plain = detect.scan_rules("body", [rule._replace(guard=(), folded=())])
+        rows = df.select(detect.scan_rules("body", [rule]).alias("a"), plain.alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["b"] and not rows[-1]["b"]
