@@ -333,6 +333,26 @@ def test_encoder_is_the_vocabulary():
     assert own.encode(texts) == own._ids([t or "" for t in texts])
 
 
+def test_new_words_are_encoded_together_with_the_ids_they_have_alone():
+    own = packing.Encoder(vocabulary(packing.VOCABULARY))
+    words = [f"w{k}'s,{k * 7919}é\u4e2d-x" for k in range(3 * packing.JOINED + 1)] + ["startoftext", "|>", "<|", "'", "\u00a9\ufe0f", "\U0001f600"]
+    sent = []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts, **k):
+            sent.extend(texts)
+            return self.model.encode_batch_fast(texts, **k)
+
+    plain = [np.array(own.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    own.model = Counted(own.model)
+    assert own.encode(words) == plain and len(sent) == 4
+    own.parting = None
+    assert own._word_ids(words) == plain
+
+
 def test_packing_places_every_piece_once(spark, documents):
     own = packing.Encoder(vocabulary(packing.VOCABULARY))
     rows = [(k, prose(k, 20 + (k * 37) % 700)) for k in range(160)] + [(200, prose(9, 4000)), (201, None), (202, ""), (202, ""), (None, "x")] + [(300 + k, prose(3, 100)) for k in range(40)]
