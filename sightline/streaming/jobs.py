@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sightline.functions import urls
 from sightline.operators import detect, js, jwt, rollup
 from sightline.plans.inventory import Inventory
-from sightline.session import scratch_path, scratch_run
+from sightline.session import persist_table, scratch_path, scratch_run
 from sightline.streaming.table import LogTable
 
 
@@ -102,7 +102,8 @@ class StreamState:
         spark = batch.sparkSession
         with scratch_run(spark):
             seen = self.tables["scripts"].partials() if "scripts" in self.tables else None
-            inv = Inventory(batch, known=seen)
+            # read once from the source: several tables need passes of their own
+            inv = Inventory(persist_table(batch, "batch"), known=seen)
             for name in sorted(self.tables, key=lambda n: n == "scripts"):
                 table = self.tables[name]
                 if batch_id > table.manifest()["batch"]:

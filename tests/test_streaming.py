@@ -130,3 +130,28 @@ def test_counters_and_endpoints_resume(spark, tmp_path):
         counts, ends = run(jobs.status_counters, "c"), run(jobs.upsert_endpoints, "e")
     assert sorted_rows(counts) == sorted_rows(ex.where("status > 0").groupBy("host", "status").agg(F.count("*").alias("n")))
     assert sorted_rows(ends.select(ENDPOINT)) == sorted_rows(rollup.endpoints(rollup.endpoint_events(detect.prepare(Inventory(ex).exchanges))).select(ENDPOINT))
+
+
+def test_rows_of_a_stream_are_dealt_over_the_cores(spark, tmp_path):
+    """The table is one row group; every batch is spread, and read from the source once however many tables it feeds."""
+    from sightline.plans import queries
+
+    seen = []
+
+    def add(batch, _):
+        seen.append([r["n"] for r in batch.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()])
+
+    queries.events_stream(spark, SF).writeStream.foreachBatch(add).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(seen) == 1 and len(seen[0]) >= cores and max(seen[0]) <= 2 * sum(seen[0]) / cores
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        passes.add(1)
+        return x
+
+    rows = adapters.capture(spark, SF, "events").limit(50)
+    noted = spark.createDataFrame(rows.rdd.map(note), rows.schema)
+    jobs.StreamState(spark, str(tmp_path / "state"), tables=("endpoints", "host_status", "technologies")).add(noted, 0)
+    assert passes.value == 50
