@@ -184,3 +184,27 @@ def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sum(sizes) == 40_000 and max(sizes) <= 2 * 40_000 / spark.sparkContext.defaultParallelism
+
+
+def test_what_two_snapshots_share_is_analysed_once(spark, monkeypatch):
+    from sightline.plans import queries
+    from sightline.plans.inventory import Share, together
+
+    ex = adapters.capture(spark, SF, "events")
+    hour = F.hour("observed_at")
+    early, shared = Share(ex.where(hour < 8)), Share(ex.where(hour.between(8, 15)))
+    got, one = together(early, shared), Inventory(ex.where(hour < 16))
+    assert rows(got["events"]) == rows(one.events)
+    for name in ("endpoints", "parameters", "endpoint_params", "tech", "tech_rows"):
+        want = getattr(one, name)
+        assert rows(got[name].select(*want.columns)) == rows(want), name
+
+    analysed, events = [], detect.events
+
+    def counted(prepared, *settings):
+        analysed.append(prepared.count())
+        return events(prepared, *settings)
+
+    monkeypatch.setattr(detect, "events", counted)
+    queries._snapshots(spark, SF)
+    assert sum(analysed) == Inventory(ex.where(hour.isNotNull())).prepared.count()
