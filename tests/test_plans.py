@@ -208,3 +208,11 @@ def test_what_two_snapshots_share_is_analysed_once(spark, monkeypatch):
     monkeypatch.setattr(detect, "events", counted)
     queries._snapshots(spark, SF)
     assert sum(analysed) == Inventory(ex.where(hour.isNotNull())).prepared.count()
+
+
+@pytest.mark.parametrize("name", ["events", "pages", "documents", "scripts", "specs"])
+def test_conditions_are_tested_after_the_rows_are_dealt(spark, name):
+    """The few tasks that read a file build no column for a condition on it."""
+    plan = adapters.adapt(spark, SF, name).where("url LIKE '%q=%' AND resp_body LIKE '%a%'")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Repartition")
+    assert "Filter" in above and "Filter" not in below
