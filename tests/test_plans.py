@@ -210,6 +210,14 @@ def test_what_two_snapshots_share_is_analysed_once(spark, monkeypatch):
     assert sum(analysed) == Inventory(ex.where(hour.isNotNull())).prepared.count()
 
 
+def test_what_scripts_and_descriptions_hold_is_analysed_once(spark):
+    """What several sections of a report read is a written table: their plans go back to no capture and no token."""
+    i = Inventory(adapters.capture(spark, SF, "scripts", "specs"))
+    for events, tables in ((i.js_events, ("seen-script-findings-", "seen-script-leads-")), (i.description_events, ("operations-", "graphql-fields-"))):
+        files = events.inputFiles()
+        assert files and all(any(f"/{t}" in f for t in tables) for f in files), files[:3]
+
+
 @pytest.mark.parametrize("name", ["events", "pages", "documents", "scripts", "specs"])
 def test_conditions_are_tested_after_the_rows_are_dealt(spark, name):
     """The few tasks that read a file build no column for a condition on it."""
