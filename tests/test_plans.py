@@ -224,3 +224,26 @@ def test_conditions_are_tested_after_the_rows_are_dealt(spark, name):
     plan = adapters.adapt(spark, SF, name).where("url LIKE '%q=%' AND resp_body LIKE '%a%'")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Repartition")
     assert "Filter" in above and "Filter" not in below
+
+
+def test_a_report_lists_the_technologies_of_a_host(spark, exchanges, monkeypatch):
+    """Sorted, each once, beside the missing headers of the latest page; hosts with none of them are listed too."""
+    from sightline.plans import queries
+
+    html = {"ct": "text/html", "body": "<script src='/jquery-3.6.0.min.js'></script>"}
+    ex = exchanges(
+        row(1, url="https://a.example/", resp={"Server": "nginx"}, **html),
+        row(2, url="https://a.example/x", resp={"Server": "Apache", "X-Frame-Options": "DENY", "Set-Cookie": "PHPSESSID=1"}, ct="text/html"),
+        row(3, url="https://a.example/y", resp={"X-Powered-By": "PHP/8"}, ct="application/json", body="{}"),
+        row(4, url="https://b.example/", ct="application/json", body="{}"),
+        row(5, url="https://c.example/", status=None, body=None),
+    )
+    monkeypatch.setattr(queries, "inv", lambda *_, i=Inventory(ex): i)
+    monkeypatch.setattr(sinks, "json_rows", lambda sections, f=sinks.json_rows: kept.append(f(sections)) or kept[0])
+    kept = []
+    counted = {r["section"]: (r["rows"], r["filled"]) for r in QUERIES["merged_report"](spark, SF).collect()}
+    got = {j["host"]: j for j in map(json.loads, (r["json"] for r in kept[0].where("section = 'technologies'").collect()))}
+    assert counted["technologies"] == (2, 2) and set(got) == {"a.example", "b.example"}
+    assert got["a.example"]["technologies"] == ["Apache httpd", "PHP", "jQuery 3.6.0", "nginx"]
+    assert got["a.example"]["missing_headers"] == sorted(h for h in packs.SECURITY_HEADERS if h != "X-Frame-Options")
+    assert got["b.example"]["technologies"] == [] and got["b.example"]["missing_headers"] == []
