@@ -195,6 +195,27 @@ def test_hot_lists_are_cut_in_blocks(spark, monkeypatch):
     assert {(x["n_links"], x["component_id"]) for x in out} == {(99, 0)}
 
 
+def test_vectors_are_not_shuffled_to_what_they_probe(spark, monkeypatch):
+    """Every vector is in one block, and blocks meet without an exchange, however many groups a vector probes."""
+    monkeypatch.setattr(vectors, "LIST_ROWS", 8)
+    monkeypatch.setattr(vectors, "GROUP_LISTS", 2)
+    kept = {}
+    monkeypatch.setattr(vectors, "shared", lambda df, name, f=vectors.shared: kept.setdefault(name, (df, f(df, name)))[1])
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 24))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, x[:90] + 0.05 * r.normal(size=(90, 24)), 2 * x[:40]]))]
+    out = {y["vec_id"]: y for y in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    blocks = kept["pq-blocks"][1].collect()
+    assert sum(len(b["entry"]) // 8 for b in blocks) == 690 and len({b["group"] for b in blocks}) > 10
+    assert max(len(b["asks"]) for b in blocks) > 10
+    assert {len(b["vector"]) // (len(b["entry"]) // 8) for b in blocks} == {24 * 4}
+    plan = kept["pq-links"][0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    y = np.array([v for _, v in rows], np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert {i: o["n_links"] for i, o in out.items()} == dict(enumerate(((y @ y.T >= 0.9).sum(axis=1) - 1).tolist()))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(50)] + [(2000, 2000), (None, 3), (5000, 300), (300, 5000)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
