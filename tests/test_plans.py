@@ -247,3 +247,22 @@ def test_a_report_lists_the_technologies_of_a_host(spark, exchanges, monkeypatch
     assert got["a.example"]["technologies"] == ["Apache httpd", "PHP", "jQuery 3.6.0", "nginx"]
     assert got["a.example"]["missing_headers"] == sorted(h for h in packs.SECURITY_HEADERS if h != "X-Frame-Options")
     assert got["b.example"]["technologies"] == [] and got["b.example"]["missing_headers"] == []
+
+
+def test_findings_and_tokens_are_read_in_one_pass(spark, monkeypatch):
+    """The capture is read once for both, and token issues come from what was written."""
+    from sightline.operators import jwt
+    from sightline.plans import inventory
+
+    plans = {}
+
+    def written(df, name, f=inventory.persist_table):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return f(df, name)
+
+    monkeypatch.setattr(inventory, "persist_table", written)
+    i = Inventory(adapters.capture(spark, SF, "events", "pages"))
+    apart = i.plain_events.unionByName(jwt.weaknesses(jwt.tokens(i.prepared)))
+    assert rows(i.events.select(*apart.columns)) == rows(apart) and i.events.dtypes == apart.dtypes
+    assert i.events.where("type LIKE 'JWT weakness:%'").count() > 0
+    assert plans["seen-findings"].count("/events.parquet") == 1 and "/events.parquet" not in plans["seen-token-issues"]
